@@ -1,0 +1 @@
+"""Operators of the page and book engine."""

@@ -1,0 +1 @@
+"""Plans of the page and book engine."""

@@ -1,0 +1 @@
+"""Sources of the page and book engine."""
