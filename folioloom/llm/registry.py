@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_store
+from . import html_text, language, neighbours, packing, sharding, token_store
 from .common import table
 
 
@@ -15,6 +15,10 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark, table(spark, sf_dir, "embeddings"), query_mod=50, k=5)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), _tokenizer(), capacity=4096, end_id=1)
 
@@ -24,12 +28,20 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_shards(manifest)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, table(spark, sf_dir, "documents"), shards=16)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op6_token_store, op9_sharding)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op4_best_fit_packing, op6_token_store, op7_html_text, op8_language_id, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
