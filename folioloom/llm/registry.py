@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language, neighbours, packing, sharding, token_store
+from . import bm25, html_text, language, mixing, neighbours, packing, sharding, token_store
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark, table(spark, sf_dir, "embeddings"), query_mod=50, k=5)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(spark, table(spark, sf_dir, "documents"), alpha=0.5, block_rows=64)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), _tokenizer(), capacity=4096, end_id=1)
 
@@ -40,8 +44,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, table(spark, sf_dir, "documents"), shards=16)
 
 
+def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(spark, docs, docs.where("doc_id % 20 = 0"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op4_best_fit_packing, op6_token_store, op7_html_text, op8_language_id, op9_sharding)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op3_source_mixing, op4_best_fit_packing, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search)}
 
 
 def oracle_sql() -> dict[str, str]:
