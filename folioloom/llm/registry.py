@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, html_text, language, mixing, neighbours, packing, sharding, token_store
+from . import bm25, html_text, language, mixing, neighbours, packing, repeats, sharding, token_store
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), _tokenizer(), capacity=4096, end_id=1)
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.spans(spark, table(spark, sf_dir, "documents"), length=200)
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, _ = token_store.store_tokens(spark, table(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
     return token_store.read_shards(manifest)
@@ -50,7 +54,7 @@ def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op3_source_mixing, op4_best_fit_packing, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op3_source_mixing, op4_best_fit_packing, op5_repeated_strings, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search)}
 
 
 def oracle_sql() -> dict[str, str]:
