@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, html_text, language, mixing, neighbours, packing, repeats, sharding, token_store
+from . import bm25, html_text, language, mixing, near_dups, neighbours, packing, repeats, sharding, token_store
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark, table(spark, sf_dir, "embeddings"), query_mod=50, k=5)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.cluster(spark, table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(spark, table(spark, sf_dir, "documents"), alpha=0.5, block_rows=64)
 
@@ -54,7 +58,7 @@ def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op3_source_mixing, op4_best_fit_packing, op5_repeated_strings, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_source_mixing, op4_best_fit_packing, op5_repeated_strings, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search)}
 
 
 def oracle_sql() -> dict[str, str]:
