@@ -6,10 +6,11 @@ A shard file holds documents in ascending order of their key:
               prefixes within a block, the first one is whole; a block ends once it holds `block_bytes`
     index     for each block: first key (9 bytes), offset u64, size u32
     bloom     a bit array; a key sets `hashes` bits
-    footer    index at u64, blocks u32, bloom at u64, bloom bits u64, hashes u32, documents u64, ids u64, magic
+    footer    index at u64, blocks u32, bloom at u64, bloom bits u64, hashes u32, documents u64, ids u64, width u32, magic
 
 A key is a presence byte and the identifier as 8 big-endian bytes with its sign bit turned, so that byte order is
-number order and a null identifier comes first. Payloads are ids as little-endian u32. Shards follow one another in
+number order and a null identifier comes first. Payloads are little-endian ids of the width in the footer, 2 bytes
+where the vocabulary allows it, else 4. Shards follow one another in
 key order, so a reader finds a document by the shard's range, its filter, a binary search of the index and one block.
 
 Null or empty texts hold the end id alone. Repeated identifiers are kept, each with its own ids; a lookup returns all
@@ -35,7 +36,7 @@ from .common import Scratch
 from .tokens import encoder
 
 MAGIC = b"FLSST\x00\x00\x01"
-FOOTER = struct.Struct("<QIQQIQQ8s")
+FOOTER = struct.Struct("<QIQQIQQI8s")
 ENTRY = struct.Struct("<BBI")
 INDEX = struct.Struct("<9sQI")
 
@@ -57,7 +58,8 @@ def _bits(key: bytes, bits: int, hashes: int) -> list[int]:
 class ShardWriter:
     """Writes one shard to an open stream; add() keys in ascending order."""
 
-    def __init__(self, out, block_bytes: int = 1 << 16, bits_per_key: int = 10, hashes: int = 7):
+    def __init__(self, out, block_bytes: int = 1 << 16, bits_per_key: int = 10, hashes: int = 7, width: int = 4):
+        self.width = width
         self.out, self.block_bytes, self.bits_per_key, self.hashes = out, block_bytes, bits_per_key, hashes
         self.at = self.tokens = 0
         self.block: list[bytes] = []
@@ -65,7 +67,9 @@ class ShardWriter:
         self.index: list[bytes] = []
         self.keys: list[bytes] = []
 
-    def add(self, key: bytes, payload: bytes) -> None:
+    def add(self, key: bytes, ids: bytes) -> None:
+        """ids: as little-endian u32."""
+        payload = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
         assert not self.keys or key >= self.keys[-1], "keys must ascend"
         shared = len(os.path.commonprefix([self.last, key]))
         if not self.block:
@@ -75,7 +79,7 @@ class ShardWriter:
         self.size += len(entry) + len(payload)
         self.last = key
         self.keys.append(key)
-        self.tokens += len(payload) // 4
+        self.tokens += len(ids) // 4
         if self.size >= self.block_bytes:
             self._flush()
 
@@ -101,7 +105,7 @@ class ShardWriter:
             bloom[_bits(key, bits, self.hashes)] = 1
         bloom_at = self.at
         self._write(np.packbits(bloom, bitorder="little").tobytes())
-        self._write(FOOTER.pack(index_at, len(self.index), bloom_at, bits, self.hashes, len(self.keys), self.tokens, MAGIC))
+        self._write(FOOTER.pack(index_at, len(self.index), bloom_at, bits, self.hashes, len(self.keys), self.tokens, self.width, MAGIC))
 
 
 class ShardReader:
@@ -110,7 +114,7 @@ class ShardReader:
     def __init__(self, file):
         self.file = file
         size = file.size()
-        self.index_at, self.blocks, self.bloom_at, self.bits, self.hashes, self.n_docs, self.n_ids, magic = FOOTER.unpack(file.read_at(FOOTER.size, size - FOOTER.size))
+        self.index_at, self.blocks, self.bloom_at, self.bits, self.hashes, self.n_docs, self.n_ids, self.width, magic = FOOTER.unpack(file.read_at(FOOTER.size, size - FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard, or cut short")
         self.index = list(INDEX.iter_unpack(file.read_at(self.bloom_at - self.index_at, self.index_at)))
@@ -132,11 +136,11 @@ class ShardReader:
             p += ENTRY.size
             key = key[:shared] + data[p : p + own]
             p += own
-            yield key, data[p : p + n]
+            yield key, data[p : p + n] if self.width == 4 else np.frombuffer(data, "<u2", n // 2, p).astype("<u4").tobytes()
             p += n
 
     def lookup(self, doc_id: int | None) -> list[bytes]:
-        """The payloads of all documents of this identifier."""
+        """The ids (little-endian u32) of all documents of this identifier."""
         key, found = key_of(doc_id), []
         if not self.may_hold(key):
             return found
@@ -163,14 +167,16 @@ def open_shard(uri: str) -> ShardReader:
 def _write(uri: str, path: str, end_id: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, folder = fs.FileSystem.from_uri(uri)
-        encode, end, part = encoder(path).encode, np.uint32(end_id).tobytes(), TaskContext.get().partitionId()
+        own = encoder(path)
+        encode, end, part = own.encode, np.uint32(end_id).tobytes(), TaskContext.get().partitionId()
+        width = 2 if max(own.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         temp, final = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/shard-{part:06d}.sst"
         writer = None
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
                     where.create_dir(folder, recursive=True)
-                    writer = ShardWriter(where.open_output_stream(temp), block_bytes)
+                    writer = ShardWriter(where.open_output_stream(temp), block_bytes, width=width)
                 writer.add(key_of(doc), encode(text.as_py()) + end)
         if writer is not None:
             writer.close()
