@@ -50,21 +50,22 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[Run], int]:
         while todo:
             at = bisect.bisect_left(rooms, length)
             if at == len(rooms):
-                fit = capacity // length
-                n = max(1, todo // fit)  # sequences filled by this length alone; the last may be begun only
-                first, used = used, used + n
-                put(capacity, first, n)
+                n = max(1, todo // (capacity // length))  # sequences that this length fills alone
+                put(capacity, used, n)
+                used += n
                 continue
             left = rooms[at]
             first, n = room[left].pop()
             if not room[left]:
                 del room[left], rooms[at]
-            take = min(n, todo)
-            runs.append((length, rank, take, first, capacity - left))
-            put(left - length, first, take)
+            # Once begun, a sequence has less room than those like it, so it takes pieces until none fits.
+            fit = min(left // length, todo)
+            take = min(n, todo // fit)
+            runs += [(length, rank + i * take, take, first, capacity - left + i * length) for i in range(fit)]
+            put(left - fit * length, first, take)
             if take < n:
                 put(left, first + take, n - take)
-            rank, todo = rank + take, todo - take
+            rank, todo = rank + fit * take, todo - fit * take
     return runs, used
 
 
