@@ -16,8 +16,8 @@ refined by counting its starts' identifiers over the cluster, spread by a salt;
 Identifiers are 64-bit hashes, and equality is that of an offset, a q-gram and three more of them.
 
 Null texts count as empty. Repeated rows are copies of a text. An empty table gives no rows. Other columns are kept by
-`deduplicate` and ignored by `spans`; texts are cut at whole bytes, and a character that loses some of its bytes
-becomes U+FFFD in `deduplicate`.
+`deduplicate` and ignored by `spans`; `spans` counts bytes, `deduplicate` keeps
+a character of which only some bytes repeat.
 """
 
 from __future__ import annotations
@@ -294,6 +294,15 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
+    """The part of a run that begins and ends between UTF-8 characters."""
+    while a < b and data[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
 def _cut(columns: list[str], length: int, text_out: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,9 +314,11 @@ def _cut(columns: list[str], length: int, text_out: bool):
                     runs = [(0, len(data))]
                 else:
                     runs = covered([(s["a"], s["b"]) for s in spans.as_py() or ()])
+                if text_out:
+                    runs = [whole_characters(data, a, b) for a, b in runs]
                 left = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(data)], strict=True))
                 if text_out:
-                    texts.append(None if text.as_py() is None else left.decode("utf-8", "replace"))
+                    texts.append(None if text.as_py() is None else left.decode("utf-8", "surrogatepass"))
                 n_bytes.append(len(data))
                 removed.append(len(data) - len(left))
                 n_spans.append(len(runs))
