@@ -39,8 +39,13 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, rounds: int =
     base = scratch.store(base.withColumn("copy", F.monotonically_increasing_id()), "base")
     total = base.count()
     parts = max(64, total // 20_000)
-    groups = base.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key", F.xxhash64("key").alias("group"))
-    linked = scratch.store(base.join(groups, "key").select("copy", "group", bucket_of(F.col("copy"), buckets=shards).alias("shard")), "linked0")
+    groups = base.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "members", F.xxhash64("key").alias("group"))
+    # Keys with over a thousandth of the rows, a thousand of them at most, are joined by broadcast; no other key is hot.
+    hot = groups.where(F.col("members") * 1000 > total)
+    marked = base.join(F.broadcast(hot.select("key", F.col("group").alias("hot"))), "key", "left")
+    members = marked.where("hot IS NOT NULL").select("copy", F.col("hot").alias("group"))
+    members = members.unionByName(marked.where("hot IS NULL").join(groups.where(F.col("members") * 1000 <= total), "key").select("copy", "group"))
+    linked = scratch.store(members.select("copy", "group", bucket_of(F.col("copy"), buckets=shards).alias("shard")), "linked0")
     quota = _quota(total, shards)
     sizes = _sizes(linked, shards)
     for turn in range(rounds):
