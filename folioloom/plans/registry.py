@@ -1,4 +1,4 @@
-"""Queries of the engine's operators, each with its SQL."""
+"""Queries of the engine's operators, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+from . import books, pixels, planning, rasters, texts  # noqa: F401  (they register their queries)
+from .base import FOUND
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _FOUND.items()}
+    return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _FOUND.items() if sql}
+    return {k: sql for k, (_, sql) in FOUND.items() if sql}
