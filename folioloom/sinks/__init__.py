@@ -1,0 +1 @@
+"""Sinks of the page and book engine."""
