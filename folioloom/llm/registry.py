@@ -76,6 +76,17 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.y F
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) g USING (doc_id)"""
 
+REPEATED_STRINGS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id, c, substr(h, 400 * c + 1, 800) AS part FROM (SELECT doc_id, h, unnest(range(0, (n - 1) // 200 + 1)) AS c FROM d WHERE n >= 200)),
+k AS (SELECT doc_id, 200 * c + i + 1 AS p, md5(substr(part, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, c, part, unnest(range(0, least(200, length(part) // 2 - 199))) AS i FROM c)),
+hit AS (SELECT doc_id, p FROM k WHERE k IN (SELECT k FROM k GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM hit)),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 199 AS b FROM g GROUP BY doc_id, g),
+s AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM r),
+o AS (SELECT doc_id, count(*) AS n_spans, sum(b - a + 1)::BIGINT AS n_removed, string_agg(substr(h, 2 * c + 1, 2 * (a - c - 1)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM s JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)"""
+
 BM25_SQL = f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F")} AS w FROM documents),
 d AS (SELECT doc_id, len(w) AS size FROM w WHERE len(w) > 0),
@@ -90,4 +101,4 @@ SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM pl
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL says the same over whole tables; the other queries are tested against brute force."""
-    return {"op2_near_duplicates": NEAR_DUPLICATES_SQL, "op10_bm25_search": BM25_SQL}
+    return {"op2_near_duplicates": NEAR_DUPLICATES_SQL, "op5_repeated_strings": REPEATED_STRINGS_SQL, "op10_bm25_search": BM25_SQL}

@@ -84,15 +84,87 @@ def test_languages(spark):
     assert language.languages(spark, both.limit(0)).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before it kept, written and read again."""
+    import re
+    import zlib
+    from collections import Counter
+
     import corpus_pipeline as pipeline
+    from folioloom.llm import mixing, tokens
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    extra = spark.createDataFrame([(90_001, "?! 12", "en", "src0", 5)], docs.schema)
-    before = docs.unionByName(extra)
     at = "/root/testdata/sf0.001"
-    kept = pipeline.known_language(spark, before, at)
-    assert kept.columns == docs.columns and kept.count() == docs.count()
-    single = pipeline.one_of_near_duplicates(spark, kept, at)
-    assert single.count() < docs.count() and single.columns == docs.columns
-    assert pipeline.run(spark, at).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    extra = [(90_001, "?! 12", "en", "src0", 5), (90_002, None, None, None, 0), (90_003, "", "en", "src0", 0)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    kept = {}
+    for name, stage in pipeline.STAGES:
+        before = {r.doc_id: r for r in docs.collect()}
+        stage(spark, docs, at).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert after.columns == docs.columns
+            kept[name] = {r.doc_id: r for r in after.collect()}
+            assert after.count() == len(kept[name])
+        if name == "language":
+            assert set(kept[name]) == {d for d in before if d < 90_000}
+        if name == "near_duplicates":
+            low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+            sets = {}
+            for d, r in sorted(before.items()):
+                w = re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(low))
+                sets[d] = frozenset(zip(*[w[j:] for j in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)])
+            label = {d: d for d in sets}
+            for d in sets:
+                for e in sets:
+                    if e < d and label[d] != label[e] and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e]):
+                        old, new = max(label[d], label[e]), min(label[d], label[e])
+                        label = {k: new if v == old else v for k, v in label.items()}
+            assert set(kept[name]) == {d for d, v in label.items() if d == v}
+            assert all(kept[name][d] == before[d] for d in kept[name])
+        if name == "repeated_strings":
+            data = {d: r.text.encode() for d, r in before.items()}
+            seen = Counter(b[s : s + 200] for b in data.values() for s in range(len(b) - 199))
+            for d, b in data.items():
+                cover = bytearray(len(b))
+                for s in range(len(b) - 199):
+                    if seen[b[s : s + 200]] > 1:
+                        cover[s : s + 200] = b"\1" * 200
+                for m in re.finditer(b"\1+", bytes(cover)):  # characters stay whole
+                    x, y = m.span()
+                    while x < y and b[x] & 0xC0 == 0x80:
+                        cover[x], x = 0, x + 1
+                    while y > x and y < len(b) and b[y] & 0xC0 == 0x80:
+                        y -= 1
+                        cover[y] = 0
+                left = bytes(c for c, m in zip(b, cover, strict=True) if not m).decode()
+                if left or not any(cover):
+                    assert kept[name][d].text == left and kept[name][d].n_chars == len(left)
+                else:
+                    assert d not in kept[name]
+        if name == "mixing":
+            assert kept[name] == before
+            order = [r.source for r in after.collect()]
+            share = mixing.shares(mixing.size_weights(Counter(order), 0.5), mixing.PERIOD)
+            assert set(order[: len(share)]) <= set(share)
+        if name == "packing":
+            own, want = tokens.encoder(pipeline.public_tokenizers.path("word_bpe_49k.json")), Counter()
+            for d, r in before.items():
+                ids = own.encode(r.text) + b"\x01\0\0\0"
+                for piece, x in enumerate(range(0, len(ids), 4 * 4096)):
+                    want[d, piece, len(ids[x : x + 4 * 4096]) // 4, zlib.crc32(ids[x : x + 4 * 4096])] += 1
+            rows = after.collect()
+            assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows) == want
+            fill = {}
+            for r in rows:
+                fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            for parts in fill.values():
+                parts.sort()
+                assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 4096
+        docs = after
+
+
+def test_pipeline_runs_as_one(spark):
+    import corpus_pipeline as pipeline
+
+    assert pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
