@@ -66,7 +66,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, rounds: int =
         scratch.drop(f"moves{turn}")
         sizes = _sizes(linked, shards)
     # Linked documents beyond a quota, and all others, fill the rest.
-    keep = scratch.store(ranked(linked, ["shard"], ["group", "copy"], ["group"], parts, "place").where(F.col("place") < F.element_at(_literal(quota), F.col("shard") + 1)).select("copy", "shard"), "keep")
+    keep = scratch.store(ranked(linked, ["shard"], ["group", "copy"], ["copy"], parts, "place").where(F.col("place") < F.element_at(_literal(quota), F.col("shard") + 1)).select("copy", "shard"), "keep")
     sizes = _sizes(keep, shards)
     ends, at = [], 0
     for q, n in zip(quota, sizes, strict=True):
