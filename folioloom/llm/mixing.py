@@ -78,7 +78,7 @@ def _planned(spark: SparkSession, docs: DataFrame, weights: dict[str | None, flo
         seen[s] += 1
     slots = F.broadcast(spark.createDataFrame(plan, "s string, j int, slot long, a int"))  # a row for each slot of the period
     rows = docs.select(F.struct("*").alias("_row"), F.col(source_col).cast("string").alias("_source"), F.col(id_col).alias("_id")).withColumn("_order", F.xxhash64("_id", F.lit("mix")))
-    buckets = max(1, sum(counts.values()) // 20_000) * 4
+    buckets = max(64, sum(counts.values()) // 20_000)
     rows = ranked(rows, ["_source"], ["_order", "_id"], ["_id"], buckets, "_rank")
     rows = rows.withColumn("_block", F.floor(F.col("_rank") / block_rows).cast("long")).withColumn("_at", F.col("_rank") % block_rows)
     share_of = F.broadcast(spark.createDataFrame([(s, a) for s, a in share.items()], "s0 string, a0 int"))
