@@ -120,7 +120,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 4
     runs, _ = plan(counts, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = tally.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    placed = pieces.join(first, ["length", "part"]).withColumn("rank", F.col("first") + F.col("k"))
+    # The tally grows with the input, so it isn't broadcast.
+    placed = pieces.join(first.hint("merge"), ["length", "part"]).withColumn("rank", F.col("first") + F.col("k"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         _slots(runs), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
