@@ -239,8 +239,8 @@ def cluster(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     rows = scratch.store(texts.select("doc_id", "text", "text_key").mapInArrow(_describe(k), f"doc_id {kind}, n_shingles long, text_key binary, set_key binary, signature binary"), "rows")
-    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("signature", "text_key"), "text_key").alias("x"))
-    classes = scratch.store(classes.select(F.monotonically_increasing_id().alias("class"), "set_key", "least", "x.signature", "x.text_key"), "classes")
+    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"), F.min_by(F.struct("signature", "text_key"), "text_key").alias("x"))
+    classes = scratch.store(classes.select(F.monotonically_increasing_id().alias("class"), "set_key", "members", "least", "x.signature", "x.text_key"), "classes")
     posted = "slot long, class long, coordinate int, short binary"
     posts = classes.select("class", "signature").mapInArrow(_post, posted)
     long_lists = scratch.store(posts.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG).select("slot"), "long")
@@ -264,8 +264,15 @@ def cluster(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
     grouped = classes.select("class", "set_key", "least").join(groups.withColumnRenamed("node", "class"), "class")
     least = grouped.groupBy("label").agg(F.min("least").alias("group_least"))
     of_class = grouped.join(least, "label").select("set_key", F.col("group_least"))
-    of_class = classes.select("set_key", "least").join(of_class, "set_key", "left").select("set_key", F.coalesce("group_least", "least").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    of_class = classes.select("set_key", "members", "least").join(of_class, "set_key", "left").select("set_key", "members", F.coalesce("group_least", "least").alias("component_id"))
+    # Sets of over a thousandth of the rows, a thousand of them at most, are joined by broadcast; no other key is hot.
+    total = rows.count()
+    hot = of_class.where(F.col("members") * 1000 > total).select("set_key", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
+    marked = rows.select("doc_id", "n_shingles", "set_key").join(F.broadcast(hot), "set_key", "left")
+    cold = of_class.where(F.col("members") * 1000 <= total).select("set_key", "component_id")
+    out = marked.where("hot").select("doc_id", "n_shingles", F.col("hot_id").alias("component_id"))
+    out = out.unionByName(marked.where("hot IS NULL AND n_shingles > 0").join(cold, "set_key").select("doc_id", "n_shingles", "component_id"))
+    out = out.unionByName(marked.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -274,8 +281,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     """The rows of `docs` of which one of each group stays: that of the smallest doc_id; of repeated rows any one."""
     found = cluster(spark, docs, k, percent, id_col, text_col).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     found = Scratch(spark, "kept").store(found, "ids")
-    stay = docs.withColumn("_of", F.struct(F.col(id_col))).join(found.select(F.struct(F.col("doc_id").alias(id_col)).alias("_of"), F.col("n").alias("_n_rows")), "_of")
-    single = stay.where("_n_rows = 1").select(*docs.columns)
-    if found.where("n > 1").isEmpty():
+    of = F.struct(F.col(id_col).alias("id"))
+    found = found.select(F.struct(F.col("doc_id").alias("id")).alias("_of"), F.col("n").alias("_n"))
+    stay = docs.select(F.struct("*").alias("_row"), of.alias("_of")).join(found, "_of")
+    single = stay.where("_n = 1").select("_row.*")
+    if found.where("_n > 1").isEmpty():
         return single
-    return single.unionByName(stay.where("_n_rows > 1").dropDuplicates([id_col]).select(*docs.columns))
+    return single.unionByName(stay.where("_n > 1").dropDuplicates(["_of"]).select("_row.*"))
