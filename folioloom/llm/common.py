@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from functools import reduce
 
@@ -56,3 +57,12 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column | str], spread:
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     inner = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_in", F.row_number().over(inner) - 1).join(first, same).withColumn(name, (F.col("_first") + F.col("_in")).cast("long")).drop("_bucket", "_in", "_first", *[f"_k{i}" for i in range(len(keys))])
+
+
+def release_memory() -> None:
+    """Gives a worker's freed memory back to the system; workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -7,7 +7,8 @@ Buckets are refined from coarse to fine, and a start leaves as soon as its bucke
 1.  q-gram buckets: a start belongs to the q-gram with the smallest identifier in its string, the leftmost if several.
     Equal strings choose the same q-gram at the same offset, and neighbouring starts mostly choose the same one, so
     one of about (length - q) / 2 places stands for all starts. q-grams chosen at one place only are done.
-2.  The strings of the runs of starts left are brought to their q-gram's bucket, which is refined by the starts'
+2.  The strings of the runs of starts left are brought to their q-gram's bucket (runs that a text holds twice, as one
+    does that repeats a phrase over and over, repeat already; one of them goes on for the others), which is refined by the starts'
     offset from the q-gram, and then by doubling: a bucket identifier to depth 2h is made of those to depth h at a
     start and h bytes on, the last step reusing identifiers of less depth to end at `length` exactly.
 
@@ -23,20 +24,22 @@ a character of which only some bytes repeat.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release_memory
 
 #: Members of a bucket beyond which it is refined over the cluster, and documents of one task that make a q-gram frequent.
-LARGE, FREQUENT = 20_000, 512
+LARGE, FREQUENT = 5_000, 512
 #: Bytes of strings that a task refines at a time.
-CHUNK = 16 << 20
+CHUNK = 1 << 20
 _SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
@@ -116,8 +119,9 @@ def _anchors(length: int, q: int):
             marks = np.unique(gram[hot])  # tell the tasks in which it is rare
             gram, twice, hot_all, salt = np.concatenate((gram, marks)), np.concatenate((twice, np.ones(len(marks), bool))), np.concatenate((hot, np.ones(len(marks), bool))), np.concatenate((salt, np.zeros(len(marks), np.int64)))
             mark = np.concatenate((np.zeros(len(hot), bool), np.ones(len(marks), bool)))
-            raw = keys.tobytes() + bytes(16 * len(marks))
-            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array([None if m else raw[16 * i : 16 * i + 16] for i, m in enumerate(mark)], pa.binary()), pa.array(twice), pa.array(hot_all), pa.array(np.where(hot_all & ~mark, salt + 1, 0).astype(np.int32))], ["gram", "key", "twice", "hot", "salt"])
+            raw = pa.Array.from_buffers(pa.binary(16), len(gram), [None, pa.py_buffer(keys.tobytes() + bytes(16 * len(marks)))])
+            key = pc.if_else(pa.array(mark), pa.scalar(None, pa.binary()), raw.cast(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), key, pa.array(twice), pa.array(hot_all), pa.array(np.where(hot_all & ~mark, salt + 1, 0).astype(np.int32))], ["gram", "key", "twice", "hot", "salt"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -129,6 +133,8 @@ def _anchors(length: int, q: int):
                 held.append((gram, key, n > 1))
         if held:
             yield rows()
+            held.clear()
+        release_memory()
 
     return run
 
@@ -201,21 +207,31 @@ def _contexts(length: int, q: int):
                 large = dict(zip(wanted.tolist(), alive.values.field("large").to_pylist(), strict=True))
                 gram, place, first, end = _runs(np.frombuffer(data, np.uint8), length, q)
                 gram = gram.view(np.int64)
-                for i in np.flatnonzero(np.isin(gram, wanted)):
-                    g, a = int(gram[i]), int(first[i])
-                    out.append((g, int(a % 64) + 1 if large[g] else 0, key, a, int(place[i]) - a, data[a : int(end[i]) + length]))
-                    size += len(out[-1][-1])
-                if size > 4 << 20:
+                held: dict[tuple[int, int, bytes], list[int]] = {}
+                for i in np.flatnonzero(np.isin(gram, wanted)).tolist():
+                    a = int(first[i])
+                    held.setdefault((int(gram[i]), int(place[i]) - a, data[a : int(end[i]) + length]), []).append(i)
+                known = []
+                for (g, offset, string), own in held.items():
+                    a = int(first[own[0]])
+                    out.append((g, a % 64 + 1 if large[g] else 0, key, a, offset, string))
+                    size += len(string)
+                    if len(own) > 1:
+                        known += [(int(first[i]), int(end[i]) + length) for i in own]
+                for a, z in covered(known):  # a span without a string
+                    out.append((zlib.crc32(key) ^ a, 0, key, a, z, None))
+                if size > CHUNK:
                     yield _batch(out)
                     out, size = [], 0
             if out:
                 yield _batch(out)
+        release_memory()
 
     return run
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["gram", "salt", "key", "first", "place", "string"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "salt", "key", "first", "place", "string"])
 
 
 def refine(gram: np.ndarray, place: np.ndarray, strings: list[bytes], length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,6 +281,12 @@ def _refine(length: int, q: int):
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
+            spans = batch.filter(batch.column("string").is_null())
+            if spans.num_rows:
+                yield pa.RecordBatch.from_arrays([spans.column("key"), spans.column("first"), spans.column("place"), pa.nulls(spans.num_rows, pa.int64())], ["key", "a", "b", "bucket"])
+            batch = batch.filter(batch.column("string").is_valid())
+            if not batch.num_rows:
+                continue
             held.append(batch)
             size += batch.nbytes
             if size < CHUNK:
@@ -279,6 +301,8 @@ def _refine(length: int, q: int):
             size = sum(b.nbytes for b in held)
         if held:
             yield from work(pa.Table.from_batches(held))
+            held.clear()
+        release_memory()
 
     return run
 
@@ -339,7 +363,7 @@ def _cover(spark: SparkSession, rows: DataFrame, scratch: Scratch, length: int,
     grams = rows.select("text").mapInArrow(_anchors(length, q), "gram long, key binary, twice boolean, hot boolean, salt int")
     alive = grams.repartition("salt", "gram").sortWithinPartitions("salt", "gram", "key").mapInArrow(_alive, "key binary, gram long, large boolean")
     alive = scratch.store(alive.groupBy("key").agg(F.collect_list(F.struct("gram", "large")).alias("alive")), "alive")
-    strings = keyed.select("key", "text").join(alive.hint("merge"), "key").mapInArrow(_contexts(length, q), "gram long, salt int, key binary, first long, place int, string binary")
+    strings = keyed.select("key", "text").join(alive.hint("merge"), "key").mapInArrow(_contexts(length, q), "gram long, salt int, key binary, first long, place long, string binary")
     # Copies of a text lie together, but a join may split them: a member counts once.
     found = strings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "key", "first").mapInArrow(_once(_refine(length, q)), "key binary, a long, b long, bucket long")
     found = scratch.store(found, "found")
