@@ -1,7 +1,7 @@
-"""Image headers and decoding by content: PNG (all forms), BMP and GIF in NumPy; JPEG and WebP by header.
+"""Image headers and decoding by content: PNG (all forms), BMP, GIF and sequential JPEG in NumPy; WebP by header.
 
-A PNG or GIF that ends early keeps what was decoded and is marked; the rest has the format's first pixel. JPEG pixels
-come from Spark's own image source (`jpeg_rasters`), which decodes in the JVM.
+A PNG or GIF that ends early keeps what was decoded and is marked; the rest has the format's first pixel. Files
+of any JPEG form can be read by Spark's own image source (`jpeg_rasters`), which decodes in the JVM.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jpeg
+
 # Fixed values.
 MAX_BYTES, MAX_PIXELS = 268_435_456, 1_431_655_764
 ADAM7 = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
@@ -279,14 +281,19 @@ def _lzw(body: bytes, low: int, most: int) -> bytes:
     return bytes(out[:most])
 
 
+def _jpeg(data: bytes) -> Decoded:
+    a = jpeg.decode(data)
+    return Decoded(a, False, a.ndim == 2)
+
+
 def decode(data: bytes) -> Decoded:
     kind = sniff(data)
-    reader = {"png": _png, "bmp": _bmp, "gif": _gif}.get(kind or "")
+    reader = {"png": _png, "bmp": _bmp, "gif": _gif, "jpg": _jpeg}.get(kind or "")
     if reader is None:
         raise ImageError(f"unsupported image: {kind or 'unknown'}")
     try:
         return reader(data)
-    except (struct.error, IndexError, ValueError) as e:
+    except (struct.error, IndexError, KeyError, ValueError) as e:
         raise e if isinstance(e, ImageError) else ImageError(str(e)) from e
 
 

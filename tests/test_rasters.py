@@ -158,6 +158,22 @@ def test_jpeg_is_read_back_by_the_jvm(spark, tmp_path, gray, color):
     assert (rows["c.jpg"].width, rows["c.jpg"].channels) == (96, 3)
 
 
+def test_jpeg_decoder_agrees_with_the_jvm(spark, tmp_path, gray, color):
+    smooth = np.repeat(np.repeat(color[::8, ::8], 8, 0), 8, 1)[:101, :93]
+    forms = {"g": gray, "c": smooth, "small": gray[:5, :3]}
+    for name, a in forms.items():
+        (tmp_path / f"{name}.jpg").write_bytes(out.jpeg(a, 90))
+    for r in source.jpeg_rasters(spark, str(tmp_path)).collect():
+        a = forms[r.rel_path.rsplit("/", 1)[-1][:-4]]
+        own = source.decode((tmp_path / r.rel_path.rsplit("/", 1)[-1]).read_bytes()).pixels
+        jvm = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1)
+        assert own.shape[:2] == a.shape[:2] == jvm.shape[:2]
+        assert np.abs(own.reshape(jvm.shape).astype(int) - jvm).mean() < 1.0
+        assert np.abs(own.astype(int) - a).mean() < 6
+    with pytest.raises(source.ImageError):
+        source.decode(out.jpeg(gray, 90)[:-400])
+
+
 def test_page_pieces(gray):
     spread = np.tile(np.pad(gray, 30, constant_values=255), (1, 2))
     both = PageOptions(splitter="both", format="epub", right_to_left=True)
