@@ -63,7 +63,7 @@ def _describe(k: int):
                 sets, at = shingles(part.column("text"), k)
                 sig = signatures(sets, at)
                 key = [hashlib.md5(sets[x:y].tobytes()).digest() for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), part.column("text_key"), pa.array(key, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "n_shingles", "text_key", "set_key", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.diff(at).astype(np.int64)), part.column("text_key"), pa.array(key, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "row", "n_shingles", "text_key", "set_key", "signature"])
 
     return run
 
@@ -233,14 +233,15 @@ def _confirm(percent: int):
     return run
 
 
-def cluster(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (doc_id = component_id) of every document."""
-    scratch = Scratch(spark, "near")
-    kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    rows = scratch.store(texts.select("doc_id", "text", "text_key").mapInArrow(_describe(k), f"doc_id {kind}, n_shingles long, text_key binary, set_key binary, signature binary"), "rows")
-    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"), F.min_by(F.struct("signature", "text_key"), "text_key").alias("x"))
-    classes = scratch.store(classes.select(F.monotonically_increasing_id().alias("class"), "set_key", "members", "least", "x.signature", "x.text_key"), "classes")
+def _grouped(spark: SparkSession, scratch: Scratch, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of doc_id, row and text: the rows described, the classes of equal sets, and the groups of linked classes (node, label)."""
+    kind = dict(docs.dtypes)["doc_id"]
+    # A null text has an empty key, which no text has.
+    texts = docs.withColumn("text_key", F.when(F.col("text").isNull(), F.unhex(F.lit(""))).otherwise(F.unhex(F.md5(F.col("text").cast("binary")))))
+    rows = scratch.store(texts.select("doc_id", "row", "text", "text_key").mapInArrow(_describe(k), f"doc_id {kind}, row long, n_shingles long, text_key binary, set_key binary, signature binary"), "rows")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"), F.min(first).alias("first"), F.min_by(F.struct("signature", "text_key"), "text_key").alias("x"))
+    classes = scratch.store(classes.select(F.monotonically_increasing_id().alias("class"), "set_key", "members", "least", "first", "x.signature", "x.text_key"), "classes")
     posted = "slot long, class long, coordinate int, short binary"
     posts = classes.select("class", "signature").mapInArrow(_post, posted)
     long_lists = scratch.store(posts.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG).select("slot"), "long")
@@ -259,7 +260,13 @@ def cluster(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64(F.col("cluster"), F.least(block, other), F.greatest(block, other)))
     tasks = full.select(F.explode(F.when(F.col("blocks") == 1, F.array(F.col("cluster"))).otherwise(pairs)).alias("task"), "class", "short", "set")
     links = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "a long, b long")
-    groups = components(links, scratch, "exact")
+    return rows, classes, components(links, scratch, "exact")
+
+
+def cluster(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (doc_id = component_id) of every document."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("row"), F.col(text_col).alias("text"))
+    rows, classes, groups = _grouped(spark, Scratch(spark, "near"), named, k, percent)
     # The smallest document of each group, by its classes.
     grouped = classes.select("class", "set_key", "least").join(groups.withColumnRenamed("node", "class"), "class")
     least = grouped.groupBy("label").agg(F.min("least").alias("group_least"))
@@ -278,13 +285,18 @@ def cluster(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` of which one of each group stays: that of the smallest doc_id; of repeated rows any one."""
-    found = cluster(spark, docs, k, percent, id_col, text_col).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    found = Scratch(spark, "kept").store(found, "ids")
-    of = F.struct(F.col(id_col).alias("id"))
-    found = found.select(F.struct(F.col("doc_id").alias("id")).alias("_of"), F.col("n").alias("_n"))
-    stay = docs.select(F.struct("*").alias("_row"), of.alias("_of")).join(found, "_of")
-    single = stay.where("_n = 1").select("_row.*")
-    if found.where("_n > 1").isEmpty():
-        return single
-    return single.unionByName(stay.where("_n > 1").dropDuplicates(["_of"]).select("_row.*"))
+    """The rows of `docs` of which one of each group stays: that of the smallest doc_id, one without an id only if none has one.
+
+    Rows are told apart by a key of their own, so null and repeated ids don't tie rows together. Rows without words have
+    no links and stay, but of those that repeat an id and its text one stays.
+    """
+    scratch = Scratch(spark, "kept")
+    held = scratch.store(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct("*").alias("_row")), "input")
+    named = held.select(F.col("_row")[id_col].alias("doc_id"), F.col("_key").alias("row"), F.col("_row")[text_col].alias("text"))
+    rows, classes, groups = _grouped(spark, scratch, named, k, percent)
+    of = classes.select("class", "first").join(groups.withColumnRenamed("node", "class"), "class", "left")
+    stay = of.groupBy(F.coalesce("label", "class").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("_key"))
+    wordless = rows.where("n_shingles = 0")
+    stay = stay.unionByName(wordless.where("doc_id IS NULL").select(F.col("row").alias("_key")))
+    stay = stay.unionByName(wordless.where("doc_id IS NOT NULL").groupBy("doc_id", "text_key").agg(F.min("row").alias("_key")).select("_key"))
+    return held.join(scratch.store(stay, "stay"), "_key").select("_row.*")

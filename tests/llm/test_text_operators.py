@@ -253,6 +253,15 @@ def test_near_duplicates_keep_one(spark, docs, rows):
     assert out.count() == len(set(_components(sets, 80)))
 
 
+def test_near_duplicates_keep_rows_of_null_and_repeated_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, None), (None, ""), (4, text("c")), (4, text("d")), (9, text("e")), (9, text("f")), (3, text("e") + " more"), (2, text("b")), (8, ""), (8, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(None, text("a")), (None, None), (None, ""), (4, text("c")), (4, text("d")), (9, text("f")), (3, text("e") + " more"), (2, text("b")), (8, ""), (8, None)]
+    assert Counter(tuple(r) for r in near_dups.deduplicate(spark, df).collect()) == Counter(want)
+    assert near_dups.deduplicate(spark, df.limit(0)).count() == 0
+
+
 def test_bm25(spark, docs, rows, empty):
     plain = {ord(c): " " for c in map(chr, range(128)) if not c.isalnum()}
     held = [(d, Counter((t or "").translate(LOW).translate(plain).split(" "))) for d, t, *_ in rows if d is not None]
