@@ -182,3 +182,22 @@ def test_page_pieces(gray):
     assert [r for r, *_ in process(spread, True, False, first)] == ["rotated", "split_first", "split_second"]
     page = process(gray, True, False, PageOptions(format="cbz", upscale=True, force_png=True))[0]
     assert page[2].shape == (1448, 1072) and set(np.unique(page[2])) <= set(profiles.PALETTES[16])
+
+
+def test_edge_filter_takes_every_image(spark, tmp_path):
+    """Against brute force on 11 images, one without its third row, the last cut off."""
+    from folioloom.plans import pixels
+
+    rng = np.random.default_rng(8)
+    ids = [i for i in range(85) if i != 18]
+    vectors = rng.normal(size=(len(ids), 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    value = {r.vec_id: list(r.v) for r in pixels.row_arrays(spark, str(tmp_path)).collect()}
+    want = {}
+    for i in ids:
+        bottom = max(j % 8 for j in ids if j // 8 == i // 8)
+        for x in range(64):
+            around = sum(value[j][k] for j in (i - 1, i, i + 1) if j in value and j // 8 == i // 8 for k in (x - 1, x, x + 1) if 0 <= k < 64)
+            edge = i % 8 in (0, bottom) or x in (0, 63)
+            want[i // 8, i % 8, x] = int((value[i][x] if edge else 9 * value[i][x] - around) > 6)
+    assert {(r.image, r.y, r.x): r.drawn for r in pixels.edge_filter_whole(spark, str(tmp_path)).collect()} == want
