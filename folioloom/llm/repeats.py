@@ -145,8 +145,8 @@ def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     carry: pa.Table | None = None
     streamed: int | None = None  # a gram that is too large to hold; its rows pass through
 
-    def close(t: pa.Table) -> pa.RecordBatch:
-        """Rows of whole groups."""
+    def close(t: pa.Table, begun: bool = False) -> pa.RecordBatch:
+        """Rows of whole groups; of a group that is only begun, all texts, and as large as those to come."""
         gram = t.column("gram").to_numpy()
         head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(gram))))
@@ -158,8 +158,8 @@ def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salted = t.column("salt").to_numpy() > 0
         hot = np.bincount(group, t.column("hot").to_numpy(zero_copy_only=False), len(head)) > 0
         again = np.bincount(group, t.column("twice").to_numpy(zero_copy_only=False), len(head)) > 0
-        keep = new & real & (salted | ((texts > 1) | again | hot)[group])
-        large = (salted | ((texts > LARGE) | hot)[group])[keep]
+        keep = new & real & (begun | salted | ((texts > 1) | again | hot)[group])
+        large = (begun | salted | ((texts > LARGE) | hot)[group])[keep]
         return pa.RecordBatch.from_arrays([key.filter(pa.array(keep)), pa.array(gram[keep]), pa.array(large)], names)
 
     for batch in batches:
@@ -183,7 +183,7 @@ def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield close(t.slice(0, cut).combine_chunks())
         carry = t.slice(cut)
         if len(carry) > 4 * LARGE:
-            yield close(carry.combine_chunks())
+            yield close(carry.combine_chunks(), True)
             streamed, carry = int(gram[-1]), None
     if carry is not None and len(carry):
         yield close(carry.combine_chunks())

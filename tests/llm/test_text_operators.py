@@ -207,6 +207,19 @@ def test_repeats_hot_path_in_workers():
     assert [(r["key"][:1], r["large"]) for r in out] == [(b"a", True), (b"c", True), (b"d", True)]
 
 
+def test_repeats_stream_a_bucket_as_one(monkeypatch):
+    """A q-gram of few texts with many copies is large for all of its texts, the first held ones too."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "LARGE", 5)
+    keys = [bytes([i]) * 16 for i in range(3) for _ in range(15)]
+    t = pa.table({"gram": pa.array([7] * 45 + [8, 8], pa.int64()), "key": pa.array([*keys, keys[0], keys[-1]], pa.binary()), "twice": [False] * 47, "hot": [False] * 47, "salt": pa.array([0] * 47, pa.int32())})
+    for most in (4, 7, 21, 47):
+        out = pa.Table.from_batches(repeats._alive(iter(t.to_batches(most)))).to_pylist()
+        assert {(r["key"], r["gram"]) for r in out} == {(k, 7) for k in keys} | {(keys[0], 8), (keys[-1], 8)}
+        assert len({r["large"] for r in out if r["gram"] == 7}) == 1 and not any(r["large"] for r in out if r["gram"] == 8)
+
+
 def test_repeats_keep_characters(spark):
     df = spark.createDataFrame([(1, "é" * 3 + "x" * 60 + "è"), (2, "ü" + "x" * 60 + "é"), (3, None)], "doc_id long, text string")
     out = {r.doc_id: r.text for r in repeats.deduplicate(spark, df, 50, 20).collect()}
