@@ -135,6 +135,18 @@ def test_sharding(spark, docs, rows, empty):
     assert sharding.shard(spark, empty).count() == 0
 
 
+def test_sharding_keeps_groups_whole(spark):
+    """20 groups of 300 copies among 10,000 documents fit whole into 16 shards."""
+    df = spark.range(10_000).selectExpr("id AS doc_id", "CASE WHEN id < 6000 THEN concat('group ', id % 20) ELSE concat('own ', id) END AS text")
+    got = sharding.shard(spark, df.repartition(3)).collect()
+    assert Counter(Counter(r.shard for r in got).values()) == {625: 16} and len({r.doc_id for r in got}) == 10_000
+    held = {}
+    for r in got:
+        if r.doc_id < 6000:
+            held.setdefault(r.doc_id % 20, set()).add(r.shard)
+    assert sorted(len(s) for s in held.values()) == [1] * 20
+
+
 def test_sharding_splits_a_group_larger_than_a_shard(spark):
     df = spark.createDataFrame([(i, "same" if i < 60 else f"t{i}") for i in range(160)], "doc_id long, text string")
     got = sharding.shard(spark, df, shards=8).collect()
