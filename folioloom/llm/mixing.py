@@ -87,18 +87,31 @@ def _planned(spark: SparkSession, docs: DataFrame, weights: dict[str | None, flo
     return rows.select("_row", "_source", "_id", "_block", (F.floor(F.col("_block") / F.col("a")) * len(plan) + F.col("slot")).cast("long").alias("_slot"), "_at")
 
 
-def schedule(spark: SparkSession, docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, block_rows: int = 64, period: int = PERIOD, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, source, block, slot, position (gapless from 0, by slot) of every document."""
-    rows = _planned(spark, docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")), weights, alpha, block_rows, period, "source", "doc_id")
-    if rows is None:
-        return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), *[F.lit(0).cast("long").alias(c) for c in ("block", "slot", "position")]).limit(0)
+def positioned(rows: DataFrame) -> DataFrame:
+    """Adds `position`, gapless from 0 by slot."""
     filled = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).withColumn("_span", F.floor(F.col("_slot") / 4096))
     spans = filled.groupBy("_span").agg(F.sum("_n").alias("_n"))  # few: slots by thousands
     spans = spans.select(F.col("_span").alias("_s"), F.coalesce(F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_span").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = filled.withColumn("_inner", inner).join(spans, F.col("_span") == F.col("_s")).select("_slot", (F.col("_before") + F.col("_inner")).alias("_first"))
-    out = rows.drop("_row").join(first, "_slot")
-    return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), (F.col("_first") + F.col("_at")).cast("long").alias("position"))
+    return rows.join(first, "_slot").withColumn("position", (F.col("_first") + F.col("_at")).cast("long"))
+
+
+def schedule(spark: SparkSession, docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, block_rows: int = 64, period: int = PERIOD, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, source, block, slot, position (gapless from 0, by slot) of every document."""
+    rows = _planned(spark, docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")), weights, alpha, block_rows, period, "source", "doc_id")
+    if rows is None:
+        return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), *[F.lit(0).cast("long").alias(c) for c in ("block", "slot", "position")]).limit(0)
+    out = positioned(rows.drop("_row"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), "position")
+
+
+def positions(spark: SparkSession, docs: DataFrame, alpha: float = 0.5, block_rows: int = 64, period: int = PERIOD, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """The same rows and columns and `position`, by the schedule that `mix` follows."""
+    rows = _planned(spark, docs, None, alpha, block_rows, period, source_col, id_col)
+    if rows is None:
+        return docs.withColumn("position", F.lit(0).cast("long"))
+    return positioned(rows).select("_row.*", "position")
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, block_rows: int = 64, period: int = PERIOD, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:

@@ -168,3 +168,25 @@ def test_pipeline_runs_as_one(spark):
     import corpus_pipeline as pipeline
 
     assert pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_packed_sequences_follow_the_mixture(spark, monkeypatch):
+    """Every prefix of the sequences has each source's share to within a window, whatever order the rows come in."""
+    import corpus_pipeline as pipeline
+    from folioloom.llm import mixing, packing
+
+    monkeypatch.setattr(packing, "WINDOW", 256)
+    size = {"a": 2500, "b": 400, None: 100}
+    rows = [(10_000 * k + i, f"word {i} " * (1 + i % 7), "en", s, 0) for k, (s, n) in enumerate(size.items()) for i in range(n)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = pipeline.packed(spark, spark.createDataFrame(rows, schema).repartition(5), "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert {r.sequence_id for r in got} == set(range(max(r.sequence_id for r in got) + 1))
+    where = {r[0]: r[3] for r in rows}
+    slots = {r.doc_id: r.position for r in mixing.schedule(spark, spark.createDataFrame(rows, schema)).collect()}
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))]
+    plan = sorted(slots, key=slots.get)
+    for n in range(256, len(order) + 1, 100):
+        for s in size:
+            assert abs(sum(where[d] == s for d in order[:n]) - sum(where[d] == s for d in plan[:n])) <= 256
+    assert all(slots[d] // 256 == i // 256 for i, d in enumerate(order))
