@@ -127,18 +127,13 @@ def box_blur_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_arrays(spark, sf_dir).select("vec_id", F.explode(cells).alias("c")).select("vec_id", "c.*")
 
 
-@query(f"""WITH p AS (SELECT vec_id // 8 AS image, vec_id % 8 AS y, x, v FROM {PIX_SQL}),
-s AS (SELECT a.image, a.y, a.x, a.v, (SELECT sum(b.v) FROM p b WHERE b.image = a.image AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1) AS around, (SELECT max(b.y) FROM p b WHERE b.image = a.image) AS bottom FROM p a WHERE a.image < 6)
-SELECT image, y, x, (CASE WHEN y = 0 OR x = 0 OR x = 63 OR y = bottom THEN v ELSE 9 * v - around END > 6)::BIGINT AS drawn FROM s""")
-def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first images of `edge_filter_whole`."""
-    return edge_filter_whole(spark, sf_dir).where("image < 6")
+EDGE_SQL = f"""WITH p AS (SELECT vec_id // 8 AS image, vec_id % 8 AS y, x, v, sum(v) OVER (PARTITION BY vec_id ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS three FROM {PIX_SQL}),
+s AS (SELECT *, sum(three) OVER (PARTITION BY image, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around, max(y) OVER (PARTITION BY image) AS bottom, max(x) OVER (PARTITION BY image, y) AS last FROM p)
+SELECT image, y, x, (CASE WHEN y = 0 OR x = 0 OR x = last OR y = bottom THEN v ELSE 9 * v - around END > 6)::BIGINT AS drawn FROM s"""
 
 
-@query(f"""WITH p AS (SELECT vec_id // 8 AS image, vec_id % 8 AS y, x, v, sum(v) OVER (PARTITION BY vec_id ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS three FROM {PIX_SQL}),
-s AS (SELECT *, sum(three) OVER (PARTITION BY image, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around, max(y) OVER (PARTITION BY image) AS bottom, max(x) OVER (PARTITION BY image, y) AS last FROM p)
-SELECT image, y, x, (CASE WHEN y = 0 OR x = 0 OR x = last OR y = bottom THEN v ELSE 9 * v - around END > 6)::BIGINT AS drawn FROM s""")
-def edge_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(EDGE_SQL)
+def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels that differ from their eight neighbours, borders by their own value, on all images of 8 rows; a missing row counts as 0."""
     rows = row_arrays(spark, sf_dir).selectExpr("vec_id div 8 AS image", "vec_id % 8 AS y", "v")
     w = Window.partitionBy("image").orderBy("y")
@@ -150,3 +145,9 @@ def edge_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     border = lambda i: F.col("edge") | (i == 0) | (i == F.size("v") - 1)
     cells = F.transform("v", lambda v, i: F.struct(i.cast("long").alias("x"), (F.when(border(i), v).otherwise(inner(v, i)) > 6).cast("long").alias("drawn")))
     return rows.select("image", "y", F.explode(cells).alias("c")).select("image", "y", "c.*")
+
+
+@query(EDGE_SQL)
+def edge_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`edge_filter` under its other name."""
+    return edge_filter(spark, sf_dir)

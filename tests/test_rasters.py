@@ -201,3 +201,19 @@ def test_edge_filter_takes_every_image(spark, tmp_path):
             edge = i % 8 in (0, bottom) or x in (0, 63)
             want[i // 8, i % 8, x] = int((value[i][x] if edge else 9 * value[i][x] - around) > 6)
     assert {(r.image, r.y, r.x): r.drawn for r in pixels.edge_filter_whole(spark, str(tmp_path)).collect()} == want
+
+
+def test_merge_near_against_one_pair_at_a_time():
+    """Hulls as by uniting any two near boxes, over and over."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        left, top = rng.integers(0, 60, 8), rng.integers(0, 20, 8)
+        boxes = [tuple(map(float, b)) for b in zip(left, left + rng.integers(0, 12, 8), top, top, strict=True)]
+        want = list(boxes)
+        while pair := next(((a, b) for i, a in enumerate(want) for b in want[:i] if max(a[0] - b[1], b[0] - a[1]) <= 3 and max(a[2] - b[3], b[2] - a[3]) <= 2), None):
+            a, b = pair
+            want.remove(a)
+            want.remove(b)
+            want.append((min(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3])))
+        assert sorted(map(tuple, R.merge_near(np.array(boxes), 3, 2).tolist())) == sorted(want)
+    assert R.merge_near(np.zeros((0, 4)), 1, 1).shape == (0, 4)
