@@ -83,6 +83,52 @@ def _lengths(counts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([k for k in range(17) for _ in range(per[k])], symbols, strict=True))
 
 
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    return np.frexp(np.abs(x).astype(np.float64))[1]
+
+
+def _events(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Table (0, 2: DC; 1, 3: AC), symbol, further bits and their number, in the order of the scan; units: groups x blocks x 64 of each component."""
+    per = [u.shape[1] for u in units]
+    blocks = np.concatenate(units, axis=1)
+    component = np.tile(np.repeat(np.arange(len(units)), per), len(blocks))
+    diff = np.concatenate([np.diff(u[..., 0].ravel(), prepend=0).reshape(u.shape[:2]) for u in units], axis=1).ravel()
+    blocks = blocks.reshape(-1, 64)
+    row, k = np.nonzero(blocks[:, 1:])
+    k += 1
+    first = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
+    run = k - np.where(first, 0, np.concatenate(([0], k[:-1]))) - 1
+    last = np.zeros(len(blocks), np.int64)
+    last[row] = k  # the highest place comes last
+    ended = np.flatnonzero(last < 63)
+    long_ = run >> 4
+    skips = np.repeat(np.arange(len(row)), long_)
+    # A place in the scan: block, then twice the coefficient, runs of 16 zeros before it.
+    place = np.concatenate((np.arange(len(blocks)) << 8, (row[skips] << 8) + 2 * k[skips], (row << 8) + 2 * k + 1, (ended << 8) + 255))
+    ac = blocks[row, k]
+    size = [_bit_length(diff), np.zeros(len(skips), np.int64), _bit_length(ac), np.zeros(len(ended), np.int64)]
+    symbol = np.concatenate((size[0], np.full(len(skips), 0xF0), (run & 15) << 4 | size[2], size[3]))
+    value = np.concatenate((diff, size[1], ac, size[3]))
+    width = np.concatenate(size)
+    value = np.where(value < 0, value + (1 << width) - 1, value)
+    table = 2 * np.minimum(component, 1)
+    table = np.concatenate((table, table[row[skips]] + 1, table[row] + 1, table[ended] + 1))
+    order = np.argsort(place, kind="stable")
+    return table[order], symbol[order], value[order], width[order].astype(np.int64)
+
+
+def _packed(word: np.ndarray, size: np.ndarray) -> bytes:
+    """The words' lowest `size` bits in a row, filled up with ones."""
+    out = []
+    for a in range(0, len(word), 1 << 18):
+        w, n = word[a : a + (1 << 18)], size[a : a + (1 << 18)]
+        ends = np.cumsum(n)
+        shift = np.repeat(ends, n) - 1 - np.arange(ends[-1])
+        out.append((np.repeat(w, n) >> shift & 1).astype(np.uint8))
+    bits = np.concatenate(out)
+    return np.packbits(np.append(bits, np.ones(-len(bits) % 8, np.uint8))).tobytes()
+
+
 def jpeg(a: np.ndarray, quality: int) -> bytes:
     """Baseline JPEG with its own Huffman tables; colour has its chroma halved both ways."""
     h, w = a.shape[:2]
@@ -109,41 +155,20 @@ def jpeg(a: np.ndarray, quality: int) -> bytes:
         c = dct @ blocks @ dct.T / tables[min(i, 1)]
         c = (np.sign(c) * np.floor(np.abs(c) + 0.5)).astype(np.int64).reshape(mh * s, mw * s, 64)[..., zigzag]
         units.append(c.reshape(mh, s, mw, s, 64).transpose(0, 2, 1, 3, 4).reshape(mh * mw, s * s, 64))
-    order: list[tuple[int, int, int, int]] = []
-    last = [0] * len(units)
-    for m in range(mh * mw):
-        for i, u in enumerate(units):
-            t = 2 * min(i, 1)
-            for block in u[m]:
-                diff, last[i] = int(block[0]) - last[i], int(block[0])
-                n = abs(diff).bit_length()
-                order.append((t, n, diff if diff >= 0 else diff + (1 << n) - 1, n))
-                at = np.flatnonzero(block[1:])
-                before = 0
-                for x in at.tolist():
-                    run, before = x - before, x + 1
-                    while run > 15:
-                        order.append((t + 1, 0xF0, 0, 0))
-                        run -= 16
-                    v = int(block[1 + x])
-                    n = abs(v).bit_length()
-                    order.append((t + 1, run << 4 | n, v if v >= 0 else v + (1 << n) - 1, n))
-                if before < 63:
-                    order.append((t + 1, 0, 0, 0))
-    codes, huffman = {}, b""
+    table, symbol, value, width = _events(units)
+    codes, lengths, huffman = np.zeros((4, 256), np.int64), np.zeros((4, 256), np.int64), b""
     for t in range(2 * min(len(units), 2)):
-        counts = np.bincount([s for c, s, _, _ in order if c == t], minlength=256)
-        code, width, lengths = 0, 0, _lengths(counts)
-        for n, s in lengths:
-            code <<= n - width
-            width = n
-            codes[t, s] = (code, n)
+        chosen = _lengths(np.bincount(symbol[table == t], minlength=256))
+        code = before = 0
+        for n, s in chosen:
+            code <<= n - before
+            before = n
+            codes[t, s], lengths[t, s] = code, n
             code += 1
-        per = [sum(n == i for n, _ in lengths) for i in range(1, 17)]
-        huffman += bytes([(t % 2) << 4 | t // 2, *per, *(s for _, s in lengths)])
-    bits = "".join(f"{codes[c, s][0]:0{codes[c, s][1]}b}" + (f"{v:0{n}b}" if n else "") for c, s, v, n in order)
-    bits += "1" * (-len(bits) % 8)
-    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
+        per = [sum(n == i for n, _ in chosen) for i in range(1, 17)]
+        huffman += bytes([(t % 2) << 4 | t // 2, *per, *(s for _, s in chosen)])
+    word, size = codes[table, symbol] << width | value, lengths[table, symbol] + width
+    scan = _packed(word, size).replace(b"\xff", b"\xff\x00")
     segment = lambda mark, body: bytes([0xFF, mark]) + struct.pack(">H", len(body) + 2) + body
     quant = b"".join(bytes([i, *tables[i].ravel()[zigzag].tolist()]) for i in range(min(len(units), 2)))
     frame = struct.pack(">BHHB", 8, h, w, len(units)) + b"".join(bytes([i + 1, s << 4 | s, min(i, 1)]) for i, s in enumerate(sampling))

@@ -1,6 +1,7 @@
 """Sequential JPEG decoding in NumPy: Huffman-coded 8-bit images of one or three components; no progressive ones.
 
-Entropy decoding is a loop over symbols; the inverse transform, smooth upsampling and colour are done on whole planes.
+Entropy decoding walks from code to code over tables made for all bits at once; the inverse transform, smooth upsampling
+and colour are done on whole planes.
 """
 
 from __future__ import annotations
@@ -17,61 +18,113 @@ class JpegError(ValueError):
     pass
 
 
-def _lookup(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
+def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
     """For each 16 bits: length and symbol of the code they begin with (length 0: none)."""
-    table, code, at = [(0, 0)] * 65_536, 0, 0
+    table, at, first = np.zeros((65_536, 2), np.uint8), 0, 0
     for length, n in enumerate(counts, 1):
         for s in symbols[at : at + n]:
-            first = code << (16 - length)
-            table[first : first + (1 << (16 - length))] = [(length, s)] * (1 << (16 - length))
-            code += 1
+            table[first : first + (1 << (16 - length))] = length, s
+            first += 1 << (16 - length)
         at += n
-        code <<= 1
     return table
 
 
-def _blocks(segment: bytes, plan: list[tuple[int, list, list]], units: int, out: list[list[list[tuple[int, int]]]]) -> None:
-    """Coefficients (place, value) of the blocks of `units` groups; plan: component and its two tables, block by block."""
-    data = segment.replace(b"\xff\x00", b"\xff") + bytes(8)
-    acc = bits = at = 0
-    last = [0] * len(out)
-    size = len(data)
-    for _ in range(units):
-        for c, dc, ac in plan:
-            block: list[tuple[int, int]] = []
-            k = 0
-            while k < 64:
-                if bits < 32:
-                    if at >= size:
-                        raise JpegError("the data ends early")
-                    acc = (acc & (1 << bits) - 1) << 32 | int.from_bytes(data[at : at + 4].ljust(4, b"\0"), "big")
-                    bits, at = bits + 32, at + 4
-                length, s = (ac if k else dc)[acc >> (bits - 16) & 0xFFFF]
-                if not length:
-                    raise JpegError("a code is unknown")
-                bits -= length
-                n, run = s & 15, s >> 4
-                value = 0
-                if n:
-                    bits -= n
-                    value = acc >> bits & (1 << n) - 1
-                    if value < 1 << (n - 1):
-                        value -= (1 << n) - 1
-                if not k:
-                    last[c] += value
-                    block.append((0, last[c]))
-                    k = 1
-                elif n:
-                    k += run
-                    if k > 63:
-                        raise JpegError("a block is too long")
-                    block.append((k, value))
-                    k += 1
-                elif run == 15:
-                    k += 16
-                else:
-                    break
-            out[c].append(block)
+class _Bits:
+    """A part of a scan between restart markers: what a code at each bit would be."""
+
+    def __init__(self, segment: bytes):
+        self.data = np.frombuffer(segment.replace(b"\xff\x00", b"\xff") + bytes(16), np.uint8)
+        self.size = 8 * (len(self.data) - 16)
+
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """The 16 bits from each place on."""
+        i, d = at >> 3, self.data
+        i = np.minimum(i, len(d) - 4)
+        three = d[i].astype(np.int64) << 16 | d[i + 1].astype(np.int64) << 8 | d[i + 2]
+        return three >> (8 - (at & 7)) & 0xFFFF
+
+    def everywhere(self, *tables: np.ndarray) -> list[bytes]:
+        """Each table's entry for the 16 bits from every place on."""
+        out: list[list[bytes]] = [[] for _ in tables]
+        for a in range(0, len(self.data) - 3, 1 << 16):
+            d = self.data[a : a + (1 << 16) + 3].astype(np.int32)
+            three = d[:-3] << 16 | d[1:-2] << 8 | d[2:-1]
+            window = (three[:, None] >> (8 - np.arange(8)) & 0xFFFF).ravel()
+            for o, t in zip(out, tables, strict=True):
+                o.append(t[window].tobytes())
+        return [b"".join(o) for o in out]
+
+    def values(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Signed numbers of n bits at the places."""
+        v = self.windows(at) >> (16 - n)
+        return np.where((n > 0) & (v < 1 << np.maximum(n - 1, 0)), v - (1 << n) + 1, v)
+
+
+#: Steps of a block's place that mark its end and an unknown code; more than any run.
+ENDS, UNKNOWN = 128, 255
+
+
+def _blocks(segment: bytes, plan: list[tuple[int, np.ndarray, np.ndarray]], units: int, kinds: int) -> tuple[list[np.ndarray], ...]:
+    """Of `units` groups, for each component: DC values, and block, place and value of the others. plan: component and its two tables, block by block.
+
+    How far a code and its bits reach is looked up at every bit at once; a lean loop then walks from code to code.
+    """
+    bits = _Bits(segment)
+    reach: dict[int, tuple[bytes, bytes]] = {}
+    for _, dc, ac in plan:
+        if id(dc) not in reach:
+            reach[id(dc)] = (bits.everywhere(dc[:, 0] + dc[:, 1])[0], b"")
+        if id(ac) not in reach:
+            run, n = ac[:, 1] >> 4, ac[:, 1] & 15
+            step = np.where(n > 0, run + 1, np.where(run == 15, 16, ENDS))
+            reach[id(ac)] = tuple(bits.everywhere(ac[:, 0] + n, np.where(ac[:, 0] > 0, step, UNKNOWN).astype(np.uint8)))
+    walk = [(reach[id(dc)][0], *reach[id(ac)]) for _, dc, ac in plan]
+    at, starts, codes, ends = 0, [], [], []
+    note = codes.append
+    try:
+        for _ in range(units):
+            for dc_reach, ac_reach, ac_step in walk:
+                starts.append(at)
+                at += dc_reach[at]
+                k = 1
+                while k < 64:
+                    note(at)
+                    k += ac_step[at]
+                    at += ac_reach[at]
+                ends.append(len(codes))
+    except IndexError:
+        raise JpegError("the data ends early") from None
+    if at > bits.size + 7 * 8:
+        raise JpegError("the data ends early")
+    starts, codes, ends = (np.array(x, dtype=np.int64) for x in (starts, codes, ends))
+    of = np.tile([c for c, _, _ in plan], units)
+    block = np.repeat(np.arange(len(starts)), np.diff(ends, prepend=0))
+    out: tuple[list[np.ndarray], ...] = ([], [], [], [])
+    for c in range(kinds):
+        _, dc, ac = next(p for p in plan if p[0] == c)
+        mine = of == c
+        length, n = dc[bits.windows(starts[mine])].T.astype(np.int64)
+        if not length.all() or n.max(initial=0) > 15:
+            raise JpegError("a code is unknown")
+        out[0].append(np.cumsum(bits.values(starts[mine] + length, n)))
+        number = np.cumsum(mine) - 1
+        own = mine[block]
+        at_code, of_block = codes[own], number[block[own]]
+        length, symbol = ac[bits.windows(at_code)].T.astype(np.int64)
+        if not length.all():
+            raise JpegError("a code is unknown")
+        n, run = symbol & 15, symbol >> 4
+        step = np.where(n > 0, run + 1, np.where(run == 15, 16, 0))
+        total = np.cumsum(step)
+        head = np.flatnonzero(np.diff(of_block, prepend=-1))
+        k = total - np.repeat(total[head] - step[head], np.diff(np.append(head, len(step)))) if len(step) else total
+        if k.max(initial=0) > 63 and ((k > 63) & (n > 0)).any():
+            raise JpegError("a block is too long")
+        there = n > 0
+        out[1].append(of_block[there])
+        out[2].append(k[there])
+        out[3].append(bits.values(at_code + length, n)[there])
+    return out
 
 
 def _double(p: np.ndarray, both: bool) -> np.ndarray:
@@ -95,7 +148,7 @@ def _double(p: np.ndarray, both: bool) -> np.ndarray:
 def decode(data: bytes) -> np.ndarray:
     """Gray or RGB samples."""
     quant: dict[int, np.ndarray] = {}
-    huffman: dict[tuple[int, int], list] = {}
+    huffman: dict[tuple[int, int], np.ndarray] = {}
     frame: list[tuple[int, int, int, int]] = []
     w = h = interval = 0
     adobe = None
@@ -147,23 +200,24 @@ def decode(data: bytes) -> np.ndarray:
     if end is None:
         raise JpegError("the data ends early")
     parts = re.split(rb"\xff[\xd0-\xd7]", scan[: end.start()])
-    blocks: list[list[list[tuple[int, int]]]] = [[] for _ in frame]
-    left = across * down
+    coefficients = [np.zeros((across * down * f[1] * f[2], 64)) for f in frame]
+    left, done = across * down, 0
     for part in parts:
         units = min(left, interval or left)
         if units:
-            _blocks(part, plan, units, blocks)
-        left -= units
+            for i, (f, dc, block, place, value) in enumerate(zip(frame, *_blocks(part, plan, units, len(frame)), strict=True)):
+                first = done * f[1] * f[2]
+                coefficients[i][first : first + len(dc), 0] = dc
+                coefficients[i][first + block, place] = value
+        left, done = left - units, done + units
     if left:
         raise JpegError("the data ends early")
     k = np.arange(8)
     dct = np.where(k[:, None] == 0, np.sqrt(0.125), 0.5) * np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16)
     zigzag, planes = np.array(ZIGZAG), []
-    for (_, fh, fv, q), own in zip(frame, blocks, strict=True):
-        c = np.zeros((len(own), 64))
-        rows = np.repeat(np.arange(len(own)), [len(b) for b in own])
-        flat = np.array([x for b in own for x in b], dtype=np.int64).reshape(-1, 2)
-        c[rows, zigzag[flat[:, 0]]] = flat[:, 1] * quant[q][flat[:, 0]]
+    for (_, fh, fv, q), own in zip(frame, coefficients, strict=True):
+        c = np.zeros_like(own)
+        c[:, zigzag] = own * quant[q]
         p = np.clip(np.floor(dct.T @ c.reshape(-1, 8, 8) @ dct + 128.5), 0, 255)
         p = p.reshape(down, across, fv, fh, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * fv * 8, across * fh * 8)
         pw, ph = -(-w * fh // most_h), -(-h * fv // most_v)
