@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from functools import reduce
 
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master (tests) may do without the setting; a cluster may not."""
+    if told := spark.conf.get("spark.checkpoint.dir", ""):
+        return told.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints"
 
 
 class Scratch:

@@ -154,31 +154,68 @@ def test_sharding_splits_a_group_larger_than_a_shard(spark):
     assert len({r.shard for r in got if r.text_crc32 == zlib.crc32(b"same")}) <= 4
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.floats(0.01, 10), min_size=1, max_size=9))
-def test_schedule_stays_within_a_block(weights):
-    share = mixing.shares({f"s{i}": w for i, w in enumerate(weights)}, 256)
-    assert sum(share.values()) == 256
-    seen = dict.fromkeys(share, 0)
-    for t, s in enumerate(mixing.period_plan(share), 1):
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.tuples(st.floats(1e-6, 1e6), st.integers(0, 60)), min_size=1, max_size=9))
+def test_schedule_stays_within_a_block_of_the_weights(given_sources):
+    """After every slot each source is within one block of min(w t, B), to the end; w is the weight itself, not rounded."""
+    from fractions import Fraction
+
+    weights = {f"s{i}" if i else None: w for i, (w, _) in enumerate(given_sources)}
+    blocks = {s: b for s, (_, b) in zip(weights, given_sources, strict=True)}
+    out = list(mixing.plan(weights, blocks))
+    assert [t for *_, t in out] == sorted({t for *_, t in out})
+    assert Counter(s for s, *_ in out) == Counter({s: b for s, b in blocks.items() if b})
+    total = sum(map(Fraction, weights.values()))
+    part = {s: Fraction(w) / total for s, w in weights.items()}
+    seen = dict.fromkeys(weights, 0)
+    for s, j, slot in out:
+        # Just before the slot and just after it: between slots used, targets only move away from what is put in at known ends.
+        for t, n in ((slot, seen[s]), (slot + 1, seen[s] + 1)):
+            assert abs(n - min(part[s] * t, blocks[s])) < 1
+        assert j == seen[s]
         seen[s] += 1
-        assert all(abs(seen[x] - share[x] * t / 256) < 1 for x in share)
-    assert seen == share
+        for x in weights:
+            assert abs(seen[x] - min(part[x] * (slot + 1), blocks[x])) < 1
+
+
+def test_schedule_equals_a_walk_over_all_slots():
+    """Earliest deadline first, slot by slot, by the windows of the weights."""
+    weights, blocks = {"a": 0.7, "b": 0.0001, "c": 0.2999, None: 0.0}, {"a": 50, "b": 3, "c": 40, None: 2}
+    from fractions import Fraction
+
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    inverse = {s: sum(exact.values()) / exact[s] for s in "abc"}
+    done, want, t = dict.fromkeys(weights, 0), [], 0
+    while any(done[s] < blocks[s] for s in "abc"):
+        free = [(math.ceil((done[s] + 1) * inverse[s]), s) for s in "abc" if done[s] < blocks[s] and math.floor(done[s] * inverse[s]) <= t]
+        if free:
+            s = min(free)[1]
+            want.append((s, done[s], t))
+            done[s] += 1
+        t += 1
+    want += [(None, 0, want[-1][2] + 1), (None, 1, want[-1][2] + 2)]
+    assert list(mixing.plan(weights, blocks)) == want
 
 
 def test_mixing(spark, docs, rows, empty):
-    got = mixing.schedule(spark, docs, block_rows=2, period=64).collect()
-    assert Counter((r.doc_id, r.source) for r in got) == Counter((d, s) for d, _, _, s, *_ in rows)
-    got.sort(key=lambda r: r.position)
-    assert [r.position for r in got] == list(range(len(rows)))
-    assert all(a.slot <= b.slot for a, b in zip(got, got[1:], strict=False))
-    for s in {r.source for r in got}:
-        sizes = Counter(r.block for r in got if r.source == s)
-        assert all(sizes[b] == 2 for b in range(len(sizes) - 1)) and set(sizes) == set(range(len(sizes)))
-    mix = mixing.mix(spark, docs, block_rows=2, period=64)
-    assert mix.columns == docs.columns
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
-    assert sorted(map(tuple, sorted(mix.collect(), key=key)), key=str) == sorted(rows, key=str)
+    weights = {"hot": 0.5, None: 0.3, "s1": 0.15, "s2": 0.05}
+    for given_weights in (None, weights):
+        got = mixing.schedule(spark, docs, given_weights, block_rows=2).collect()
+        assert Counter((r.doc_id, r.source) for r in got) == Counter((d, s) for d, _, _, s, *_ in rows)
+        got.sort(key=lambda r: r.position)
+        assert [r.position for r in got] == list(range(len(rows)))
+        counts = Counter(r.source for r in got)
+        used = mixing.size_weights(counts, 0.5) if given_weights is None else {s: given_weights.get(s, 0.0) for s in counts}
+        want = list(mixing.plan(used, {s: -(-n // 2) for s, n in counts.items()}))
+        assert list(dict.fromkeys((r.source, r.block, r.slot) for r in got)) == want
+        for (s, b, _), n in Counter((r.source, r.block, r.slot) for r in got).items():
+            assert n == 2 or (n == 1 and b == counts[s] // 2)
+        mix = mixing.mix(spark, docs, given_weights, block_rows=2)
+        assert mix.columns == docs.columns
+        mixed = mix.collect()
+        key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+        assert sorted(map(tuple, mixed), key=key) == sorted(rows, key=key)
+        assert [r.source for r in mixed] == [r.source for r in got]
     assert mixing.schedule(spark, empty).count() == 0 and mixing.mix(spark, empty).count() == 0
 
 
@@ -214,7 +251,7 @@ def test_repeats_hot_path_in_workers():
     """The task functions with small limits: rare and frequent q-grams of one bucket end alike."""
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"salt": pa.array([0, 0, 0, 1, 2], pa.int32()), "gram": pa.array([5, 5, 6, 5, 5]), "key": pa.array([b"a" * 16, None, b"b" * 16, b"c" * 16, b"d" * 16], pa.binary()), "twice": [False, True, False, False, False], "hot": [False, True, False, True, True]})
+    batch = pa.RecordBatch.from_pydict({"salt": pa.array([0, 0, 0, 1, 2], pa.int32()), "gram": pa.array([5, 5, 6, 5, 5]), "key": pa.array([b"a" * 16, None, b"b" * 16, b"c" * 16, b"d" * 16], pa.binary()), "times": [1, 2, 1, 1, 1], "hot": [False, True, False, True, True]})
     out = pa.Table.from_batches(repeats._alive(iter([batch]))).to_pylist()
     assert [(r["key"][:1], r["large"]) for r in out] == [(b"a", True), (b"c", True), (b"d", True)]
 
@@ -225,7 +262,7 @@ def test_repeats_stream_a_bucket_as_one(monkeypatch):
 
     monkeypatch.setattr(repeats, "LARGE", 5)
     keys = [bytes([i]) * 16 for i in range(3) for _ in range(15)]
-    t = pa.table({"gram": pa.array([7] * 45 + [8, 8], pa.int64()), "key": pa.array([*keys, keys[0], keys[-1]], pa.binary()), "twice": [False] * 47, "hot": [False] * 47, "salt": pa.array([0] * 47, pa.int32())})
+    t = pa.table({"gram": pa.array([7] * 45 + [8, 8], pa.int64()), "key": pa.array([*keys, keys[0], keys[-1]], pa.binary()), "times": [1] * 47, "hot": [False] * 47, "salt": pa.array([0] * 47, pa.int32())})
     for most in (4, 7, 21, 47):
         out = pa.Table.from_batches(repeats._alive(iter(t.to_batches(most)))).to_pylist()
         assert {(r["key"], r["gram"]) for r in out} == {(k, 7) for k in keys} | {(keys[0], 8), (keys[-1], 8)}
@@ -308,3 +345,65 @@ def test_bm25(spark, docs, rows, empty):
     got = {(r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in bm25.search(spark, docs, docs.where("doc_id % 4 = 0"), k=5).collect()}
     assert got == want
     assert bm25.search(spark, empty, empty).count() == 0
+
+
+def _index(entries, mean):
+    return bm25.Index([np.array(sorted(e), np.uint64) for e in entries], [np.array([e[t] for t in sorted(e)], np.int32) for e in entries], np.array([sum(e.values()) for e in entries]), mean, 1.2, 0.75)
+
+
+@pytest.mark.parametrize(("dense", "step"), [(1, 1), (4, 1), (4, 3), (10**6, 64)])
+def test_bm25_skips_blocks_and_loses_nothing(monkeypatch, dense, step):
+    """Against scores of all entries, with few dense lists, some or all; entries of one subject lie together."""
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    monkeypatch.setattr(bm25, "STEP", step)
+    monkeypatch.setattr(bm25, "DENSE", dense)
+    rng = np.random.default_rng(2)
+    entries = [Counter([*rng.integers(0, 12, 15).tolist(), *(100 + 10 * (i // 40) + rng.integers(0, 10, 6)).tolist()]) for i in range(400)]
+    entries[333] = entries[17]
+    index = _index(entries, 21.0)
+    queries = [(np.array(sorted(e), np.uint64), rng.uniform(0.1, 3, len(e))) for e in entries[::9]] + [(np.array([5000], np.uint64), np.ones(1)), (np.zeros(0, np.uint64), np.zeros(0))]
+    for (t, w), (found, scores) in zip(queries, index.search_many(queries, 5), strict=True):
+        norm = [1.2 * (0.25 + 0.75 * sum(e.values()) / 21.0) for e in entries]
+        full = np.round([sum(x * e[y] * 2.2 / (e[y] + n) for y, x in zip(t.tolist(), w.tolist(), strict=True) if y in e) for e, n in zip(entries, norm, strict=True)], 9)
+        best = np.flatnonzero((full > 0) & (full >= np.sort(full)[-5]))
+        assert np.array_equal(np.sort(found), best)
+        assert np.allclose(scores[np.argsort(found)], full[best], rtol=0, atol=2e-9)
+    if step < 64:
+        assert index.read < 0.7 * len(queries) * index.blocks
+
+
+def test_bm25_copies_in_two_shards_tie():
+    """Of two indexes with one text among others, the scores are the same to the last bit."""
+    rng = np.random.default_rng(8)
+    same = Counter(rng.integers(0, 300, 500).tolist())
+    weights = rng.uniform(0.1, 3, len(same))
+    query = (np.array(sorted(same), np.uint64), weights)
+    scores = set()
+    for n in (1, 5, 70):
+        index = _index([Counter(rng.integers(0, 400, 50).tolist()) for _ in range(n)] + [same], 60.0)
+        scores |= {s for found, got in index.search_many([query], 1) for s in got.tolist()}
+    assert len(scores) == 1
+
+
+def test_bm25_cuts_a_partition_into_shards(spark, docs):
+    """Shards of a partition are searched one after another; documents longer than a shard are one."""
+    import pyarrow as pa
+
+    scratch = bm25.Scratch(spark, "bm25-test")
+    words = [" ".join(f"w{(i * j) % 37}" for j in range(1, 40)) for i in range(1, 30)]
+    t, at = bm25.hashes(pa.array(words[:3]), bm25.PLAIN)
+    rows = [(q, [int(x) for x in np.unique(t[a:b]).view(np.int64)]) for q, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+    scratch.store(spark.createDataFrame([(q, x, [1.0] * len(x)) for q, x in rows], "query long, terms array<long>, weights array<double>"), "queries")
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(29)), "text": words})
+    found = []
+    for most in (10**9, 100, 5):
+        bm25.SHARD_WORDS, old = most, bm25.SHARD_WORDS
+        try:
+            got = pa.Table.from_batches(bm25._search(scratch.sub("queries"), 39.0, 3, 1.2, 0.75)(iter([batch]))).to_pylist()
+        finally:
+            bm25.SHARD_WORDS = old
+        best = {}
+        for r in got:
+            best.setdefault(r["query"], []).append((-r["score"], r["doc_id"]))
+        found.append({q: sorted(x)[:3] for q, x in best.items()})
+    assert found[0] == found[1] == found[2] and set(found[0]) == {0, 1, 2}
