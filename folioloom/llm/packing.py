@@ -191,7 +191,7 @@ def _keyed_pieces(path: str, end_id: int, capacity: int):
     return run
 
 
-def pack_mixed(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, alpha: float = 0.5, block_rows: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack_mixed(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, alpha: float = 0.5, block_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """As `pack`, with sequences in the order of the schedule of `mixing.mix`."""
     scratch = Scratch(spark, "pack")
     kind = dict(docs.dtypes)[id_col]

@@ -25,7 +25,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.schedule(spark, table(spark, sf_dir, "documents"), alpha=0.5, block_rows=64)
+    return mixing.schedule(spark, table(spark, sf_dir, "documents"), alpha=0.5)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
