@@ -1,22 +1,26 @@
 """Exact removal of repeated byte strings by bucket-pointer refinement of a sparse suffix order.
 
 Every byte covered by a `length`-byte string that starts at two or more places of the corpus (the same document
-included) is removed. Two starts are equal in the suffix order to depth `length` if one bucket holds both there.
-Buckets are refined from coarse to fine, and a start leaves as soon as its bucket holds it alone:
-
-1.  q-gram buckets: a start belongs to the q-gram with the smallest identifier in its string, the leftmost if several.
-    Equal strings choose the same q-gram at the same offset, and neighbouring starts mostly choose the same one, so
-    one of about (length - q) / 2 places stands for all starts. q-grams chosen at one place only are done.
-2.  The strings of the runs of starts left are brought to their q-gram's bucket (runs that a text holds twice, as one
-    does that repeats a phrase over and over, repeat already; one of them goes on for the others), which is refined by the starts'
-    offset from the q-gram, and then by doubling: a bucket identifier to depth 2h is made of those to depth h at a
-    start and h bytes on, the last step reusing identifiers of less depth to end at `length` exactly.
-
-Equal texts are refined once. A q-gram that is frequent within one task, or whose bucket has over LARGE members, is
-refined by counting its starts' identifiers over the cluster, spread by a salt; no bucket is gathered in a task then.
-Identifiers are 64-bit hashes, and equality is that of an offset, a q-gram and three more of them.
-
-Null texts count as empty. Repeated rows are copies of a text. An empty table gives no rows. Other columns are kept by
+included) is removed. Two such starts are neighbours in the suffix order, among those that agree in so many bytes.
+Only strings that may repeat are brought together:
+
+1.  A start belongs to the q-gram with the smallest identifier in its string, the leftmost if several. Equal strings
+    choose the same q-gram at the same offset, and neighbouring starts mostly choose the same one, so one of about
+    (length - q) / 2 places stands for all starts. q-grams chosen at one place only are done.
+2.  The strings of the runs of starts left are dealt by their q-gram (runs that a text holds twice, as one does that
+    repeats a phrase over and over, repeat already; one of them goes on for the others). `suffix_order` puts the
+    suffixes of those in a task in order: they lie in buckets by their first FIRST bytes, and each holds the pointer of its bucket. A
+    bucket is refined by sorting its members on the bucket pointers at the offset to which they agree, and is then
+    known as deep as both together. Pointers are updated at once, so buckets refined later, in the same pass and in
+    the next, split by what earlier ones have found, until all agree to `length` bytes or stand alone.
+3.  Neighbours in the order are compared byte by byte.
+
+Equal texts are refined once. A q-gram that is frequent within one task, or has over LARGE occurrences, is not
+gathered: each start of its strings is counted over the cluster by two independent 64-bit identifiers of its bytes,
+spread by a salt. There alone, and in telling texts apart (by 128 bits), equality is that of identifiers.
+
+Null texts count as empty. Repeated rows are copies of a text. Very long texts are read in slices that overlap, so
+nothing is lost between them. An empty table gives no rows. Other columns, whatever their names, are kept by
 `deduplicate` and ignored by `spans`; `spans` counts bytes, `deduplicate` keeps
 a character of which only some bytes repeat.
 """
@@ -36,13 +40,17 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, release_memory
 
-#: Members of a bucket beyond which it is refined over the cluster, and documents of one task that make a q-gram frequent.
-LARGE, FREQUENT = 5_000, 512
+#: Occurrences of a q-gram beyond which it is counted over the cluster, and those in one task that make it frequent.
+LARGE, FREQUENT = 1_000, 256
+#: q-grams that a task holds before it passes them on.
+HELD = 1 << 20
+#: Bytes of the first buckets (9 bits each, 0 behind the end), and parts of a pass, each of which sees what those before it found.
+FIRST, PARTS = 7, 4
 #: Bytes of strings that a task refines at a time.
 CHUNK = 1 << 20
 _SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
-_BYTES = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
+_BYTES, _OTHER = np.random.default_rng(11).integers(0, 2**64, (2, 256), dtype=np.uint64, endpoint=False)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,17 +64,17 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return up(np.uint64(_BASE)), up(np.uint64(pow(_BASE, -1, 2**64)))
 
 
-def gram_ids(data: np.ndarray, q: int) -> np.ndarray:
+def gram_ids(data: np.ndarray, q: int, table: np.ndarray = _BYTES) -> np.ndarray:
     """A 64-bit identifier of the q-gram at each place, from prefix sums of a polynomial."""
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     if n > _SLICE:
-        return np.concatenate([gram_ids(data[a : min(a + _SLICE + q - 1, len(data))], q) for a in range(0, n, _SLICE)])
+        return np.concatenate([gram_ids(data[a : min(a + _SLICE + q - 1, len(data))], q, table) for a in range(0, n, _SLICE)])
     up, down = _powers()
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTES[data] * down[: len(data)], out=sums[1:])
+    np.cumsum(table[data] * down[: len(data)], out=sums[1:])
     return _mix((sums[q:] - sums[:-q]) * up[:n])
 
 
@@ -103,36 +111,39 @@ def _runs(data: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _anchors(length: int, q: int):
-    """Each task's q-grams: (gram, key of the text, whether it is chosen twice in it, hot, salt)."""
+    """Each task's q-grams: (gram, key of the text, how often it is chosen in it, hot, salt)."""
+
+    def rows(held: list[tuple[np.ndarray, bytes, np.ndarray]]) -> pa.RecordBatch:
+        gram = np.concatenate([g for g, _, _ in held])
+        keys = np.repeat(np.frombuffer(b"".join(k for _, k, _ in held), dtype="V16"), [len(g) for g, _, _ in held])
+        times = np.concatenate([t for _, _, t in held])
+        _, code = np.unique(gram, return_inverse=True)
+        hot = np.bincount(code, times)[code] >= FREQUENT
+        salt = np.where(hot, np.arange(len(gram)) % 64, 0)
+        marks = np.unique(gram[hot])  # tell the tasks in which it is rare
+        gram, times, hot_all, salt = np.concatenate((gram, marks)), np.concatenate((times, np.full(len(marks), 2))), np.concatenate((hot, np.ones(len(marks), bool))), np.concatenate((salt, np.zeros(len(marks), np.int64)))
+        mark = np.concatenate((np.zeros(len(hot), bool), np.ones(len(marks), bool)))
+        raw = pa.Array.from_buffers(pa.binary(16), len(gram), [None, pa.py_buffer(keys.tobytes() + bytes(16 * len(marks)))])
+        key = pc.if_else(pa.array(mark), pa.scalar(None, pa.binary()), raw.cast(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), key, pa.array(times.astype(np.int64)), pa.array(hot_all), pa.array(np.where(hot_all & ~mark, salt + 1, 0).astype(np.int32))], ["gram", "key", "times", "hot", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, bytes, np.ndarray]] = []
         known: set[bytes] = set()
-
-        def rows() -> pa.RecordBatch:
-            gram = np.concatenate([g for g, _, _ in held])
-            keys = np.repeat(np.frombuffer(b"".join(k for _, k, _ in held), dtype="V16"), [len(g) for g, _, _ in held])
-            twice = np.concatenate([t for _, _, t in held])
-            _, code, n = np.unique(gram, return_inverse=True, return_counts=True)
-            hot = n[code] >= FREQUENT
-            salt = np.where(hot, np.arange(len(gram)) % 64, 0)
-            marks = np.unique(gram[hot])  # tell the tasks in which it is rare
-            gram, twice, hot_all, salt = np.concatenate((gram, marks)), np.concatenate((twice, np.ones(len(marks), bool))), np.concatenate((hot, np.ones(len(marks), bool))), np.concatenate((salt, np.zeros(len(marks), np.int64)))
-            mark = np.concatenate((np.zeros(len(hot), bool), np.ones(len(marks), bool)))
-            raw = pa.Array.from_buffers(pa.binary(16), len(gram), [None, pa.py_buffer(keys.tobytes() + bytes(16 * len(marks)))])
-            key = pc.if_else(pa.array(mark), pa.scalar(None, pa.binary()), raw.cast(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), key, pa.array(twice), pa.array(hot_all), pa.array(np.where(hot_all & ~mark, salt + 1, 0).astype(np.int32))], ["gram", "key", "twice", "hot", "salt"])
-
+        size = 0
         for batch in batches:
             for text in batch.column(0):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if len(data) < length or (key := hashlib.md5(data).digest()) in known:
                     continue
                 known.add(key)
-                gram, n = np.unique(_runs(np.frombuffer(data, np.uint8), length, q)[0], return_counts=True)
-                held.append((gram, key, n > 1))
+                held.append((lambda g, n: (g, key, n))(*np.unique(_runs(np.frombuffer(data, np.uint8), length, q)[0], return_counts=True)))
+                size += len(held[-1][0])
+                if size > HELD:
+                    yield rows(held)
+                    held, size = [], 0
         if held:
-            yield rows()
+            yield rows(held)
             held.clear()
         release_memory()
 
@@ -146,7 +157,7 @@ def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     streamed: int | None = None  # a gram that is too large to hold; its rows pass through
 
     def close(t: pa.Table, begun: bool = False) -> pa.RecordBatch:
-        """Rows of whole groups; of a group that is only begun, all texts, and as large as those to come."""
+        """Rows of whole groups; of a group that is only begun, all texts, and as large as those to come. Copies of a text count once."""
         gram = t.column("gram").to_numpy()
         head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(gram))))
@@ -154,12 +165,11 @@ def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         real = np.asarray(key.is_valid())
         width = np.frombuffer(b"".join(k or bytes(16) for k in key.to_pylist()), dtype="V16")
         new = np.concatenate(([True], (width[1:] != width[:-1]) | (gram[1:] != gram[:-1])))
-        texts = np.bincount(group[new & real], minlength=len(head))
+        found = np.bincount(group[new & real], t.column("times").to_numpy()[new & real], len(head))
         salted = t.column("salt").to_numpy() > 0
         hot = np.bincount(group, t.column("hot").to_numpy(zero_copy_only=False), len(head)) > 0
-        again = np.bincount(group, t.column("twice").to_numpy(zero_copy_only=False), len(head)) > 0
-        keep = new & real & (begun | salted | ((texts > 1) | again | hot)[group])
-        large = (begun | salted | ((texts > LARGE) | hot)[group])[keep]
+        keep = new & real & (begun | salted | ((found > 1) | hot)[group])
+        large = (begun | salted | ((found > LARGE) | hot)[group])[keep]
         return pa.RecordBatch.from_arrays([key.filter(pa.array(keep)), pa.array(gram[keep]), pa.array(large)], names)
 
     for batch in batches:
@@ -234,48 +244,102 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "salt", "key", "first", "place", "string"])
 
 
-def refine(gram: np.ndarray, place: np.ndarray, strings: list[bytes], length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket identifiers to depth `length` of all starts: (identifier, string's number, start in the string)."""
+def suffix_order(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """All places of `data` by their suffixes, as deep as `length` bytes; ends: of each place the end of its string.
+
+    A suffix ends with its string, and an end comes before any byte. Of suffixes that agree in `length` bytes the order is left open.
+    """
+    n = len(data)
+    at = np.arange(n)
+    first = np.zeros(n, np.int64)
+    for i in range(FIRST):
+        inside = at + i < ends
+        first[inside] |= (data[at[inside] + i].astype(np.int64) + 1) << (9 * (FIRST - 1 - i))
+    order = np.argsort(first, kind="stable")
+    pointer, depth = np.empty(n, np.int64), np.full(n, FIRST)
+
+    def point(places: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Points the members at (sorted) places to the last of their bucket; new: where a bucket begins. Returns the bucket sizes."""
+        heads = np.flatnonzero(new)
+        sizes = np.diff(np.append(heads, len(new)))
+        pointer[order[places]] = np.repeat(places[heads + sizes - 1], sizes)
+        return np.repeat(sizes, sizes)
+
+    ranked = first[order]
+    open_ = np.flatnonzero(point(at, np.concatenate(([True], ranked[1:] != ranked[:-1]))) > 1) if n else at
+    del first, ranked
+    while len(open_):  # places of buckets that are still refined
+        left = []
+        cuts = np.flatnonzero(np.diff(pointer[order[open_]], prepend=-1))
+        step = -(-len(cuts) // PARTS)
+        for a in range(0, len(cuts), step):
+            places = open_[cuts[a] : cuts[a + step] if a + step < len(cuts) else None]
+            member = order[places]
+            target = member + depth[member]
+            inside = target < ends[member]
+            # Behind an end nothing is equal: such a suffix comes first, each for itself.
+            key = np.where(inside, pointer[np.where(inside, target, 0)], -1 - member)
+            own = pointer[member]
+            by = np.lexsort((key, own))
+            member, key, own = member[by], key[by], own[by]
+            order[places] = member
+            new = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])))
+            reached = depth[member] + np.where(key >= 0, depth[np.where(key >= 0, member + depth[member], 0)], length)
+            size = point(places, new)
+            depth[member] = np.minimum(reached, length)
+            left.append(places[(size > 1) & (depth[member] < length)])
+        open_ = np.concatenate(left)
+    return order
+
+
+def repeated_starts(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string's number, start in it, whether its `length` bytes start elsewhere too) of all starts of all strings."""
     data = np.frombuffer(b"".join(strings), np.uint8)
-    size = np.array([len(s) for s in strings])
+    size = np.array([len(s) for s in strings], dtype=np.int64)
     base = np.cumsum(size) - size
-    ids, depth = gram_ids(data, min(q, length)), min(q, length)
-    while depth < length:  # to twice the depth, or to the end
-        step = min(depth, length - depth)
-        ids, depth = _mix(ids[:-step] * np.uint64(_BASE) + _mix(ids[step:])), depth + step
     n = size - length + 1
     owner = np.repeat(np.arange(len(strings)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    offset = (place[owner] - start).astype(np.uint64)
-    return _mix(_mix(ids[base[owner] + start] + offset * np.uint64(_BASE)) ^ gram[owner].view(np.uint64)), owner, start
+    ends = np.repeat(base + size, size)
+    order = suffix_order(data, ends, length)
+    order = order[order + length <= ends[order]]
+    same = np.zeros(len(data), bool)
+    a, b = order[:-1], order[1:]
+    for at in range(0, length, 8):  # byte by byte, eight at a time
+        wide = np.lib.stride_tricks.sliding_window_view(data, min(8, length - at))
+        equal = (wide[a + at] == wide[b + at]).all(1)
+        a, b = a[equal], b[equal]
+    same[a] = same[b] = True
+    return owner, start, same[base[owner] + start]
 
 
 def _refine(length: int, q: int):
-    """Spans of repeated strings from rows sorted by (gram, salt); of large buckets, every start with its identifier."""
+    """Spans of repeated strings from rows sorted by (gram, salt); of large buckets, every start with its identifiers."""
 
-    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        gram, salt, place, first = (t.column(c).to_numpy() for c in ("gram", "salt", "place", "first"))
-        keys = t.column("key").combine_chunks()
-        ids, owner, start = refine(gram, place, t.column("string").to_pylist(), length, q)
-        large = salt[owner] > 0
-        order = np.argsort(ids, kind="stable")
-        s = ids[order]
-        same = np.zeros(len(s), bool)
-        if len(s):
-            equal = s[1:] == s[:-1]
-            same[1:] |= equal
-            same[:-1] |= equal
-        repeated = np.zeros(len(s), bool)
-        repeated[order] = same
-        at = np.flatnonzero(repeated & ~large)
+    def small(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        first, keys = t.column("first").to_numpy(), t.column("key").combine_chunks()
+        owner, start, again = repeated_starts(t.column("string").to_pylist(), length)
+        at = np.flatnonzero(again)
         if len(at):  # neighbouring starts of a string make a span
             head = np.concatenate(([True], (owner[at[1:]] != owner[at[:-1]]) | (start[at[1:]] != start[at[:-1]] + 1)))
             a, b = at[head], at[np.append(np.flatnonzero(head)[1:] - 1, len(at) - 1)]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner[a])), pa.array(first[owner[a]] + start[a]), pa.array(first[owner[b]] + start[b] + length), pa.array([None] * len(a), pa.int64())], ["key", "a", "b", "bucket"])
-        at = np.flatnonzero(large)
-        if len(at):
-            begin = first[owner[at]] + start[at]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner[at])), pa.array(begin), pa.array(begin + length), pa.array(ids[at].view(np.int64))], ["key", "a", "b", "bucket"])
+            nothing = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner[a])), pa.array(first[owner[a]] + start[a]), pa.array(first[owner[b]] + start[b] + length), nothing, nothing], ["key", "a", "b", "bucket", "other"])
+
+    def large(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        first, keys = t.column("first").to_numpy(), t.column("key").combine_chunks()
+        for i, string in enumerate(t.column("string").to_pylist()):
+            data = np.frombuffer(string, np.uint8)
+            one, two = gram_ids(data, length), gram_ids(data, length, _OTHER)
+            begin = first[i] + np.arange(len(one))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.full(len(one), i))), pa.array(begin), pa.array(begin + length), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["key", "a", "b", "bucket", "other"])
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        salted = t.column("salt").to_numpy() > 0
+        if not salted.all():
+            yield from small(t.filter(pa.array(~salted)))
+        if salted.any():
+            yield from large(t.filter(pa.array(salted)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -283,7 +347,7 @@ def _refine(length: int, q: int):
         for batch in batches:
             spans = batch.filter(batch.column("string").is_null())
             if spans.num_rows:
-                yield pa.RecordBatch.from_arrays([spans.column("key"), spans.column("first"), spans.column("place"), pa.nulls(spans.num_rows, pa.int64())], ["key", "a", "b", "bucket"])
+                yield pa.RecordBatch.from_arrays([spans.column("key"), spans.column("first"), spans.column("place"), *[pa.nulls(spans.num_rows, pa.int64())] * 2], ["key", "a", "b", "bucket", "other"])
             batch = batch.filter(batch.column("string").is_valid())
             if not batch.num_rows:
                 continue
@@ -360,18 +424,18 @@ def _cover(spark: SparkSession, rows: DataFrame, scratch: Scratch, length: int,
     """rows (_row, text) with what is known of their texts: copies (null: one only) and spans."""
     keyed = rows.withColumn("key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     copies = scratch.store(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
-    grams = rows.select("text").mapInArrow(_anchors(length, q), "gram long, key binary, twice boolean, hot boolean, salt int")
+    grams = rows.select("text").mapInArrow(_anchors(length, q), "gram long, key binary, times long, hot boolean, salt int")
     alive = grams.repartition("salt", "gram").sortWithinPartitions("salt", "gram", "key").mapInArrow(_alive, "key binary, gram long, large boolean")
     alive = scratch.store(alive.groupBy("key").agg(F.collect_list(F.struct("gram", "large")).alias("alive")), "alive")
     strings = keyed.select("key", "text").join(alive.hint("merge"), "key").mapInArrow(_contexts(length, q), "gram long, salt int, key binary, first long, place long, string binary")
     # Copies of a text lie together, but a join may split them: a member counts once.
-    found = strings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "key", "first").mapInArrow(_once(_refine(length, q)), "key binary, a long, b long, bucket long")
+    found = strings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "key", "first").mapInArrow(_once(_refine(length, q)), "key binary, a long, b long, bucket long, other long")
     found = scratch.store(found, "found")
     spans = found.where("bucket IS NULL").select("key", "a", "b")
     if not found.where("bucket IS NOT NULL").isEmpty():
         large = found.where("bucket IS NOT NULL").distinct()
-        again = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        spans = spans.unionByName(large.join(again.hint("merge"), "bucket").select("key", "a", "b"))
+        again = large.groupBy("bucket", "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "other")
+        spans = spans.unionByName(large.join(again.hint("merge"), ["bucket", "other"]).select("key", "a", "b"))
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     known = spans.join(copies, "key", "full")
     return keyed.join(known.hint("merge"), "key", "left")
