@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by cosine: a hierarchical navigable small-world graph per shard, results merged.
 
 Equal vectors are one point, which carries the smallest `k + 1` identifiers of its copies: no more of them can be
-among a query's `k` nearest, since ties go to smaller identifiers. Points are dealt to shards by hash; each task
-builds the graph of its shards (flat neighbour arrays, one per level, -1 where a place is empty) and searches all
-queries in it, many at a time. The candidates of all shards, `k` or more from each, are scored again in double
-precision on the original vectors, and the best `k` of a query are kept.
+among a query's `k` nearest, since ties go to smaller identifiers. Points are dealt to shards of about `shard_points` by
+hash, a task each. A task builds the graph of its shard (flat neighbour arrays, one per level, -1 where a place is
+empty) and reads the different query vectors from the shared folder in blocks. Of what a search finds, a shard returns
+the `k + 1` nearest and all that are as near within the error of 4-byte sums (ERROR). These are scored again in
+double precision on the original vectors, once for each pair of different vectors, and the best of all shards are kept.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, as query or candidate. A query is not
 its own candidate, by identifier; rows that repeat an identifier count as copies of it and as one query for each
-different vector of the smallest identifier. Vectors of different length are never compared. With fewer candidates than `k` all
-are returned. An empty table gives no rows. Other columns are ignored.
+different vector, of which the best results are kept. Equal scores are ordered by identifier. Vectors of different
+length are never compared. With fewer candidates than `k` all are returned. An empty table gives no rows. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,13 +20,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket_of
+from .common import Scratch, bucket_of, release_memory
 
 BATCH = 512
+#: Most that a cosine by 4-byte sums may be off.
+ERROR = 1e-5
 
 
 @dataclass
@@ -142,34 +148,59 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _search_shard(found: int, width: int):
-    def run(key: tuple, points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_point": pd.Series(dtype="int64"), "point": pd.Series(dtype="int64")})
-        if points.empty or queries.empty:
-            return empty
-        points = points.sort_values("point")
-        graph = build(_unit(np.stack(points["vector"].to_numpy()).astype(np.float64)))
-        ids = points["point"].to_numpy()
-        outs = []
-        for i in range(0, len(queries), BATCH):
-            part = queries.iloc[i : i + BATCH]
-            got, _ = search(graph, _unit(np.stack(part["vector"].to_numpy()).astype(np.float64)), width)
-            got = got[:, :found]
-            keep = got >= 0
-            outs.append(pd.DataFrame({"query_point": np.repeat(part["point"].to_numpy(), keep.sum(1)), "point": ids[got[keep]]}))
-        return pd.concat(outs, ignore_index=True)
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy().reshape(len(vectors), -1).astype(np.float64)
+
+
+def _blocks(uri: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, points, vectors) of the query vectors in the shared folder."""
+    where, folder = fs.FileSystem.from_uri(uri)
+    for info in sorted(where.get_file_info(fs.FileSelector(folder)), key=lambda f: f.path):
+        if info.path.endswith(".parquet"):
+            with where.open_input_file(info.path) as file:
+                for block in pq.ParquetFile(file).iter_batches(batch_size=BATCH, columns=["dim", "point", "vector"]):
+                    dims = block.column("dim").to_numpy()
+                    for dim in np.unique(dims).tolist():
+                        part = block.filter(pa.array(dims == dim))
+                        yield dim, part.column("point").to_numpy(), _matrix(part.column("vector"))
+
+
+def _search_shard(uri: str, found: int, width: int):
+    """Pairs of query point and point from the points of a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        points = pa.Table.from_batches(held).sort_by("point")
+        held.clear()
+        graphs = {}
+        for dim in np.unique(points.column("dim").to_numpy()).tolist():
+            part = points.filter(pa.array(points.column("dim").to_numpy() == dim))
+            graphs[dim] = part.column("point").to_numpy(), build(_unit(_matrix(part.column("vector").combine_chunks())))
+        del points
+        for dim, asked, vectors in _blocks(uri):
+            if dim not in graphs:
+                continue
+            ids, graph = graphs[dim]
+            got, near = search(graph, _unit(vectors), width)
+            last = near[:, min(found, near.shape[1]) - 1][:, None]
+            keep = (got >= 0) & (near >= np.where(np.isfinite(last), last - 2 * ERROR, -np.inf))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, keep.sum(1))), pa.array(ids[got[keep]])], ["query_point", "point"])
+        release_memory()
 
     return run
 
 
-def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if b.empty:
-            continue
-        x, y = np.stack(b["a"].to_numpy()).astype(np.float64), np.stack(b["b"].to_numpy()).astype(np.float64)
-        x, y = (v / (2.0 ** np.floor(np.log2(np.abs(v).max(1, keepdims=True)))) for v in (x, y))  # exact, keeps squares in range
-        score = np.einsum("nd,nd->n", x, y) / (np.sqrt(np.einsum("nd,nd->n", x, x)) * np.sqrt(np.einsum("nd,nd->n", y, y)))
-        yield pd.DataFrame({"query_id": b["query_id"], "copies": b["copies"], "score": score})
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims).tolist():
+            part = batch.filter(pa.array(dims == dim))
+            x, y = (_matrix(part.column(c)) for c in "ab")
+            x, y = (v / (2.0 ** np.floor(np.log2(np.abs(v).max(1, keepdims=True)))) for v in (x, y))  # exact, keeps squares in range
+            score = np.einsum("nd,nd->n", x, y) / (np.sqrt(np.einsum("nd,nd->n", x, x)) * np.sqrt(np.einsum("nd,nd->n", y, y)))
+            yield pa.RecordBatch.from_arrays([part.column("query_point"), part.column("copies"), pa.array(score)], ["query_point", "copies", "score"])
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, query_mod: int = 50, k: int = 5, width: int = 200, shard_points: int = 32_768, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -178,23 +209,32 @@ def nearest(spark: SparkSession, vectors: DataFrame, query_mod: int = 50, k: int
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & v.isNotNull())
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.where(F.coalesce(sound, F.lit(False)))
+    rows = rows.where(F.coalesce(sound, F.lit(False))).withColumn("asks", F.col("vec_id") % query_mod == 0)
     # A point for each different vector. Copies are kept as the k + 1 smallest identifiers; sets of that size merge before the shuffle.
     smallest = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
-    part = rows.groupBy("vector", bucket_of(F.col("vec_id"), buckets=64).alias("salt")).agg(smallest.alias("copies"), F.array_sort(F.collect_set(F.when(F.col("vec_id") % query_mod == 0, F.col("vec_id")))).alias("queries"))
-    points = part.groupBy("vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("copies"))), 1, k + 1).alias("copies"), F.sum(F.size("queries")).alias("n_queries"))
-    points = scratch.store(points.withColumn("point", F.element_at("copies", 1)).withColumn("point", F.struct(F.col("point"), F.xxhash64("vector").alias("h"))).withColumn("point", F.xxhash64("point")), "points")
-    asked = scratch.store(rows.where(F.col("vec_id") % query_mod == 0).join(points.select("vector", "point"), "vector").select("vec_id", "point", "vector").distinct(), "asked")
-    total = points.count()
-    if not total:
+    part = rows.groupBy("vector", bucket_of(F.col("vec_id"), buckets=64).alias("salt")).agg(smallest.alias("copies"), F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked"))
+    points = part.groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("copies")))), 1, k + 1).alias("copies"), F.sum("n").alias("n"), F.sum("asked").alias("asked"))
+    points = scratch.store(points.select(F.xxhash64(F.element_at("copies", 1), "vector").alias("point"), F.size("vector").alias("dim"), "vector", "copies", "n", "asked"), "points")
+    counts = points.agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("rows")).first()
+    if not counts["points"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = max(6, -(-total // shard_points))
-    dealt = points.select(bucket_of(F.col("point"), buckets=shards).alias("shard"), F.size("vector").alias("dim"), "point", "vector")
-    to_all = points.where("n_queries > 0").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("vector").alias("dim"), "point", "vector")
-    pairs = dealt.groupBy("shard", "dim").cogroup(to_all.groupBy("shard", "dim")).applyInPandas(_search_shard(k + 1, width), "query_point long, point long")
-    pairs = scratch.store(pairs, "pairs")
-    near = asked.select(F.col("vec_id").alias("query_id"), F.col("point").alias("query_point"), F.col("vector").alias("a")).join(pairs, "query_point").join(points.select("point", "copies", F.col("vector").alias("b")), "point")
-    scored = near.select("query_id", "copies", "a", "b").mapInPandas(_score, "query_id long, copies array<long>, score double")
-    single = scored.select("query_id", F.explode("copies").alias("vec_id"), "score").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return single.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    shards = max(6, -(-counts["points"] // shard_points))
+    scratch.store(points.where("asked > 0").select("dim", "point", "vector"), "queries")
+    dealt = points.select(bucket_of(F.col("point"), buckets=shards).alias("shard"), "dim", "point", "vector").repartitionById(shards, F.col("shard"))
+    pairs = scratch.store(dealt.mapInArrow(_search_shard(scratch.sub("queries"), k + 1, width), "query_point long, point long"), "pairs")
+    near = pairs.join(points.select("point", "copies", F.col("vector").alias("b")), "point").join(points.select(F.col("point").alias("query_point"), "dim", F.col("vector").alias("a")), "query_point")
+    scored = near.select("query_point", "dim", "copies", "a", "b").mapInArrow(_score, "query_point long, copies array<long>, score double")
+    single = scored.select("query_point", F.explode("copies").alias("vec_id"), "score").groupBy("query_point", "vec_id").agg(F.max("score").alias("score"))
+    # The best k + 1 of a query vector: one of them may be the query itself.
+    rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.col("score").desc(), "vec_id"))
+    best = single.withColumn("rank", rank("query_point")).where(F.col("rank") <= k + 1)
+    best = scratch.store(best.groupBy("query_point").agg(F.collect_list(F.struct("vec_id", "score")).alias("found")), "best")
+    # Vectors of over a thousandth of the rows, a thousand of them at most, are joined by broadcast; no other key is hot.
+    hot = F.col("n") * 1000 > counts["rows"]
+    known = points.where("asked > 0").select("point", "vector", hot.alias("hot")).join(best, F.col("point") == F.col("query_point")).select("vector", "hot", "found")
+    ours = rows.where("asks").select(F.col("vec_id").alias("query_id"), "vector")
+    ours = ours.join(F.broadcast(known.where("hot").select("vector", F.col("found").alias("often"))), "vector", "left")
+    answers = ours.where("often IS NOT NULL").select("query_id", F.col("often").alias("found"))
+    answers = answers.unionByName(ours.where("often IS NULL").join(known.where("NOT hot").select("vector", "found"), "vector").select("query_id", "found"))
+    out = answers.select("query_id", F.explode("found").alias("x")).select("query_id", "x.*").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return out.withColumn("rank", rank("query_id")).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
