@@ -33,12 +33,12 @@ def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of a mixture that gives sources weights by the square root of their size."""
-    return mixing.mix(spark, docs, alpha=0.5, block_rows=64)
+    return mixing.mix(spark, docs, alpha=0.5)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 4096 ids, in the order of the mixture, which is planned again from the same documents."""
-    return packing.pack_mixed(spark, docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, alpha=0.5, block_rows=64)
+    return packing.pack_mixed(spark, docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, alpha=0.5)
 
 
 STAGES = [("language", known_language), ("near_duplicates", one_of_near_duplicates), ("repeated_strings", without_repeated_strings), ("mixing", mixed), ("packing", packed)]
