@@ -1,7 +1,8 @@
 """Books from archives or folders: scan, metadata, pages, webtoon strips, labelled spreads, covers, assembly, publication.
 
-Pages of all books are worked on together, in one narrow pass; the only shuffles are by chapter (webtoons) and by book
-(assembly). Errors are rows: a page or book that fails is reported in `issues` and the others go on.
+Pages of all books are dealt over all tasks and worked on together; they are shuffled by chapter (webtoons) and by book
+(assembly), where a book's metadata and cover join them. Nothing but counts comes to the driver, and books are written
+by tasks. Errors are rows: a page or book that fails is reported in `issues` and the others go on.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import os
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom import profiles
@@ -83,13 +84,13 @@ def list_profiles(spark: SparkSession) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of an archive, a folder of archives or a folder of pages."""
-    names = os.listdir(path) if os.path.isdir(path) else [path]
-    if any(n.lower().endswith((".cbz", ".zip")) for n in names) or not os.path.isdir(path):
+    """Entries of an archive, a folder of archives or a folder of pages, on any file system that Spark reads."""
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cbz,zip,CBZ,ZIP}").load(path)
+    if not archives.select("path").isEmpty():
         return entries.zip_entries(spark, path)
     rows = entries.folder_entries(spark, path)
     number = F.row_number().over(Window.partitionBy("book_id").orderBy("key")) - 1
-    return rows.select("book_id", "rel_path", number.cast("long").alias("ord"), "length", "content", F.lit(None).cast("string").alias("issue"))
+    return rows.select("book_id", "rel_path", number.cast("long").alias("ord"), "length", "content", "issue")
 
 
 def page_rows(scanned: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def page_rows(scanned: DataFrame) -> DataFrame:
 
 
 def metadata(scanned: DataFrame) -> DataFrame:
-    """book_id, info (JSON of the fields) and issue of each book with a metadata file."""
+    """book_id, info (JSON of the fields), issue and raw of each book with a metadata file."""
 
     def run(batches):
         for b in batches:
@@ -109,11 +110,11 @@ def metadata(scanned: DataFrame) -> DataFrame:
             for data in b["content"]:
                 try:
                     found.append((json.dumps(entries.comic_info(entries.text_of(bytes(data)))), None))
-                except ValueError:
-                    found.append((None, "metadata_parse_failed"))
+                except ValueError as e:
+                    found.append((None, f"metadata_parse_failed: {e}"))
             yield pd.DataFrame({"book_id": b["book_id"], "info": [f for f, _ in found], "issue": [i for _, i in found], "raw": b["content"]})
 
-    return scanned.where(F.col("rel_path") == entries.INFO).select("book_id", "content").mapInPandas(run, "book_id string, info string, issue string, raw binary")
+    return scanned.where((F.col("rel_path") == entries.INFO) & F.col("content").isNotNull()).select("book_id", "content").mapInPandas(run, "book_id string, info string, issue string, raw binary")
 
 
 def zero_fill(s: str, width: int) -> str:
@@ -173,37 +174,45 @@ def thumbnail(w: int, h: int, tw: int, th: int) -> tuple[int, int] | None:
     return (nearer(th * aspect, lambda x: x / th), th) if tw / th >= aspect else (tw, nearer(tw / aspect, lambda x: tw / x))
 
 
-def join_spreads(pages: DataFrame, labels: tuple[int, ...], right_to_left: bool) -> tuple[DataFrame, list[tuple[int, str]]]:
-    """Joins each labelled page (position in the book) with the next one; what could not be joined comes with its reason.
+def paired(labels: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """Labels that begin a pair, and those that are the second page of the pair before."""
+    firsts, seconds = [], []
+    for p in sorted(set(labels)):
+        (seconds if firsts and firsts[-1] == p - 1 else firsts).append(p)
+    return firsts, seconds
+
+
+def position_after(position: int, firsts: list[int], total: int) -> int:
+    """Where a page position lies once the pairs that a book of `total` pages has are joined."""
+    return position - sum(p < position for p in firsts if p + 1 < total)
+
 
-    One book's labels are a short list on the driver. A page meets its partner through a shuffle by book and pair.
+def join_spreads(pages: DataFrame, labels: tuple[int, ...], right_to_left: bool) -> tuple[DataFrame, DataFrame]:
+    """Joins each labelled page (position in its book) with the next one; labels that could not be used: book_id, position, reason.
+
+    Labels are a short list that holds for each book by itself. A page meets its partner through a shuffle by book and pair.
     """
-    place = F.row_number().over(Window.partitionBy("book_id").orderBy("page_ord")) - 1
-    placed = pages.withColumn("_p", place)
-    total = placed.agg(F.max("_p").alias("m")).first()["m"]
-    joined, skipped = [], []
-    for p in sorted(set(labels)):
-        if total is None or p + 1 > total:
-            skipped.append((p, "no_page_after"))
-        elif joined and joined[-1] == p - 1:
-            skipped.append((p, "part_of_previous_pair"))
-        else:
-            joined.append(p)
-    if not joined:
-        return pages, skipped
-    firsts = F.array(*map(F.lit, joined))
-    pair = placed.withColumn("_pair", F.when(F.array_contains(firsts, F.col("_p") - 1), F.col("_p") - 1).otherwise(F.col("_p")))
+    book = Window.partitionBy("book_id")
+    placed = pages.withColumn("_p", F.row_number().over(book.orderBy("page_ord")) - 1).withColumn("_n", F.count(F.lit(1)).over(book))
+    firsts, seconds = paired(labels)
+    reason = F.when(F.col("position") + 1 >= F.col("n"), "no_page_after").when(F.col("position").isin(seconds), "part_of_previous_pair")
+    of_book = pages.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    skipped = of_book.select("book_id", "n", F.explode(F.array(*[F.lit(p) for p in sorted({*labels})]).cast("array<int>")).alias("position")).select("book_id", "position", reason.alias("reason")).where("reason IS NOT NULL")
+    usable = lambda p: p.isin(firsts) & (p + 1 < F.col("_n"))
+    pair = placed.withColumn("_pair", F.when(usable(F.col("_p") - 1), F.col("_p") - 1).otherwise(F.col("_p")))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("page_ord")
-        first = group.iloc[:1].drop(columns=["_p", "_pair"]).copy()
-        if len(group) == 2:
+        first = group.iloc[:1].drop(columns=["_p", "_n", "_pair"]).copy()
+        try:
             a, b = (source.decode(bytes(c)).pixels for c in group["content"])
             first["content"] = [out.png(R.join_pair(a, b, right_to_left))]
+        except source.ImageError:  # the pages stay apart, and the page operator tells what is wrong with them
+            return group.drop(columns=["_p", "_n", "_pair"])
         return first
 
-    single = pair.where(~F.array_contains(firsts, F.col("_pair"))).drop("_p", "_pair")
-    twos = pair.where(F.array_contains(firsts, F.col("_pair"))).groupBy("book_id", "_pair").applyInPandas(run, pages.schema)
+    single = pair.where(~usable(F.col("_pair"))).drop("_p", "_n", "_pair")
+    twos = pair.where(usable(F.col("_pair"))).groupBy("book_id", "_pair").applyInPandas(run, pages.schema)
     return single.unionByName(twos), skipped
 
 
@@ -213,35 +222,66 @@ class Result:
     issues: DataFrame
 
 
+#: Rows of a book that are no pages: metadata comes first, then the cover.
+INFO_ROW, COVER_ROW = -2, -1
+
+
+def cover_rows(found: DataFrame, request: Request) -> DataFrame:
+    """A row as of a page for the cover made of each book's first page, or for why there is none."""
+    names = [f.split()[0] for f in P.OUTPUT.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for book, content in zip(b["book_id"], b["content"], strict=True):
+                try:
+                    made, cut = cover(bytes(content), request)
+                    if request.options.output == "epub" or cut:
+                        rows.append((book, "", COVER_ROW, 0, "cover", "jpg", None, None, False, False, made, None))
+                except source.ImageError as e:
+                    rows.append((book, "", COVER_ROW, 0, "cover", None, None, None, False, False, None, f"cover_build_failed: {e}"))
+            yield pd.DataFrame(rows, columns=names).astype({"piece_ord": "Int64", "width": "Int64", "height": "Int64"})
+
+    return found.where("is_first").select("book_id", "content").mapInPandas(run, P.OUTPUT)
+
+
+def spread_pages(pages: DataFrame) -> DataFrame:
+    """Pages dealt over all tasks, so one volume keeps more than one core busy."""
+    conf = pages.sparkSession.conf
+    n = max(int(conf.get("spark.sql.shuffle.partitions")), pages.sparkSession.sparkContext.defaultParallelism)
+    return pages.repartition(n, "book_id", "page_ord")
+
+
 def convert(spark: SparkSession, path: str, request: Request) -> Result:
     """Finished books as rows, with what went wrong."""
     request = resolve(request)
     o = request.options
+    entries.bounded_batches(spark)
     scanned = scan(spark, path)
     found = page_rows(scanned)
-    infos = {r["book_id"]: r for r in metadata(scanned).collect()}  # a small row for each book with metadata
+    totals = found.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    firsts, skipped = paired(request.labels)[0], None
     if request.labels:
-        found, _ = join_spreads(found, request.labels, o.right_to_left)
-    covers = {}
-    if o.output != "pdf" and not o.webtoon:
-        for r in found.where("is_first").select("book_id", "content").toLocalIterator():  # a page for each book, one at a time
-            try:
-                made, cut = cover(bytes(r["content"]), request)
-                if o.output == "epub" or cut:
-                    covers[r["book_id"]] = made
-            except source.ImageError:
-                pass
-    pages = P.webtoon_pages(found, *o.target) if o.webtoon else found.select("book_id", "chapter_path", "page_ord", "is_first", "content")
+        found, skipped = join_spreads(found, request.labels, o.right_to_left)
+    first = F.col("page_ord") == F.min("page_ord").over(Window.partitionBy("book_id"))
+    pages = P.webtoon_pages(found, *o.target) if o.webtoon else spread_pages(found.select("book_id", "chapter_path", "page_ord", "is_first", "content"))
     done = P.page_outputs(pages, o)
-    about = {}
-    for book, r in infos.items():
-        about[book] = book_info(json.loads(r["info"]) if r["info"] else None, request, stem(book))
-        about[book].comic_info = bytes(r["raw"]) if request.keep_comic_info and o.output == "cbz" else None
+    as_page = lambda df, info, content, error: df.select("book_id", F.coalesce(info, F.lit("")).alias("chapter_path"), F.lit(INFO_ROW).cast("long").alias("page_ord"), F.lit(0).alias("piece_ord"), F.lit("info").alias("role"), F.lit("xml").alias("ext"), F.lit(None).cast("int").alias("width"), F.col("n").cast("int").alias("height"), F.lit(False).alias("black_background"), F.lit(False).alias("source_truncated"), content.alias("content"), error.alias("error"))
+    about = as_page(totals.join(metadata(scanned), "book_id", "left"), F.col("info"), F.col("raw"), F.col("issue"))
+    parts = done.unionByName(about)
+    if o.output != "pdf" and not o.webtoon:
+        parts = parts.unionByName(cover_rows(found.withColumn("is_first", first), request))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        info = about.get(key[0]) or book_info(None, request, stem(key[0]))
-        info.cover = covers.get(key[0])
-        rows = group[group["error"].isna()].sort_values(["page_ord", "piece_ord"])
+        told = group[group["role"] == "info"]
+        info = book_info(json.loads(told["chapter_path"].iloc[0]) if len(told) and told["chapter_path"].iloc[0] else None, request, stem(key[0]))
+        total = int(told["height"].iloc[0]) if len(told) else 0
+        info.bookmarks = [(position_after(p, firsts, total), name) for p, name in info.bookmarks]
+        if len(told) and request.keep_comic_info and o.output == "cbz" and told["content"].iloc[0] is not None:
+            info.comic_info = bytes(told["content"].iloc[0])
+        front = group[(group["role"] == "cover") & group["error"].isna()]
+        info.cover = bytes(front["content"].iloc[0]) if len(front) else None
+        rows = group[group["error"].isna() & (group["page_ord"] >= 0)].sort_values(["page_ord", "piece_ord"])
         made = [books.Page(r.chapter_path, r.ext, bytes(r.content), r.role, bool(r.black_background), r.piece_ord > 0) for r in rows.itertuples()]
         try:
             data, error = books.BUILDERS[o.output](made, info), None
@@ -249,14 +289,50 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
             data, error = None, f"book_build_failed: {e}"
         return pd.DataFrame({"book_id": [key[0]], "format": o.output, "bytes": len(data or b""), "pages": len(made), "chapters": len(books.chapters(made)), "content": [data], "error": [error]})
 
-    made = done.groupBy("book_id").applyInPandas(run, books.BOOKS)
-    code = lambda c: F.element_at(F.split(c, ":"), 1)
-    issues = scanned.where("issue IS NOT NULL").select("book_id", code(F.col("issue")).alias("code"), F.col("issue").alias("diagnostic"), F.col("rel_path").alias("path"))
-    issues = issues.unionByName(done.where("error IS NOT NULL").select("book_id", code(F.col("error")).alias("code"), F.col("error").alias("diagnostic"), F.col("page_ord").cast("string").alias("path")))
-    issues = issues.unionByName(done.where("source_truncated").select("book_id", F.lit("page_truncated").alias("code"), F.lit(None).cast("string").alias("diagnostic"), F.col("page_ord").cast("string").alias("path")))
+    made = parts.groupBy("book_id").applyInPandas(run, books.BOOKS)
+    issue = lambda df, told, path: df.where(told.isNotNull()).select("book_id", F.element_at(F.split(told, ":"), 1).alias("code"), told.alias("diagnostic"), path.alias("path"))
+    none = F.lit(None).cast("string")
+    issues = issue(scanned, F.col("issue"), F.col("rel_path"))
+    issues = issues.unionByName(issue(parts, F.col("error"), F.when(F.col("page_ord") >= 0, F.col("page_ord").cast("string"))))
+    issues = issues.unionByName(done.where("source_truncated").select("book_id", F.lit("page_truncated").alias("code"), none.alias("diagnostic"), F.col("page_ord").cast("string").alias("path")))
+    issues = issues.unionByName(warnings(spark, scanned, request))
+    if skipped is not None:
+        issues = issues.unionByName(skipped.select("book_id", F.lit("spread_labels_skipped").alias("code"), F.concat(F.lit("position "), "position", F.lit(": "), "reason").alias("diagnostic"), none.alias("path")))
     return Result(made, issues)
 
 
+def measured(pages: DataFrame, request: Request) -> DataFrame:
+    """Of each book: pages, those smaller than the screen, and those whose size is known; headers are read, nothing is decoded."""
+    tw, th = request.options.target
+
+    @F.pandas_udf("width int, height int")  # a session is active here
+    def size(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([source.dimensions(bytes(c)) or (None, None) for c in content], columns=["width", "height"]).astype("Int32")
+
+    sized = pages.select("book_id", "chapter_path", size("content").alias("s"))
+    small = F.count_if((F.col("s.width") < tw) & (F.col("s.height") < th))
+    return sized.groupBy("book_id").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("chapter_path").alias("chapters"), small.alias("smaller"), F.count("s.width").alias("measured"))
+
+
+def warns_of_small(request: Request) -> bool:
+    o = request.options
+    return not (o.upscale or o.stretch or o.webtoon or o.profile.startswith("KS"))
+
+
+def warnings(spark: SparkSession, scanned: DataFrame, request: Request) -> DataFrame:
+    """Issues of whole books: no pages, made by this library already, many pages smaller than the screen."""
+    found = page_rows(scanned)
+    every = scanned.select("book_id").distinct()
+    columns = lambda df, code, told: df.select("book_id", F.lit(code).alias("code"), told.cast("string").alias("diagnostic"), F.lit(None).cast("string").alias("path"))
+    out_ = columns(every.join(found.select("book_id").distinct(), "book_id", "left_anti"), "no_page_images", F.lit(None))
+    own = F.contains(F.lower(F.element_at(F.split("book_id", "/"), -1)), F.lit(f"({books.NAME}"))
+    out_ = out_.unionByName(columns(every.where(own), "source_already_converted", F.lit(None)))
+    if warns_of_small(request):
+        small = measured(found, request).where("smaller * 4 > measured")
+        out_ = out_.unionByName(columns(small, "images_smaller_than_device", F.concat_ws(" of ", "smaller", "measured")))
+    return out_
+
+
 def stem(book_id: str) -> str:
     return os.path.splitext(os.path.basename(book_id.rstrip("/")))[0] or "book"
 
@@ -267,36 +343,64 @@ def extension(request: Request) -> str:
     return ".kepub.epub" if kobo else f".{o.output}"
 
 
+def output_name(request: Request) -> Column:
+    """The name planned for a book of book_id: a portable stem, within 255 bytes with its extension and any suffix."""
+    base = text.portable_stem(F.regexp_replace(F.element_at(F.split("book_id", "/"), -1), r"(?<=.)\.[^.]*$", ""))
+    base = text.safe_stem(base) if extension(request) == ".kepub.epub" else base
+    room = 255 - len(f" ({books.NAME} 9999)") - len(extension(request))
+    return F.concat(F.regexp_replace(text.cut_bytes(base, room), r"[. ]+$", ""), F.lit(extension(request)))
+
+
 def dry_run(spark: SparkSession, path: str, request: Request) -> DataFrame:
     """Of each book: pages, chapters, pages smaller than the screen and the name planned. Reads headers, decodes nothing."""
     request = resolve(request)
-    tw, th = request.options.target
+    rows = measured(page_rows(scan(spark, path)), request).withColumn("output", output_name(request))
+    return rows.withColumn("warn_small", (F.col("smaller") * 4 > F.col("measured")) & F.lit(warns_of_small(request)))
 
-    @F.pandas_udf("width int, height int")  # a session is active here
-    def measured(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([source.dimensions(bytes(c)) or (None, None) for c in content], columns=["width", "height"]).astype("Int32")
 
-    sized = page_rows(scan(spark, path)).select("book_id", "chapter_path", measured("content").alias("s"))
-    small = F.count_if((F.col("s.width") < tw) & (F.col("s.height") < th))
-    name = F.concat(text.portable_stem(F.regexp_replace(F.element_at(F.split("book_id", "/"), -1), r"(?<=.)\.[^.]*$", "")), F.lit(extension(request)))
-    return sized.groupBy("book_id").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("chapter_path").alias("chapters"), small.alias("smaller"), F.count("s.width").alias("measured")).withColumn("output", name).withColumn("warn_small", (F.col("smaller") * 4 > F.col("measured")) & F.lit(not (request.options.upscale or request.options.stretch or request.options.webtoon or request.options.profile.startswith("KS"))))
+def written(result: Result, folder: str, request: Request) -> DataFrame:
+    """Writes the books from their tasks to a folder that all executors share; book_id, path, bytes, pages, error of each.
+
+    Nothing is overwritten. Books of one name are told apart by their order, so a task that runs again finds its file.
+    """
+    same = Window.partitionBy(F.lower("name")).orderBy("book_id")
+    names = result.books.select("book_id").withColumn("name", output_name(request)).withColumn("turn", (F.row_number().over(same) - 1).cast("int"))
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                path, error = None, r.error
+                if error is None:
+                    try:
+                        path = books.publish(os.path.join(folder, r.name), bytes(r.content), int(r.turn))
+                    except OSError as e:
+                        error = f"output_write_failed: {e}"
+                rows.append((r.book_id, path, r.bytes, r.pages, error))
+            yield pd.DataFrame(rows, columns=["book_id", "path", "bytes", "pages", "error"])
+
+    return result.books.join(names, "book_id").mapInPandas(run, "book_id string, path string, bytes long, pages int, error string")
 
 
 def publish(result: Result, folder: str, request: Request) -> list[dict]:
-    """Writes the books, one at a time, without overwriting; events in order, numbered without a gap."""
-    os.makedirs(folder, exist_ok=True)
+    """Publishes the books (see `written`); events in order of the books, numbered without a gap: a small row for each book."""
     events = [{"type": "started"}]
-    for r in result.books.toLocalIterator():
+    for r in sorted(written(result, folder, request).collect(), key=lambda r: natural.path_key(r["book_id"])):
         if r["error"]:
             events.append({"type": "error", "code": r["error"].split(":")[0], "book": r["book_id"], "message": r["error"]})
-            continue
-        base = stem(r["book_id"])
-        base = base.translate(str.maketrans(dict.fromkeys(text.UNSAFE, "_"))) if extension(request) == ".kepub.epub" else base
-        path = books.publish(os.path.join(folder, base + extension(request)), bytes(r["content"]))
-        events.append({"type": "completed", "book": r["book_id"], "path": path, "bytes": r["bytes"], "pages": r["pages"]})
+        else:
+            events.append({"type": "completed", "book": r["book_id"], "path": r["path"], "bytes": r["bytes"], "pages": r["pages"]})
     return [{"sequence": i, **e} for i, e in enumerate(events)]
 
 
+def report(events: list[dict], issues: list) -> str:
+    """What happened, for people: issues by book, then the books written."""
+    lines = [f"{i['book_id']}: {i['code']}" + (f" ({i['diagnostic']})" if i["diagnostic"] else "") + (f" at {i['path']}" if i["path"] else "") for i in issues]
+    lines += [f"{e['book']} -> {e['path']} ({e['pages']} pages, {e['bytes']} bytes)" if e["type"] == "completed" else f"{e['book']}: {e['message']}" for e in events if e["type"] != "started"]
+    return "\n".join(lines)
+
+
 def natural_entries(df: DataFrame) -> DataFrame:
     """Entries in natural order of their paths, equal keys by their scan order."""
     return df.withColumn("_key", natural.natural_key("rel_path")).orderBy("book_id", "_key", "ord").drop("_key")

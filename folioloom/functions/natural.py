@@ -15,17 +15,20 @@ from pyspark.sql.types import BinaryType
 
 
 def extensions(name: str) -> tuple[str, list[str]]:
-    """Stem and extensions: at most two, of up to five characters with the dot, not starting with a digit; leading dots belong to the stem."""
+    """Stem and extensions: at most two, of up to five characters with the dot, not starting with a decimal digit; leading dots belong to the stem.
+
+    What the extensions are together is taken out of the name wherever it stands.
+    """
     stem, found = name, []
     while len(found) < 2:
         at = stem.rfind(".")
         if at <= len(stem) - len(stem.lstrip(".")) - 1 or at < 0:
             break
         ext = stem[at:]
-        if len(ext) > 5 or len(ext) > 1 and digit_of(ext[1]) is not None:
+        if len(ext) > 5 or len(ext) > 1 and unicodedata.decimal(ext[1], None) is not None:
             break
         stem, found = stem[:at], [ext, *found]
-    return stem, found
+    return name.replace("".join(found), "") if found else name, found
 
 
 def digit_of(c: str) -> int | None:
@@ -74,8 +77,8 @@ def _pieces(text: str) -> bytes:
 
 
 def name_key(name: str) -> bytes:
-    stem, found = extensions(name.lower())
-    return b"".join(_pieces(p) for p in (stem, *found) if p) + b"\x00"
+    stem, found = extensions(name)
+    return b"".join(_pieces(p.lower()) for p in (stem, *found) if p) + b"\x00"
 
 
 def path_key(path: str) -> bytes:

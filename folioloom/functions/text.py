@@ -64,7 +64,7 @@ def pdf_text(text: Column) -> Column:
 
 
 def utc_stamp(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(F.greatest(seconds, F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.greatest(seconds, F.lit(0))), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def uuid5(seed: Column) -> Column:
@@ -84,5 +84,19 @@ def portable_stem(text: Column) -> Column:
     return F.when(base.isin(*DEVICE_NAMES), F.concat(F.lit("_"), s)).otherwise(s)
 
 
+def cut_bytes(text: Column, most: Column | int) -> Column:
+    """The longest beginning of at most so many UTF-8 bytes, whole characters only."""
+    chars = F.split(text, "")
+    ends = F.transform(chars, lambda c, i: F.octet_length(F.substring(text, F.lit(1), i + 1)))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(text, F.lit(1), F.size(F.filter(ends, lambda n: n <= most))))
+
+
+def generated_name(stem: Column, suffix: str, extension: str, most: int = 255) -> Column:
+    """stem, suffix and extension as a name of at most `most` bytes, of which the stem gives way, to four bytes."""
+    tail = suffix + extension
+    room = max(4, most - len(tail.encode()))
+    return F.concat(F.regexp_replace(cut_bytes(stem, room), r"[. ]+$", ""), F.lit(tail))
+
+
 def media_type(ext: Column) -> Column:
     return F.when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "png", "image/png").when(ext == "gif", "image/gif").when(ext == "webp", "image/webp")

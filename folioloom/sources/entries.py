@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
@@ -22,6 +23,8 @@ from folioloom.functions import natural, text
 from .images import MAX_BYTES
 
 INFO = "ComicInfo.xml"
+#: Bytes of a batch for a Python worker.
+BATCH_BYTES = 64 << 20
 SCHEMA = "book_id string, rel_path string, ord long, length long, content binary, issue string"
 
 
@@ -48,28 +51,25 @@ def settle(paths: list[str]) -> tuple[list[str | None], int]:
     return out, out.count(None)
 
 
-def _members(content: bytes, book: str) -> Iterator[tuple]:
+def _members(content: bytes, book: str, every: bool) -> Iterator[tuple]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             infos = [i for i in z.infolist() if not i.is_dir()]
             names = [i.filename.replace("\\", "/") for i in infos]
-            keep = [i for i, n in enumerate(names) if wanted(n)]
-            paths, ignored = settle([names[i] for i in keep])
-            rows = []
-            for i, path in zip(keep, paths, strict=True):
-                if path is None:
-                    continue
-                if infos[i].file_size > MAX_BYTES:
-                    rows.append((path, infos[i].file_size, None, "too_large"))
-                    continue
+            keep = [i for i, n in enumerate(names) if every or wanted(n)]
+            paths, ignored = (names, 0) if every else settle([names[i] for i in keep])
+            placed = sorted(((path, i) for i, path in zip(keep, paths, strict=True) if path is not None), key=lambda x: natural.path_key(x[0]))
+            for n, (path, i) in enumerate(placed):  # one member at a time
+                length, data, issue = infos[i].file_size, None, None
                 try:
-                    with z.open(infos[i]) as f:
-                        data = f.read(MAX_BYTES + 1)
-                    rows.append((path, len(data), data, None) if len(data) <= MAX_BYTES else (path, len(data), None, "too_large"))
+                    if length <= MAX_BYTES:
+                        with z.open(infos[i]) as f:
+                            data = f.read(MAX_BYTES + 1)
+                        length = len(data)
+                    if length > MAX_BYTES:
+                        data, issue = None, "too_large"
                 except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
-                    rows.append((path, infos[i].file_size, None, f"input_read_failed: {e}"))
-            rows.sort(key=lambda r: natural.path_key(r[0]))
-            for n, (path, length, data, issue) in enumerate(rows):
+                    data, issue = None, f"input_read_failed: {e}"
                 yield book, path, n, length, data, issue
             skipped = len(infos) - len(keep) + ignored
             if skipped:
@@ -78,19 +78,22 @@ def _members(content: bytes, book: str) -> Iterator[tuple]:
         yield book, None, None, None, None, f"input_read_failed: {e}"
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["book_id", "rel_path", "ord", "length", "content", "issue"]
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows, size = [], 0
-            for row in _members(bytes(content), path):
-                rows.append(row)
-                size += len(row[4] or b"")
-                if size > 32 << 20:
+def _expand(every: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["book_id", "rel_path", "ord", "length", "content", "issue"]
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                rows, size = [], 0
+                for row in _members(bytes(content), path, every):
+                    rows.append(row)
+                    size += len(row[4] or b"")
+                    if size > 32 << 20:
+                        yield _frame(rows, names)
+                        rows, size = [], 0
+                if rows:
                     yield _frame(rows, names)
-                    rows, size = [], 0
-            if rows:
-                yield _frame(rows, names)
+
+    return run
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -98,26 +101,43 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return out.astype({"ord": "Int64", "length": "Int64"})
 
 
-def zip_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the archives (.cbz, .zip) at or below a path; archives are dealt over partitions."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Archives and pages are megabytes each: batches for Python workers end at BATCH_BYTES, whatever their rows. Holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def zip_entries(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
+    """Entries of the archives (.cbz, .zip) at or below a path; archives are dealt over partitions. every: all members, in natural order."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cbz,zip,CBZ,ZIP}").load(path)
-    return files.select("path", "content").mapInPandas(_expand, SCHEMA)
+    return files.select("path", "content").mapInPandas(_expand(every), SCHEMA)
 
 
 def folder_entries(spark: SparkSession, path: str, book_id: str | None = None) -> DataFrame:
-    """Entries of a folder of any depth; the content is read only if it is selected."""
+    """Entries of a folder of any depth, with `issue`: too_large (the content is not read) and link_skipped (a link that leads out of a local folder)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.rstrip("/").replace("file://", "")
-    rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/"), f"^{'/' + root.lstrip('/')}/", "")
-    rows = files.select(F.lit(book_id or os.path.basename(root)).alias("book_id"), rel.alias("rel_path"), "length", "content")
-    return rows.where(text.is_page_image(F.col("rel_path")) | (F.col("rel_path") == INFO)).where(F.col("length") <= MAX_BYTES).withColumn("key", natural.natural_key("rel_path"))
+    root = re.sub("^file:/*", "/", path).rstrip("/")
+    rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/"), f"^{re.escape('/' + root.lstrip('/'))}/", "")
+    named = lambda df, content, issue: df.select(F.lit(book_id or os.path.basename(root)).alias("book_id"), rel.alias("rel_path"), "length", content.alias("content"), issue.alias("issue"))
+    rows = named(files.where(F.col("length") <= MAX_BYTES), F.col("content"), F.lit(None).cast("string"))
+    rows = rows.unionByName(named(files.where(F.col("length") > MAX_BYTES), F.lit(None).cast("binary"), F.lit("too_large")))
+    if os.path.isdir(root):  # links are a matter of local folders
+        refused = dict(linked_files(root)[1])
+        if refused:
+            top = lambda link: (F.col("rel_path") == link) | F.startswith("rel_path", F.lit(f"{link}/"))
+            for link in refused:
+                rows = rows.where(~top(link))
+            links = spark.createDataFrame([(book_id or os.path.basename(root), link, f"link_skipped: {why}") for link, why in refused.items()], "book_id string, rel_path string, issue string")
+            rows = rows.unionByName(links.select("book_id", "rel_path", F.lit(None).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"), "issue"))
+    page = text.is_page_image(F.col("rel_path")) | (F.col("rel_path") == INFO) | F.coalesce(F.startswith("issue", F.lit("link_skipped")), F.lit(False))
+    return rows.where(page).withColumn("key", natural.natural_key("rel_path"))
 
 
 def linked_files(root: str) -> tuple[list[str], list[tuple[str, str]]]:
     """Files of a local folder, links followed only to files inside it: relative paths, and (link, reason) of those refused."""
     real = os.path.realpath(root)
     kept, refused = [], []
-    for folder, _, names in os.walk(root):
+    for folder, inner, names in os.walk(root):
         for name in names:
             path = os.path.join(folder, name)
             rel = os.path.relpath(path, root)
@@ -130,7 +150,7 @@ def linked_files(root: str) -> tuple[list[str], list[tuple[str, str]]]:
                     refused.append((rel, reason))
                     continue
             kept.append(rel)
-        for name in list(_):
+        for name in inner:
             path = os.path.join(folder, name)
             if os.path.islink(path):
                 refused.append((os.path.relpath(path, root), "not_a_file"))
