@@ -1,13 +1,15 @@
-"""Sequential JPEG decoding in NumPy: Huffman-coded 8-bit images of one or three components; no progressive ones.
+"""JPEG decoding in NumPy: Huffman-coded 8-bit images of one, three or four components, sequential or progressive.
 
-Entropy decoding walks from code to code over tables made for all bits at once; the inverse transform, smooth upsampling
-and colour are done on whole planes.
+Of sequential scans the entropy decoding walks from code to code over tables made for all bits at once; progressive
+scans, whose later ones refine single bits, are read code by code. The inverse transform, smooth upsampling and colour
+are done on whole planes.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -145,21 +147,188 @@ def _double(p: np.ndarray, both: bool) -> np.ndarray:
     return out
 
 
+class _Reader(_Bits):
+    """A part of a progressive scan, read code by code."""
+
+    def __init__(self, segment: bytes, table: np.ndarray | None):
+        super().__init__(segment)
+        self.raw = self.data.tobytes()
+        self.at = 0
+        if table is not None:
+            self.length, self.symbol = self.everywhere(np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1]))
+
+    def code(self) -> int:
+        n = self.length[self.at]
+        if not n:
+            raise JpegError("a code is unknown")
+        s = self.symbol[self.at]
+        self.at += n
+        return s
+
+    def bits(self, n: int) -> int:
+        if not n:
+            return 0
+        i = self.at >> 3
+        v = int.from_bytes(self.raw[i : i + 4], "big") >> (32 - (self.at & 7) - n) & (1 << n) - 1
+        self.at += n
+        return v
+
+
+def _first_pass(reader: _Reader, blocks: list[list[int]], first: int, last: int, low: int) -> None:
+    """Coefficients first..last of blocks, all but their `low` lowest bits."""
+    idle = 0
+    for block in blocks:
+        if idle:
+            idle -= 1
+            continue
+        k = first
+        while k <= last:
+            s = reader.code()
+            run, n = s >> 4, s & 15
+            if n:
+                k += run
+                if k > 63:
+                    raise JpegError("a block is too long")
+                v = reader.bits(n)
+                block[k] = (v if v >> (n - 1) else v - (1 << n) + 1) * (1 << low)
+                k += 1
+            elif run == 15:
+                k += 16
+            else:
+                idle = (1 << run) - 1 + reader.bits(run)
+                break
+
+
+def _next_pass(reader: _Reader, blocks: list[list[int]], first: int, last: int, low: int) -> None:
+    """One more bit, the `low`th, of coefficients first..last: known ones get a bit each, new ones come with their sign."""
+    one, idle = 1 << low, 0
+
+    def refine(block: list[int], k: int) -> None:
+        if reader.bits(1) and not abs(block[k]) & one:
+            block[k] += one if block[k] > 0 else -one
+
+    for block in blocks:
+        k = first
+        while k <= last and not idle:
+            s = reader.code()
+            run, n = s >> 4, s & 15
+            if not n and run < 15:
+                idle = (1 << run) + reader.bits(run)
+                break
+            new = (one if reader.bits(1) else -one) if n else 0
+            while k <= last:
+                if block[k]:
+                    refine(block, k)
+                elif run:
+                    run -= 1
+                else:
+                    block[k] = new
+                    k += 1
+                    break
+                k += 1
+        if idle:
+            for k in range(k, last + 1):
+                if block[k]:
+                    refine(block, k)
+            idle -= 1
+
+
+@dataclass
+class _Component:
+    name: int
+    across: int  # sampling
+    down: int
+    quantiser: int
+    grid: np.ndarray  # coefficients, rows x columns of blocks x 64, in the order of the file
+    seen: tuple[int, int]  # rows and columns of blocks that a scan of its own has
+
+
+def _scan(parts: list[bytes], own: list[tuple[_Component, np.ndarray | None, np.ndarray | None]], shape: tuple[int, int], spectrum: tuple[int, int, int, int], interval: int, progressive: bool) -> None:
+    """Reads a scan into the grids of its components. shape: rows and columns of groups of all components."""
+    if len(own) == 1:  # blocks in rows, without those that only fill groups up
+        c = own[0][0]
+        places = [(np.arange(c.seen[0])[:, None] * c.grid.shape[1] + np.arange(c.seen[1])).reshape(-1, 1)]
+    else:
+        places = []
+        for c, _, _ in own:
+            at = np.arange(c.grid.shape[0] * c.grid.shape[1]).reshape(shape[0], c.down, shape[1], c.across)
+            places.append(at.transpose(0, 2, 1, 3).reshape(shape[0] * shape[1], -1))
+    left, done = len(places[0]), 0
+    first, last, high, low = spectrum
+    for part in parts:
+        units = min(left, interval or left)
+        if not units:
+            break
+        here = [p[done : done + units] for p in places]
+        flat = [c.grid.reshape(-1, 64) for c, _, _ in own]
+        if not progressive:
+            plan = [(i, dc, ac) for i, ((_, dc, ac), p) in enumerate(zip(own, here, strict=True)) for _ in range(p.shape[1])]
+            for grid, at, dc, block, place, value in zip(flat, here, *_blocks(part, plan, units, len(own)), strict=True):
+                grid[at.ravel(), 0] = dc
+                grid[at.ravel()[block], place] = value
+        elif first:
+            c, _, ac = own[0]
+            reader = _Reader(part, ac)
+            at = here[0].ravel()
+            blocks = flat[0][at].tolist()
+            (_next_pass if high else _first_pass)(reader, blocks, first, last, low)
+            flat[0][at] = blocks
+        elif high:
+            bits = np.unpackbits(_Bits(part).data)
+            order = np.concatenate([p + (i << 40) for i, p in enumerate(here)], axis=1).ravel()
+            for i, grid in enumerate(flat):
+                mine = order >> 40 == i
+                grid[order[mine] & (1 << 40) - 1, 0] += bits[: len(order)][mine].astype(np.int64) << low
+        else:
+            none = np.tile(np.array([[1, 0]], np.uint8), (65_536, 1))
+            _dc_first(part, [(i, dc, none) for i, ((_, dc, _), p) in enumerate(zip(own, here, strict=True)) for _ in range(p.shape[1])], units, flat, here, low)
+        left, done = left - units, done + units
+    if left:
+        raise JpegError("the data ends early")
+
+
+def _dc_first(part: bytes, plan: list[tuple], units: int, grids: list[np.ndarray], here: list[np.ndarray], low: int) -> None:
+    bits = _Bits(part)
+    reach = {id(dc): bits.everywhere(dc[:, 0] + dc[:, 1])[0] for _, dc, _ in plan}
+    walk = [reach[id(dc)] for _, dc, _ in plan]
+    at, starts = 0, []
+    try:
+        for _ in range(units):
+            for r in walk:
+                starts.append(at)
+                at += r[at]
+    except IndexError:
+        raise JpegError("the data ends early") from None
+    starts, of = np.array(starts, dtype=np.int64), np.tile([c for c, _, _ in plan], units)
+    for i, (grid, places) in enumerate(zip(grids, here, strict=True)):
+        dc = next(d for c, d, _ in plan if c == i)
+        length, n = dc[bits.windows(starts[of == i])].T.astype(np.int64)
+        if not length.all():
+            raise JpegError("a code is unknown")
+        grid[places.ravel(), 0] = np.cumsum(bits.values(starts[of == i] + length, n)) << low
+
+
 def decode(data: bytes) -> np.ndarray:
     """Gray or RGB samples."""
     quant: dict[int, np.ndarray] = {}
     huffman: dict[tuple[int, int], np.ndarray] = {}
-    frame: list[tuple[int, int, int, int]] = []
+    frame: list[_Component] = []
     w = h = interval = 0
-    adobe = None
+    adobe, progressive, shape, scans = None, False, (0, 0), 0
     at = 2
     while True:
-        if at + 4 > len(data) or data[at] != 0xFF:
+        if at + 4 > len(data):
+            if scans and progressive:  # every scan makes the whole finer
+                break
+            raise JpegError("the data ends early")
+        if data[at] != 0xFF:
             raise JpegError("the data ends early")
         mark = data[at + 1]
         if mark == 0xFF:
             at += 1
             continue
+        if mark == 0xD9:
+            break
         n = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + n]
         if mark == 0xDB:
@@ -173,64 +342,74 @@ def decode(data: bytes) -> np.ndarray:
                 total = sum(body[1:17])
                 huffman[body[0] >> 4, body[0] & 15] = _lookup(body[1:17], body[17 : 17 + total])
                 body = body[17 + total :]
-        elif mark in (0xC0, 0xC1):
+        elif mark in (0xC0, 0xC1, 0xC2):
             depth, h, w, k = struct.unpack_from(">BHHB", body)
-            if depth != 8 or k not in (1, 3) or not w * h:
+            if depth != 8 or k not in (1, 3, 4) or not w * h or frame:
                 raise JpegError("unsupported form")
-            frame = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(k)]
-        elif 0xC2 <= mark <= 0xCF and mark != 0xC8 and mark != 0xCC:
-            raise JpegError("progressive or arithmetic coding")
+            progressive = mark == 0xC2
+            told = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(k)]
+            if len(told) == 1:
+                told = [(told[0][0], 1, 1, told[0][3])]
+            most_h, most_v = max(t[1] for t in told), max(t[2] for t in told)
+            shape = -(-h // (8 * most_v)), -(-w // (8 * most_h))
+            for name, across, down, q in told:
+                seen = -(-(-(-h * down // most_v)) // 8), -(-(-(-w * across // most_h)) // 8)
+                frame.append(_Component(name, across, down, q, np.zeros((shape[0] * down, shape[1] * across, 64), np.int64), seen))
+        elif 0xC3 <= mark <= 0xCF and mark not in (0xC8, 0xCC):
+            raise JpegError("arithmetic or lossless coding")
         elif mark == 0xDD:
             interval = struct.unpack(">H", body)[0]
         elif mark == 0xEE and body.startswith(b"Adobe"):
             adobe = body[11]
-        elif mark == 0xDA:
-            break
         at += 2 + n
-    if not frame or body[0] != len(frame):
-        raise JpegError("components in scans of their own")
-    tables = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
-    if len(frame) == 1:
-        frame = [(frame[0][0], 1, 1, frame[0][3])]
-    most_h, most_v = max(f[1] for f in frame), max(f[2] for f in frame)
-    across, down = -(-w // (8 * most_h)), -(-h // (8 * most_v))
-    plan = [(i, huffman[0, tables[f[0]][0]], huffman[1, tables[f[0]][1]]) for i, f in enumerate(frame) for _ in range(f[1] * f[2])]
-    scan = data[at + 2 + n :]
-    end = re.search(rb"\xff[^\x00\xd0-\xd7\xff]", scan)
-    if end is None:
-        raise JpegError("the data ends early")
-    parts = re.split(rb"\xff[\xd0-\xd7]", scan[: end.start()])
-    coefficients = [np.zeros((across * down * f[1] * f[2], 64)) for f in frame]
-    left, done = across * down, 0
-    for part in parts:
-        units = min(left, interval or left)
-        if units:
-            for i, (f, dc, block, place, value) in enumerate(zip(frame, *_blocks(part, plan, units, len(frame)), strict=True)):
-                first = done * f[1] * f[2]
-                coefficients[i][first : first + len(dc), 0] = dc
-                coefficients[i][first + block, place] = value
-        left, done = left - units, done + units
-    if left:
+        if mark != 0xDA:
+            continue
+        end = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]").search(data, at)
+        if end is None:
+            if scans and progressive:
+                break
+            raise JpegError("the data ends early")
+        names = [body[1 + 2 * i] for i in range(body[0])]
+        tables = [body[2 + 2 * i] for i in range(body[0])]
+        first, last, bits = body[1 + 2 * body[0] : 4 + 2 * body[0]]
+        by_name = {c.name: c for c in frame}
+        own = [(by_name[name], huffman.get((0, t >> 4)), huffman.get((1, t & 15))) for name, t in zip(names, tables, strict=True)]
+        if any((dc is None and not (progressive and (first or bits >> 4))) or (ac is None and (not progressive or first)) for _, dc, ac in own):
+            raise JpegError("a table is missing")
+        parts = re.split(rb"\xff[\xd0-\xd7]", data[at : end.start()])
+        _scan(parts, own, shape, (first, last, bits >> 4, bits & 15), interval, progressive)
+        scans += 1
+        at = end.start()
+        if not progressive and scans == len(frame) or not progressive and len(own) == len(frame):
+            break
+    if not scans or not progressive and not all(c.grid.any() or c.quantiser in quant for c in frame):
         raise JpegError("the data ends early")
     k = np.arange(8)
     dct = np.where(k[:, None] == 0, np.sqrt(0.125), 0.5) * np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16)
     zigzag, planes = np.array(ZIGZAG), []
-    for (_, fh, fv, q), own in zip(frame, coefficients, strict=True):
-        c = np.zeros_like(own)
-        c[:, zigzag] = own * quant[q]
-        p = np.clip(np.floor(dct.T @ c.reshape(-1, 8, 8) @ dct + 128.5), 0, 255)
-        p = p.reshape(down, across, fv, fh, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * fv * 8, across * fh * 8)
-        pw, ph = -(-w * fh // most_h), -(-h * fv // most_v)
-        p = p[:ph, :pw]
-        if (most_h // fh, most_v // fv) in ((2, 1), (2, 2)):
-            p = _double(p, most_v // fv == 2)
+    for c in frame:
+        own = np.zeros(c.grid.shape)
+        own[..., zigzag] = c.grid * quant[c.quantiser]
+        rows, columns = c.grid.shape[:2]
+        p = np.clip(np.floor(dct.T @ own.reshape(-1, 8, 8) @ dct + 128.5), 0, 255)
+        p = p.reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8)
+        p = p[: -(-h * c.down // most_v), : -(-w * c.across // most_h)]
+        if (most_h // c.across, most_v // c.down) in ((2, 1), (2, 2)):
+            p = _double(p, most_v // c.down == 2)
         else:
-            p = np.repeat(np.repeat(p, most_v // fv, 0), most_h // fh, 1)
+            p = np.repeat(np.repeat(p, most_v // c.down, 0), most_h // c.across, 1)
         planes.append(p[:h, :w].astype(np.int64))
     if len(planes) == 1:
         return planes[0].astype(np.uint8)
-    if adobe == 0:
-        return np.stack(planes, -1).astype(np.uint8)
-    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-    rgb = (y + ((91_881 * cr + 32_768) >> 16), y + ((-22_554 * cb - 46_802 * cr + 32_768) >> 16), y + ((116_130 * cb + 32_768) >> 16))
-    return np.clip(np.stack(rgb, -1), 0, 255).astype(np.uint8)
+    if len(planes) == 3 and adobe == 0 or len(planes) == 4 and adobe != 2:
+        colour = np.stack(planes[:3], -1)
+    else:
+        y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+        rgb = (y + ((91_881 * cr + 32_768) >> 16), y + ((-22_554 * cb - 46_802 * cr + 32_768) >> 16), y + ((116_130 * cb + 32_768) >> 16))
+        colour = np.clip(np.stack(rgb, -1), 0, 255)
+    if len(planes) == 4:  # inks: with Adobe's mark they are stored as what they leave
+        ink = planes[3][..., None]
+        if adobe is None:
+            colour, ink = 255 - colour, 255 - ink
+        colour = (colour * ink + 127) // 255
+    return colour.astype(np.uint8)

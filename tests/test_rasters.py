@@ -217,3 +217,56 @@ def test_merge_near_against_one_pair_at_a_time():
             want.append((min(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3])))
         assert sorted(map(tuple, R.merge_near(np.array(boxes), 3, 2).tolist())) == sorted(want)
     assert R.merge_near(np.zeros((0, 4)), 1, 1).shape == (0, 4)
+
+
+def _by_the_jvm(spark, a, progressive):
+    """A JPEG of the JVM's writer, which sends refinements of bits when it is progressive."""
+    jvm = spark._jvm
+    h, w = a.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(w, h, 10 if a.ndim == 2 else 1)
+    if a.ndim == 2:
+        for y in range(h):
+            for x in range(w):
+                image.getRaster().setSample(x, y, 0, int(a[y, x]))
+    else:
+        for y in range(h):
+            for x in range(w):
+                image.setRGB(x, y, int(a[y, x, 0]) << 16 | int(a[y, x, 1]) << 8 | int(a[y, x, 2]))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    if progressive:
+        param.setProgressiveMode(1)  # MODE_DEFAULT
+    body = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(body)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    stream.flush()
+    return bytes(body.toByteArray())
+
+
+@pytest.mark.parametrize("shape", [(37, 45), (33, 50, 3)])
+def test_progressive_jpegs_have_the_pixels_of_sequential_ones(spark, shape):
+    rng = np.random.default_rng(5)
+    a = (rng.integers(0, 256, shape) // 2 + np.linspace(0, 120, shape[1]).reshape((1, -1) + (1,) * (len(shape) - 2))).astype(np.uint8)
+    plain, steps = _by_the_jvm(spark, a, False), _by_the_jvm(spark, a, True)
+    assert b"\xff\xc2" in steps and steps.count(b"\xff\xda") > 3
+    one, two = source.decode(plain).pixels, source.decode(steps).pixels
+    assert one.shape == shape and np.array_equal(one, two)
+    # A file that ends after some of its scans is the coarser image that these hold.
+    cut = steps[: steps.rindex(b"\xff\xda")]
+    assert np.abs(source.decode(cut).pixels.astype(int) - two).mean() < 20
+
+
+def test_jpegs_of_four_components():
+    """Adobe's inverted inks: each colour as far as black leaves it."""
+    gray = out.jpeg(np.full((16, 16), 200, np.uint8), 100)
+    at = gray.index(b"\xff\xc0")
+    n = int.from_bytes(gray[at + 2 : at + 4], "big")
+    scan = gray.index(b"\xff\xda")
+    body = gray[scan + 2 + int.from_bytes(gray[scan + 2 : scan + 4], "big") : -2]
+    frame = b"\xff\xc0" + (8 + 12).to_bytes(2, "big") + gray[at + 4 : at + 9] + b"\x04" + b"".join(bytes([i, 0x11, 0]) for i in range(1, 5))
+    scans = b"".join(b"\xff\xda\x00\x08\x01" + bytes([i]) + b"\x00\x00\x3f\x00" + body for i in range(1, 5))
+    adobe = b"\xff\xee\x00\x0eAdobe\x00\x64\x00\x00\x00\x00\x00"
+    data = gray[:2] + adobe + gray[2:at] + frame + gray[at + 2 + n : scan] + scans + b"\xff\xd9"
+    pixels = source.decode(data).pixels
+    assert pixels.shape == (16, 16, 3) and np.abs(pixels.astype(int) - round(200 * 200 / 255)).max() <= 1
