@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, replace
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,6 +57,7 @@ class Request:
     keep_comic_info: bool = False
     spread_shift: bool = False
     one_page: bool = False
+    invert_direction: bool = False
     kepub: bool = True
     smart_cover_crop: bool = False
     cover_fill: bool = False
@@ -138,7 +140,7 @@ def book_info(info: dict | None, request: Request, fallback: str) -> books.BookI
     people = sorted({p for k in ("writers", "pencillers", "inkers", "colorists") for p in info.get(k, ())})
     authors = [request.author] if request.author else people or ["Unknown"]
     o = request.options
-    return books.BookInfo(title=title, authors=authors, language=request.language, summary=get("summary"), series=get("series"), position=position, right_to_left=o.right_to_left, spread_shift=request.spread_shift, one_page=request.one_page, kindle=o.device.family == "Kindle", nested=request.nested_toc, bookmarks=[tuple(m) for m in info.get("bookmarks", ())], size=None if o.custom else o.target)
+    return books.BookInfo(title=title, authors=authors, language=request.language, summary=get("summary"), series=get("series"), position=position, right_to_left=o.right_to_left, spread_shift=request.spread_shift, one_page=request.one_page, invert=request.invert_direction, kindle=o.device.family == "Kindle", nested=request.nested_toc, bookmarks=[tuple(m) for m in info.get("bookmarks", ())], size=None if o.custom else o.target)
 
 
 def cover(data: bytes, request: Request) -> tuple[bytes, bool]:
@@ -272,6 +274,8 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
     if o.output != "pdf" and not o.webtoon:
         parts = parts.unionByName(cover_rows(found.withColumn("is_first", first), request))
 
+    now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         told = group[group["role"] == "info"]
         info = book_info(json.loads(told["chapter_path"].iloc[0]) if len(told) and told["chapter_path"].iloc[0] else None, request, stem(key[0]))
@@ -279,6 +283,7 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
         info.bookmarks = [(position_after(p, firsts, total), name) for p, name in info.bookmarks]
         if len(told) and request.keep_comic_info and o.output == "cbz" and told["content"].iloc[0] is not None:
             info.comic_info = bytes(told["content"].iloc[0])
+        info.modified = now
         front = group[(group["role"] == "cover") & group["error"].isna()]
         info.cover = bytes(front["content"].iloc[0]) if len(front) else None
         rows = group[group["error"].isna() & (group["page_ord"] >= 0)].sort_values(["page_ord", "piece_ord"])

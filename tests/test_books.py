@@ -151,3 +151,32 @@ def test_webtoon_to_book(spark):
     made = operator.page_outputs(operator.webtoon_pages(df, *options.target), options)
     book = books.build_books(made, "epub", books.BookInfo(title="W")).first()
     assert book.error is None and book.pages == 4  # two slices of each panel
+
+
+def test_sides_against_the_nearest_spread():
+    """Every page by the spread after it, else by the one before, else by its place."""
+    rng = np.random.default_rng(2)
+    kinds = ["normal", "rotated", "split_first", "split_second"]
+    for _ in range(300):
+        roles = [kinds[int(k)] for k in rng.choice(4, int(rng.integers(0, 12)), p=[0.7, 0.1, 0.1, 0.1])]
+        rtl, second = bool(rng.integers(2)), bool(rng.integers(2))
+        pair = ("right", "left") if rtl else ("left", "right")
+        spreads = [i for i, r in enumerate(roles) if r != "normal"]
+        want = []
+        for i, r in enumerate(roles):
+            after, before = [s for s in spreads if s > i], [s for s in spreads if s < i]
+            n = after[0] - i if after else i - before[-1] - 1 if before else i + second
+            want.append(pair[n % 2] if r == "normal" else {"split_first": pair[0], "split_second": pair[1]}.get(r, "center"))
+        assert books.sides(roles, rtl, second, False) == want
+
+
+def test_packages_of_kindle_and_inverted_books():
+    page = books.Page("c", "png", images.png(np.full((20, 10), 9, np.uint8)))
+    info = books.BookInfo(kindle=True, size=(800, 600), right_to_left=True, invert=True, modified="2026-01-02T03:04:05Z")
+    with zipfile.ZipFile(io.BytesIO(books.epub([page], info))) as z:
+        opf, xhtml = z.read("OEBPS/content.opf").decode(), z.read("OEBPS/Text/c0001/p0001.xhtml").decode()
+    assert 'page-progression-direction="ltr"' in opf and 'name="primary-writing-mode" content="horizontal-lr"' in opf
+    assert 'name="region-mag" content="true"' in opf and 'name="cover" content="img1"' in opf and "2026-01-02T03:04:05Z" in opf
+    assert 'content="width=10, height=20"' in xhtml and "<style" in xhtml
+    small = books.archive([("a", b"x" * 10_000)], deflate=True)
+    assert len(small) < 1000 and zipfile.ZipFile(io.BytesIO(small)).read("a") == b"x" * 10_000
