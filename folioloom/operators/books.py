@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(df: DataFrame, order: str, name: str, span: int = 65_536) -> DataFrame:
+    """Numbers all rows from 1 by a whole-number column without gathering them: counts of spans of its values first, then rows within spans."""
+    spans = df.withColumn("_span", F.floor(F.col(order) / span))
+    counts = spans.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))  # a row for each span that has rows
+    before = F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select(F.col("_span").alias("_s"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_span").orderBy(order))
+    return spans.withColumn("_in", inside).join(first, F.col("_span") == F.col("_s")).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_span", "_s", "_in", "_before")
+
+
 def first_seen(df: DataFrame, book: list[str], group: list[str], order: str, name: str) -> DataFrame:
-    """Numbers the groups of each book from 1 by their first row; partial aggregation before the only shuffle of groups."""
+    """Numbers the groups of each book (of all rows, if no columns name it) from 1 by their first row; partial aggregation before the only shuffle of groups."""
     firsts = df.groupBy(*book, *group).agg(F.min(order).alias("_first"))
-    over = Window.partitionBy(*book).orderBy("_first") if book else Window.orderBy("_first")
-    return firsts.withColumn(name, F.row_number().over(over).cast("long")).drop("_first")
+    if not book:
+        return numbered(firsts, "_first", name).drop("_first")
+    return firsts.withColumn(name, F.row_number().over(Window.partitionBy(*book).orderBy("_first")).cast("long")).drop("_first")
 
 
 def parent(path: Column) -> Column:
@@ -104,7 +115,7 @@ def gap_groups(values: Column, tolerance) -> Column:
 
 
 def greedy_pages(heights: Column, page: int) -> Column:
-    """array of the page numbers from 0 of heights in order; a height that would fill the room exactly begins a page."""
+    """array of the page numbers from 0 of heights in order; a height that would fill the room exactly begins a page. For the pieces of one chapter, which a strip bounds."""
     start = F.struct(F.array().cast("array<bigint>").alias("pages"), F.lit(0).cast("bigint").alias("page"), F.lit(page).cast("bigint").alias("room"), F.lit(True).alias("empty"))
 
     def step(s: Column, h: Column) -> Column:
@@ -127,6 +138,6 @@ def covers(books: DataFrame, images: DataFrame) -> DataFrame:
     first = c.groupBy("key").agg(F.min_by("cover", "cover_ord").alias("cover"))
     named = b.join(first, "key").select("book", "cover", F.lit("name").alias("how"))
     any_named = named.select(F.lit(1).alias("x")).limit(1)
-    rank = lambda df, o: df.withColumn("n", F.row_number().over(Window.orderBy(o)))
+    rank = lambda df, o: numbered(df, o, "n")
     ranked = rank(b, "book_ord").join(rank(c, "cover_ord"), "n").join(F.broadcast(any_named), F.lit(True), "left_anti")
     return named.unionByName(ranked.select("book", "cover", F.lit("rank").alias("how")))

@@ -205,13 +205,13 @@ def gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE d AS (SELECT source, lang, doc_id, n_chars AS h, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents),
-w AS (SELECT source, lang, doc_id, n, 0::BIGINT AS page, 8000 - h AS room FROM d WHERE n = 1
-  UNION ALL SELECT d.source, d.lang, d.doc_id, d.n, CASE WHEN w.room - d.h > 0 THEN w.page ELSE w.page + 1 END, CASE WHEN w.room - d.h > 0 THEN w.room - d.h ELSE 8000 - d.h END FROM w JOIN d ON d.source = w.source AND d.lang = w.lang AND d.n = w.n + 1)
+WITH RECURSIVE d AS (SELECT source, lang, doc_id // 500 AS part, doc_id, n_chars AS h, row_number() OVER (PARTITION BY source, lang, doc_id // 500 ORDER BY doc_id) AS n FROM documents),
+w AS (SELECT source, lang, part, doc_id, n, 0::BIGINT AS page, 8000 - h AS room FROM d WHERE n = 1
+  UNION ALL SELECT d.source, d.lang, d.part, d.doc_id, d.n, CASE WHEN w.room - d.h > 0 THEN w.page ELSE w.page + 1 END, CASE WHEN w.room - d.h > 0 THEN w.room - d.h ELSE 8000 - d.h END FROM w JOIN d ON d.source = w.source AND d.lang = w.lang AND d.part = w.part AND d.n = w.n + 1)
 SELECT doc_id, page FROM w""")
 def webtoon_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices of a chapter's strip on pages, in order."""
-    rows = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("d"))
+    """Slices of a chapter's strip on pages, in order; chapters hold 500 identifiers of a source and language."""
+    rows = table(spark, sf_dir, "documents").groupBy("source", "lang", F.expr("doc_id div 500")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("d"))
     placed = rows.select(F.arrays_zip(F.col("d.doc_id").alias("doc_id"), books.greedy_pages(F.col("d.n_chars"), 8000).alias("page")).alias("z"))
     return placed.select(F.explode("z").alias("z")).select("z.doc_id", "z.page")
 

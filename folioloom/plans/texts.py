@@ -114,7 +114,7 @@ def labels_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.coalesce(sound, F.lit(False)), F.array_join(items, ",")).otherwise("unreadable").alias("labels"))
 
 
-@query(None)
+@query("SELECT p_partkey, nullif(trim(p_brand), '') AS series, p_size::VARCHAR AS number, NULL::VARCHAR AS title, 'A; B' AS people, 1::INTEGER AS bookmarks FROM part")
 def comicinfo_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata documents written from parts and read again with a fixed schema."""
     c = F.col
