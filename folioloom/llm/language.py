@@ -3,13 +3,14 @@
 Training counts character n-grams of labelled documents for each language: at most `per_language` documents of each,
 those with the smallest hashes of their identifiers (a share of the hash range, so the bound holds in expectation), read whole. A language's set holds the n-grams whose share among
 its own documents is at least `share` of the largest share that any language has. The sets go into one bit-sliced Bloom filter:
-slot by slot, a mask with one bit for each language; the masks at an n-gram's slots, ANDed, give all languages that
-hold it. A prediction looks up every n-gram of the whole text, counts the bits of each language, takes away the hits
+slot by slot, a mask with one bit for each language (a plane of masks for each 63 of them); the masks at an n-gram's
+slots, ANDed, give all languages that hold it. A prediction looks up every n-gram of the whole text, counts the bits of each language, takes away the hits
 expected from the filter's false positives, and chooses the language with the largest corrected share.
 
 Null texts and texts without a letter are `und` with score 0; ties go to the language first in order. The score is
 the chosen language's corrected share of the n-grams. Without training documents all texts are `und`. Identifiers,
-sources and labels play no part in a prediction; repeated rows and other columns don't matter.
+sources and labels play no part in a prediction; repeated rows and other columns, whatever their names, don't matter.
+Very long texts are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 N = 4
 HASHES = 2
+#: Languages of a mask.
+PLANE = 63
 #: Multipliers of the n-gram's hash, odd.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -32,7 +35,7 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 @dataclass
 class Filter:
     languages: list[str]
-    slots: np.ndarray  # a mask each
+    slots: np.ndarray  # planes of slots, a mask each
     wrong: np.ndarray  # false-positive rate of each language
 
 
@@ -72,19 +75,17 @@ def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
 def build(counts: dict[str, Counter], totals: dict[str, int], share: float = 0.25) -> Filter:
     """counts: for each language, of each n-gram the number of its documents that hold it."""
     languages = sorted(counts)
-    if len(languages) > 63:
-        raise ValueError("at most 63 languages")
     best: dict[int, float] = {}
     for lang in languages:
         for g, n in counts[lang].items():
             best[g] = max(best.get(g, 0.0), n / totals[lang])
     sets = [np.array([g for g, n in counts[lang].items() if n > 1 and n / totals[lang] >= share * best[g]], dtype=np.uint64) for lang in languages]
     bits = max(12, int(np.ceil(np.log2(16 * max(1, *(len(s) for s in sets), 1)))))
-    slots = np.zeros(1 << bits, dtype=np.uint64)
+    slots = np.zeros((-(-len(languages) // PLANE) or 1, 1 << bits), dtype=np.uint64)
     for i, s in enumerate(sets):
         for at in _slots(s, bits):
-            np.bitwise_or.at(slots, at, np.uint64(1 << i))
-    wrong = np.array([np.mean((slots >> np.uint64(i)) & np.uint64(1)) ** HASHES for i in range(len(languages))])
+            np.bitwise_or.at(slots[i // PLANE], at, np.uint64(1 << i % PLANE))
+    wrong = np.array([np.mean((slots[i // PLANE] >> np.uint64(i % PLANE)) & np.uint64(1)) ** HASHES for i in range(len(languages))])
     return Filter(languages, slots, wrong)
 
 
@@ -98,9 +99,9 @@ def predict(model: Filter, text: str | None) -> tuple[str, float]:
     h = _grams(points, letter)
     if not len(h):
         return model.languages[0], 0.0
-    first, second = _slots(h, int(len(model.slots)).bit_length() - 1)
-    masks = model.slots[first] & model.slots[second]
-    hits = np.array([np.count_nonzero(masks & np.uint64(1 << i)) for i in range(len(model.languages))])
+    first, second = _slots(h, model.slots.shape[1].bit_length() - 1)
+    masks = [plane[first] & plane[second] for plane in model.slots]
+    hits = np.array([np.count_nonzero(masks[i // PLANE] & np.uint64(1 << i % PLANE)) for i in range(len(model.languages))])
     corrected = np.clip((hits / len(h) - model.wrong) / (1 - model.wrong), 0, 1)
     i = int(np.argmax(corrected))
     return model.languages[i], float(corrected[i])
@@ -129,7 +130,7 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = 1000, share:
     known = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts_of = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts_of:
-        return Filter([], np.zeros(1, np.uint64), np.zeros(0))
+        return Filter([], np.zeros((1, 1), np.uint64), np.zeros(0))
     chosen = F.lit(False)
     for lang, n in counts_of.items():
         chosen = chosen | (F.col(lang_col) == lang) & (F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1) <= int(min(1.0, per_language / n) * (2**63 - 1024)))

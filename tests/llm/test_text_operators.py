@@ -122,6 +122,27 @@ def test_token_store_round_trip(spark, docs, rows, empty):
     assert token_store.read_shards(manifest).count() == 0
 
 
+def test_bloom_filter_lets_few_other_keys_through():
+    import io
+
+    class File(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+        def read_at(self, n, at):
+            return self.getvalue()[at : at + n]
+
+    out = File()
+    writer = token_store.ShardWriter(out)
+    for i in range(20_000):
+        writer.add(token_store.key_of(3 * i), b"\1\0\0\0")
+    writer.close()
+    reader = token_store.ShardReader(out)
+    assert all(reader.may_hold(token_store.key_of(3 * i)) for i in range(0, 20_000, 7))
+    through = sum(reader.may_hold(token_store.key_of(3 * i + 1)) for i in range(20_000))
+    assert through < 0.015 * 20_000  # 0.0082 is expected of 10 bits a key and 7 hashes
+
+
 def test_sharding(spark, docs, rows, empty):
     got = sharding.shard(spark, docs, shards=4).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
@@ -292,6 +313,21 @@ def _components(sets, percent):
     return label
 
 
+@pytest.mark.parametrize("percent", [80, 85, 50, 95, 100])
+def test_matches_follow_the_similarity(percent):
+    """A pair of just that similarity is missed with a chance of 1 in 100,000 at most, and one agreement more would miss more."""
+    t, p, m = near_dups.matches(percent), percent / 100, near_dups.COORDINATES
+    below = lambda t: sum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(t))
+    assert below(t) <= 1e-5 and (t == m or below(t + 1) > 1e-5)
+    rng = np.random.default_rng(percent)
+    for _ in range(30):  # and signatures of such pairs do agree in so many places
+        n = 2000
+        both = round(2 * n * p / (1 + p))
+        words = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+        sig = near_dups.signatures(np.concatenate((np.sort(words[:n]), np.sort(words[n - both :]))), np.array([0, n, 2 * n]))
+        assert (sig[0] == sig[1]).sum() >= t
+
+
 @pytest.mark.parametrize(("block", "many"), [(4096, 20_000), (4, 3)])
 def test_near_duplicates(spark, docs, rows, empty, monkeypatch, block, many):
     monkeypatch.setattr(near_dups, "BLOCK", block)
@@ -348,7 +384,8 @@ def test_bm25(spark, docs, rows, empty):
 
 
 def _index(entries, mean):
-    return bm25.Index([np.array(sorted(e), np.uint64) for e in entries], [np.array([e[t] for t in sorted(e)], np.int32) for e in entries], np.array([sum(e.values()) for e in entries]), mean, 1.2, 0.75)
+    terms = [np.array(sorted(e), np.uint64) for e in entries]
+    return bm25.Index(bm25.stored([[i] for i in range(len(entries))], terms, [np.array([e[t] for t in sorted(e)]) for e in entries], [sum(e.values()) for e in entries], 5), mean, 1.2, 0.75)
 
 
 @pytest.mark.parametrize(("dense", "step"), [(1, 1), (4, 1), (4, 3), (10**6, 64)])
@@ -385,25 +422,24 @@ def test_bm25_copies_in_two_shards_tie():
     assert len(scores) == 1
 
 
-def test_bm25_cuts_a_partition_into_shards(spark, docs):
-    """Shards of a partition are searched one after another; documents longer than a shard are one."""
+def test_bm25_cuts_a_partition_into_shards(spark, monkeypatch):
+    """Shards of a partition are searched one after another; documents longer than a shard are one; an identifier with two texts counts once."""
     import pyarrow as pa
 
-    scratch = bm25.Scratch(spark, "bm25-test")
     words = [" ".join(f"w{(i * j) % 37}" for j in range(1, 40)) for i in range(1, 30)]
     t, at = bm25.hashes(pa.array(words[:3]), bm25.PLAIN)
-    rows = [(q, [int(x) for x in np.unique(t[a:b]).view(np.int64)]) for q, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
-    scratch.store(spark.createDataFrame([(q, x, [1.0] * len(x)) for q, x in rows], "query long, terms array<long>, weights array<double>"), "queries")
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(29)), "text": words})
+    asked = [np.unique(t[a:b]).view(np.int64).tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    asked = pa.RecordBatch.from_pydict({"query": [0, 1, 2], "terms": asked, "weights": [[1.0] * len(x) for x in asked]})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i % 23 for i in range(29)], "text": words})
     found = []
     for most in (10**9, 100, 5):
-        bm25.SHARD_WORDS, old = most, bm25.SHARD_WORDS
-        try:
-            got = pa.Table.from_batches(bm25._search(scratch.sub("queries"), 39.0, 3, 1.2, 0.75)(iter([batch]))).to_pylist()
-        finally:
-            bm25.SHARD_WORDS = old
-        best = {}
-        for r in got:
-            best.setdefault(r["query"], []).append((-r["score"], r["doc_id"]))
-        found.append({q: sorted(x)[:3] for q, x in best.items()})
-    assert found[0] == found[1] == found[2] and set(found[0]) == {0, 1, 2}
+        monkeypatch.setattr(bm25, "SHARD_WORDS", most)
+        scratch = bm25.Scratch(spark, "bm25-test")
+        rows = pa.Table.from_batches(bm25._build(scratch.sub("indexes"), 3)(iter([batch]))).to_pylist()
+        assert len(rows) == {10**9: 1, 100: 15, 5: 29}[most]
+        scratch.store(spark.createDataFrame(rows, "uri string, entries long"), "manifest")
+        got = pa.Table.from_batches(bm25._answer(scratch.sub("manifest"), 39.0, 3, 1.2, 0.75)(iter([asked]))).to_pylist()
+        assert [(r["query"], r["rank"]) for r in got] == [(q, i) for q in range(3) for i in (1, 2, 3)]
+        assert all(len({r["doc_id"] for r in got if r["query"] == q}) == 3 for q in range(3))
+        found.append(got)
+    assert found[0] == found[1] == found[2]

@@ -170,6 +170,34 @@ def test_languages(spark):
     assert language.languages(spark, both.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 130])
+def test_filters_against_whole_sets(n):
+    """Shares of n-grams and choices as by the sets themselves, for more languages than a mask has bits too."""
+    from collections import Counter
+
+    rng = np.random.default_rng(n)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = [["".join(rng.choice(letters, 5)) for _ in range(25)] for _ in range(n)]
+    write = lambda i, k: " ".join(words[i if rng.random() < 0.9 else int(rng.integers(n))][int(rng.integers(25))] for _ in range(k))
+    counts = {f"l{i:03d}": Counter() for i in range(n)}
+    for i, c in enumerate(counts.values()):
+        for _ in range(12):
+            c.update(np.unique(language.grams(write(i, 60))).tolist())
+    totals = dict.fromkeys(counts, 12)
+    model = language.build(counts, totals)
+    best = Counter()
+    for lang, c in counts.items():
+        for g, k in c.items():
+            best[g] = max(best[g], k / totals[lang])
+    sets = [{g for g, k in c.items() if k > 1 and k / totals[lang] >= 0.25 * best[g]} for lang, c in counts.items()]
+    for i in range(0, n, max(1, n // 30)):
+        text = write(i, 200)
+        h = language.grams(text).tolist()
+        shares = [sum(g in s for g in h) / len(h) for s in sets]
+        lang, score = language.predict(model, text)
+        assert lang == f"l{int(np.argmax(shares)):03d}" == f"l{i:03d}" and abs(score - max(shares)) < 0.02
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     """Each stage on what the one before it kept, written and read again."""
     import re
