@@ -1,19 +1,20 @@
 """Exact removal of repeated byte strings by bucket-pointer refinement of a sparse suffix order.
 
 Every byte covered by a `length`-byte string that starts at two or more places of the corpus (the same document
-included) is removed. Two such starts are neighbours in the suffix order, among those that agree in so many bytes.
+included) is removed. Two such starts lie in one bucket of the suffix order to so many bytes.
 Only strings that may repeat are brought together:
 
 1.  A start belongs to the q-gram with the smallest identifier in its string, the leftmost if several. Equal strings
     choose the same q-gram at the same offset, and neighbouring starts mostly choose the same one, so one of about
     (length - q) / 2 places stands for all starts. q-grams chosen at one place only are done.
 2.  The strings of the runs of starts left are dealt by their q-gram (runs that a text holds twice, as one does that
-    repeats a phrase over and over, repeat already; one of them goes on for the others). `suffix_order` puts the
-    suffixes of those in a task in order: they lie in buckets by their first FIRST bytes, and each holds the pointer of its bucket. A
-    bucket is refined by sorting its members on the bucket pointers at the offset to which they agree, and is then
+    repeats a phrase over and over, repeat already; one of them goes on for the others, and equal strings are one).
+    `bucket_order` puts the places of those in a task in order: they lie in buckets by an identifier of their first
+    FIRST bytes, and each holds the pointer of its bucket. A bucket is refined by sorting its members on the bucket
+    pointers at the offset to which they agree (at most so far that the later buckets end at `length`), and is then
     known as deep as both together. Pointers are updated at once, so buckets refined later, in the same pass and in
     the next, split by what earlier ones have found, until all agree to `length` bytes or stand alone.
-3.  Neighbours in the order are compared byte by byte.
+3.  Neighbours in the order are compared byte by byte, so nothing is removed that does not repeat.
 
 Equal texts are refined once. A q-gram that is frequent within one task, or has over LARGE occurrences, is not
 gathered: each start of its strings is counted over the cluster by two independent 64-bit identifiers of its bytes,
@@ -41,11 +42,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, release_memory
 
 #: Occurrences of a q-gram beyond which it is counted over the cluster, and those in one task that make it frequent.
-LARGE, FREQUENT = 1_000, 256
+LARGE, FREQUENT = 5_000, 512
 #: q-grams that a task holds before it passes them on.
 HELD = 1 << 20
-#: Bytes of the first buckets (9 bits each, 0 behind the end), and parts of a pass, each of which sees what those before it found.
-FIRST, PARTS = 7, 4
+#: Bytes of the first buckets, and parts of a pass, each of which sees what those before it found.
+FIRST, PARTS = 64, 2
 #: Bytes of strings that a task refines at a time.
 CHUNK = 1 << 20
 _SLICE = 1 << 19
@@ -244,19 +245,18 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "salt", "key", "first", "place", "string"])
 
 
-def suffix_order(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """All places of `data` by their suffixes, as deep as `length` bytes; ends: of each place the end of its string.
+def bucket_order(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """All places of `data` with FIRST bytes or more to the end of their string, in an order in which those that agree in `length` bytes lie together.
 
-    A suffix ends with its string, and an end comes before any byte. Of suffixes that agree in `length` bytes the order is left open.
+    ends: of each place the end of its string. The order is that of the first buckets' identifiers, refined by the pointers of later buckets.
     """
+    q = min(FIRST, length)
+    ids = gram_ids(data, q)
+    order = np.flatnonzero(np.arange(len(ids)) + q <= ends[: len(ids)])
+    order = order[np.argsort(ids[order])]
+    ids = ids[order]
     n = len(data)
-    at = np.arange(n)
-    first = np.zeros(n, np.int64)
-    for i in range(FIRST):
-        inside = at + i < ends
-        first[inside] |= (data[at[inside] + i].astype(np.int64) + 1) << (9 * (FIRST - 1 - i))
-    order = np.argsort(first, kind="stable")
-    pointer, depth = np.empty(n, np.int64), np.full(n, FIRST)
+    pointer, depth = np.full(n, -1), np.full(n, q)
 
     def point(places: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Points the members at (sorted) places to the last of their bucket; new: where a bucket begins. Returns the bucket sizes."""
@@ -265,9 +265,11 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
         pointer[order[places]] = np.repeat(places[heads + sizes - 1], sizes)
         return np.repeat(sizes, sizes)
 
-    ranked = first[order]
-    open_ = np.flatnonzero(point(at, np.concatenate(([True], ranked[1:] != ranked[:-1]))) > 1) if n else at
-    del first, ranked
+    places = np.arange(len(order))
+    if len(order):
+        places = places[point(places, np.concatenate(([True], ids[1:] != ids[:-1]))) > 1]
+    del ids
+    open_ = places if q < length else places[:0]
     while len(open_):  # places of buckets that are still refined
         left = []
         cuts = np.flatnonzero(np.diff(pointer[order[open_]], prepend=-1))
@@ -275,25 +277,41 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
         for a in range(0, len(cuts), step):
             places = open_[cuts[a] : cuts[a + step] if a + step < len(cuts) else None]
             member = order[places]
-            target = member + depth[member]
-            inside = target < ends[member]
-            # Behind an end nothing is equal: such a suffix comes first, each for itself.
-            key = np.where(inside, pointer[np.where(inside, target, 0)], -1 - member)
-            own = pointer[member]
-            by = np.lexsort((key, own))
-            member, key, own = member[by], key[by], own[by]
+            offset = np.minimum(depth[member], length - q)
+            target = member + offset
+            inside = target + q <= ends[member]
+            target[~inside] = 0
+            # Too near to the end: such a place is no start, and stays by itself.
+            own, key = pointer[member], np.where(inside, pointer[target], n + member)
+            reached = np.where(inside, np.minimum(offset + depth[target], length), length)
+            both = own * (2 * n + 1) + key
+            by = np.argsort(both)
+            both, member = both[by], member[by]
             order[places] = member
-            new = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])))
-            reached = depth[member] + np.where(key >= 0, depth[np.where(key >= 0, member + depth[member], 0)], length)
-            size = point(places, new)
-            depth[member] = np.minimum(reached, length)
+            depth[member] = reached[by]
+            size = point(places, np.concatenate(([True], both[1:] != both[:-1])))
             left.append(places[(size > 1) & (depth[member] < length)])
         open_ = np.concatenate(left)
     return order
 
 
 def repeated_starts(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string's number, start in it, whether its `length` bytes start elsewhere too) of all starts of all strings."""
+    """(string's number, start in it, whether its `length` bytes start elsewhere too) of all starts of all strings.
+
+    Equal strings are one in the order, and all of their starts repeat.
+    """
+    number: dict[bytes, int] = {}
+    of = np.array([number.setdefault(s, len(number)) for s in strings])
+    owner, start, again = _repeated_starts(list(number), length)
+    often = np.bincount(of) > 1
+    again |= often[owner]
+    n = np.bincount(owner, minlength=len(number))
+    first, n = (np.cumsum(n) - n)[of], n[of]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.arange(len(strings)), n), at, again[np.repeat(first, n) + at]
+
+
+def _repeated_starts(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(strings), np.uint8)
     size = np.array([len(s) for s in strings], dtype=np.int64)
     base = np.cumsum(size) - size
@@ -301,13 +319,14 @@ def repeated_starts(strings: list[bytes], length: int) -> tuple[np.ndarray, np.n
     owner = np.repeat(np.arange(len(strings)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     ends = np.repeat(base + size, size)
-    order = suffix_order(data, ends, length)
+    order = bucket_order(data, ends, length)
     order = order[order + length <= ends[order]]
     same = np.zeros(len(data), bool)
     a, b = order[:-1], order[1:]
-    for at in range(0, length, 8):  # byte by byte, eight at a time
-        wide = np.lib.stride_tricks.sliding_window_view(data, min(8, length - at))
-        equal = (wide[a + at] == wide[b + at]).all(1)
+    # Eight bytes at a time; the last eight overlap where the length is no multiple.
+    wide = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,)) if length >= 8 else data
+    for at in [*range(0, length - 7, 8), length - 8] if length >= 8 else range(length):
+        equal = wide[a + at] == wide[b + at]
         a, b = a[equal], b[equal]
     same[a] = same[b] = True
     return owner, start, same[base[owner] + start]
@@ -431,6 +450,7 @@ def _cover(spark: SparkSession, rows: DataFrame, scratch: Scratch, length: int,
     # Copies of a text lie together, but a join may split them: a member counts once.
     found = strings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "key", "first").mapInArrow(_once(_refine(length, q)), "key binary, a long, b long, bucket long, other long")
     found = scratch.store(found, "found")
+    scratch.drop("alive")
     spans = found.where("bucket IS NULL").select("key", "a", "b")
     if not found.where("bucket IS NOT NULL").isEmpty():
         large = found.where("bucket IS NOT NULL").distinct()
