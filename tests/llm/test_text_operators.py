@@ -168,6 +168,23 @@ def test_sharding_keeps_groups_whole(spark):
     assert sorted(len(s) for s in held.values()) == [1] * 20
 
 
+@pytest.mark.parametrize("sizes", [(31, 7, 34, 27), (31, 28, 38, 22)])
+def test_sharding_cuts_few_links(spark, sizes):
+    """Links cut (pairs of one group in different shards) against the best of all ways to keep groups whole: none where they fit, else under a tenth of all links."""
+    import itertools
+    import random
+
+    rows = [f"g{i}" for i, n in enumerate(sizes) for _ in range(n)]
+    rows += [f"own{i}" for i in range(120 - len(rows))]
+    random.Random(1).shuffle(rows)
+    got = sharding.shard(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), shards=3).collect()
+    pairs = lambda n: n * (n - 1) // 2
+    held = Counter((rows[r.doc_id], r.shard) for r in got)
+    cut = sum(pairs(n) for n in sizes) - sum(pairs(n) for (g, _), n in held.items() if g.startswith("g"))
+    fits = any(all(sum(n for n, s in zip(sizes, ways, strict=True) if s == x) <= 40 for x in range(3)) for ways in itertools.product(range(3), repeat=len(sizes)))
+    assert cut == 0 if fits else cut < 0.1 * sum(pairs(n) for n in sizes)
+
+
 def test_sharding_splits_a_group_larger_than_a_shard(spark):
     df = spark.createDataFrame([(i, "same" if i < 60 else f"t{i}") for i in range(160)], "doc_id long, text string")
     got = sharding.shard(spark, df, shards=8).collect()
