@@ -73,6 +73,21 @@ def roles(decided: Column) -> Column:
     )
 
 
+def rotate_first(pieces: Column) -> Column:
+    """The pieces with a whole spread before its halves."""
+    whole = F.filter(pieces, lambda p: p == "rotated")
+    return F.concat(whole, F.filter(pieces, lambda p: p != "rotated"))
+
+
+def fill_is_black(black_borders: Column, white_borders: Column, dark: Column) -> Column:
+    return black_borders | (dark & ~white_borders)
+
+
+def stacked(w: Column, h: Column) -> Column:
+    """struct(width, height) of a page with its right half under its left one, or the other way round."""
+    return F.struct(F.floor(w / 2).cast("int").alias("width"), (h * 2).cast("int").alias("height"))
+
+
 def piece_size(w: Column, h: Column, role: Column, right_to_left: Column) -> Column:
     """struct(width, height) of a piece before it is resized; the right or lower half has the odd pixel."""
     lower = ((role == "split_second") & ~right_to_left) | ((role == "split_first") & right_to_left)

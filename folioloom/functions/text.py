@@ -80,8 +80,7 @@ def portable_stem(text: Column) -> Column:
     s = F.regexp_replace(s, r'[<>:"/\\|?*]', "-")
     s = F.regexp_replace(s, r"[. ]+$", "")
     s = F.when(s == "", "book").otherwise(s)
-    base = F.lower(F.regexp_replace(F.regexp_extract(s, r"^([^.]*)", 1), " +$", ""))
-    return F.when(base.isin(*DEVICE_NAMES), F.concat(F.lit("_"), s)).otherwise(s)
+    return F.when(is_device(s), F.concat(F.lit("_"), s)).otherwise(s)
 
 
 def cut_bytes(text: Column, most: Column | int) -> Column:
@@ -98,5 +97,38 @@ def generated_name(stem: Column, suffix: str, extension: str, most: int = 255) -
     return F.concat(F.regexp_replace(cut_bytes(stem, room), r"[. ]+$", ""), F.lit(tail))
 
 
+def alternate_name(stem: Column, extension: str, turn: Column) -> Column:
+    """The name of the book whose turn it is (from 0) among those of one stem."""
+    suffix = F.when(turn == 0, "").when(turn == 1, " (folioloom)").otherwise(F.concat(F.lit(" (folioloom "), turn.cast("string"), F.lit(")")))
+    return F.concat(stem, suffix, F.lit(extension))
+
+
+def is_device(name: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_extract(name, r"^([^.]*)", 1), " +$", "")).isin(*DEVICE_NAMES)
+
+
+def is_valid_name(name: Column) -> Column:
+    """Whether a file may have this name on any system: 255 bytes, no control or illegal marks, no device, no dot or space at its end."""
+    return (F.octet_length(name) <= 255) & ~name.rlike(r'[\x00-\x1f\x7f<>:"/\\|?*]') & ~name.rlike(r"[. ]$") & ~is_device(name) & (name != "")
+
+
+def clean(field: Column) -> Column:
+    """Without white space of any script around it; null if nothing is left."""
+    return F.nullif(F.regexp_replace(field, r"(?U)^\s+|\s+$", ""), F.lit(""))
+
+
+def people(*roles: Column) -> Column:
+    """All names of all roles, each once, by code points."""
+    names = F.flatten(F.array(*[F.split(F.coalesce(r, F.lit("")), ", ") for r in roles]))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: n != "")))
+
+
+def chapter_folder(directory: Column, title: Column) -> Column:
+    """A chapter's folder in an archive: plain components only, else its title."""
+    parts = F.filter(F.split(directory, "/"), lambda p: ~p.isin("", ".", ".."))
+    folder = F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\"), F.lit("-"))), "/")
+    return F.when(folder == "", F.regexp_replace(title, r"[/\\]", "-")).otherwise(folder)
+
+
 def media_type(ext: Column) -> Column:
     return F.when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "png", "image/png").when(ext == "gif", "image/gif").when(ext == "webp", "image/webp")

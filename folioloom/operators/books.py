@@ -45,6 +45,12 @@ def page_numbers(pages: DataFrame, book: list[str], chapter: list[str], order: l
     return pages.withColumn("in_book", number(book)).withColumn("in_chapter", number([*book, *chapter]))
 
 
+def emitted(pages: DataFrame, book: list[str], order: str, finished: str) -> DataFrame:
+    """Adds `emitted`: when a page can be told of in order, which is when the last of it and those before it has finished."""
+    before = Window.partitionBy(*book).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return pages.withColumn("emitted", F.max(finished).over(before))
+
+
 def source_starts(outputs: DataFrame, book: list[str], order: list[str], continues: str) -> DataFrame:
     """Of each source page of a book, its number from 0 and the place from 0 of its first output page."""
     place = F.row_number().over(Window.partitionBy(*book).orderBy(*order)).cast("long") - 1
