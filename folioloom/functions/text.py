@@ -120,7 +120,7 @@ def clean(field: Column) -> Column:
 def people(*roles: Column) -> Column:
     """All names of all roles, each once, by code points."""
     names = F.flatten(F.array(*[F.split(F.coalesce(r, F.lit("")), ", ") for r in roles]))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: n != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != "")))
 
 
 def chapter_folder(directory: Column, title: Column) -> Column:

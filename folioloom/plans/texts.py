@@ -121,6 +121,6 @@ def comicinfo_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = F.concat(F.lit("<ComicInfo><Series> "), text.xml_escape(c("p_brand")), F.lit(" </Series><Number>"), c("p_size").cast("string"), F.lit("</Number><Title/><Writer>B, A, B</Writer><Pages><Page Image='0' Bookmark='Start'/><Page Image='x'/></Pages></ComicInfo>"))
     schema = "Series string, Number string, Title string, Writer string, Pages struct<Page array<struct<_Image string, _Bookmark string>>>"
     read = F.from_xml(xml, schema)
-    people = F.array_sort(F.array_distinct(F.transform(F.split(read["Writer"], ", "), F.trim)))
+    people = F.array_sort(F.array_distinct(F.transform(F.split(read["Writer"], ", "), lambda n: F.trim(n))))
     marks = F.filter(read["Pages"]["Page"], lambda p: p["_Image"].rlike("^[0-9]+$") & (p["_Bookmark"] != ""))
     return table(spark, sf_dir, "part").select("p_partkey", F.nullif(F.trim(read["Series"]), F.lit("")).alias("series"), read["Number"].alias("number"), F.nullif(F.trim(read["Title"]), F.lit("")).alias("title"), F.array_join(people, "; ").alias("people"), F.size(marks).alias("bookmarks"))
