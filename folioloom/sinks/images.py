@@ -129,6 +129,25 @@ def _packed(word: np.ndarray, size: np.ndarray) -> bytes:
     return np.packbits(np.append(bits, np.ones(-len(bits) % 8, np.uint8))).tobytes()
 
 
+def entropy(units: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Huffman tables made for these coefficients, as a segment's body, and the scan; the first component has tables of its own."""
+    table, symbol, value, width = _events(units)
+    codes, lengths, huffman = np.zeros((4, 256), np.int64), np.zeros((4, 256), np.int64), b""
+    for t in range(2 * min(len(units), 2)):
+        chosen = _lengths(np.bincount(symbol[table == t], minlength=256))
+        code = before = 0
+        for n, s in chosen:
+            code <<= n - before
+            before = n
+            codes[t, s], lengths[t, s] = code, n
+            code += 1
+        per = [sum(n == i for n, _ in chosen) for i in range(1, 17)]
+        huffman += bytes([(t % 2) << 4 | t // 2, *per, *(s for _, s in chosen)])
+    word, size = codes[table, symbol] << width | value, lengths[table, symbol] + width
+    scan = _packed(word, size).replace(b"\xff", b"\xff\x00")
+    return huffman, scan
+
+
 def jpeg(a: np.ndarray, quality: int) -> bytes:
     """Baseline JPEG with its own Huffman tables; colour has its chroma halved both ways."""
     h, w = a.shape[:2]
@@ -155,20 +174,7 @@ def jpeg(a: np.ndarray, quality: int) -> bytes:
         c = dct @ blocks @ dct.T / tables[min(i, 1)]
         c = (np.sign(c) * np.floor(np.abs(c) + 0.5)).astype(np.int64).reshape(mh * s, mw * s, 64)[..., zigzag]
         units.append(c.reshape(mh, s, mw, s, 64).transpose(0, 2, 1, 3, 4).reshape(mh * mw, s * s, 64))
-    table, symbol, value, width = _events(units)
-    codes, lengths, huffman = np.zeros((4, 256), np.int64), np.zeros((4, 256), np.int64), b""
-    for t in range(2 * min(len(units), 2)):
-        chosen = _lengths(np.bincount(symbol[table == t], minlength=256))
-        code = before = 0
-        for n, s in chosen:
-            code <<= n - before
-            before = n
-            codes[t, s], lengths[t, s] = code, n
-            code += 1
-        per = [sum(n == i for n, _ in chosen) for i in range(1, 17)]
-        huffman += bytes([(t % 2) << 4 | t // 2, *per, *(s for _, s in chosen)])
-    word, size = codes[table, symbol] << width | value, lengths[table, symbol] + width
-    scan = _packed(word, size).replace(b"\xff", b"\xff\x00")
+    huffman, scan = entropy(units)
     segment = lambda mark, body: bytes([0xFF, mark]) + struct.pack(">H", len(body) + 2) + body
     quant = b"".join(bytes([i, *tables[i].ravel()[zigzag].tolist()]) for i in range(min(len(units), 2)))
     frame = struct.pack(">BHHB", 8, h, w, len(units)) + b"".join(bytes([i + 1, s << 4 | s, min(i, 1)]) for i, s in enumerate(sampling))

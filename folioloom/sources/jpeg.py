@@ -308,8 +308,21 @@ def _dc_first(part: bytes, plan: list[tuple], units: int, grids: list[np.ndarray
         grid[places.ravel(), 0] = np.cumsum(bits.values(starts[of == i] + length, n)) << low
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Gray or RGB samples."""
+@dataclass
+class Read:
+    frame: list[_Component]
+    quant: dict[int, np.ndarray]
+    width: int
+    height: int
+    groups: tuple[int, int]  # rows and columns of groups of all components
+    adobe: int | None
+    progressive: bool
+    scans: int
+    interval: int  # groups between restart markers
+
+
+def read(data: bytes) -> Read:
+    """The coefficients of all components."""
     quant: dict[int, np.ndarray] = {}
     huffman: dict[tuple[int, int], np.ndarray] = {}
     frame: list[_Component] = []
@@ -384,6 +397,14 @@ def decode(data: bytes) -> np.ndarray:
             break
     if not scans or not progressive and not all(c.grid.any() or c.quantiser in quant for c in frame):
         raise JpegError("the data ends early")
+    return Read(frame, quant, w, h, shape, adobe, progressive, scans, interval)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Gray or RGB samples."""
+    told = read(data)
+    frame, quant, w, h, adobe = told.frame, told.quant, told.width, told.height, told.adobe
+    most_h, most_v = max(c.across for c in frame), max(c.down for c in frame)
     k = np.arange(8)
     dct = np.where(k[:, None] == 0, np.sqrt(0.125), 0.5) * np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16)
     zigzag, planes = np.array(ZIGZAG), []

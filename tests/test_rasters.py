@@ -270,3 +270,15 @@ def test_jpegs_of_four_components():
     data = gray[:2] + adobe + gray[2:at] + frame + gray[at + 2 + n : scan] + scans + b"\xff\xd9"
     pixels = source.decode(data).pixels
     assert pixels.shape == (16, 16, 3) and np.abs(pixels.astype(int) - round(200 * 200 / 255)).max() <= 1
+
+
+def test_recoded_jpegs_are_smaller_and_the_same(spark):
+    from folioloom.sinks.recode import recode
+
+    rng = np.random.default_rng(9)
+    for shape in ((70, 90), (64, 50, 3)):
+        a = (rng.integers(0, 60, shape) + np.linspace(0, 190, shape[1]).reshape((1, -1) + (1,) * (len(shape) - 2))).astype(np.uint8)
+        plain, steps = _by_the_jvm(spark, a, False), _by_the_jvm(spark, a, True)
+        made = recode(plain)
+        assert len(made) < len(plain) and np.array_equal(source.decode(made).pixels, source.decode(plain).pixels)
+        assert recode(made) == made and recode(steps) == steps and recode(b"\xff\xd8\xff") == b"\xff\xd8\xff"
