@@ -14,7 +14,9 @@ where the vocabulary allows it, else 4. Shards follow one another in
 key order, so a reader finds a document by the shard's range, its filter, a binary search of the index and one block.
 
 Null or empty texts hold the end id alone. Repeated identifiers are kept, each with its own ids; a lookup returns all
-of them. Rows with equal identifiers are ordered by the hash of their text. An empty table gives no shard and no rows.
+of them. Rows with equal identifiers are ordered by the hash of their text. Very long texts are entries of blocks of
+their own size. An empty table gives no shard and no rows. Other columns are ignored, whatever their names. The folder
+needs a scheme that both Spark and pyarrow know.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,9 +53,9 @@ def id_of(key: bytes) -> int | None:
 
 
 def _bits(key: bytes, bits: int, hashes: int) -> list[int]:
-    h = zlib.crc32(key) | (zlib.crc32(key, 0x9E3779B9) << 32)
-    step = (h >> 33) | 1
-    return [(h + i * step) % bits for i in range(hashes)]
+    both = xxhash.xxh3_128_intdigest(key)
+    first, step = both & 2**64 - 1, both >> 64 | 1
+    return [(first + i * step) % bits for i in range(hashes)]
 
 
 class ShardWriter:
@@ -170,19 +173,18 @@ def _write(uri: str, path: str, end_id: int, block_bytes: int):
         own = encoder(path)
         encode, end, part = own.encode, np.uint32(end_id).tobytes(), TaskContext.get().partitionId()
         width = 2 if max(own.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        temp, final = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/shard-{part:06d}.sst"
+        name = f"shard-{part:06d}-{uuid.uuid4().hex}.sst"  # a task that runs again writes a file of its own; the manifest tells which counts
         writer = None
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
                     where.create_dir(folder, recursive=True)
-                    writer = ShardWriter(where.open_output_stream(temp), block_bytes, width=width)
+                    writer = ShardWriter(where.open_output_stream(f"{folder}/{name}"), block_bytes, width=width)
                 writer.add(key_of(doc), encode(text.as_py()) + end)
         if writer is not None:
             writer.close()
             writer.out.close()
-            where.move(temp, final)  # a task that runs again replaces the file whole
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{uri}/shard-{part:06d}.sst"]), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.tokens], pa.int64()), pa.array([id_of(writer.keys[0])], pa.int64()), pa.array([id_of(writer.keys[-1])], pa.int64())], ["shard", "uri", "n_docs", "n_ids", "first_id", "last_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{uri}/{name}"]), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.tokens], pa.int64()), pa.array([id_of(writer.keys[0])], pa.int64()), pa.array([id_of(writer.keys[-1])], pa.int64())], ["shard", "uri", "n_docs", "n_ids", "first_id", "last_id"])
 
     return run
 
