@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from folioloom import profiles
 from folioloom.functions import natural, text
+from folioloom.operators import books as B
 from folioloom.operators import pages as P
 from folioloom.operators import raster as R
 from folioloom.sinks import books
@@ -61,7 +62,8 @@ class Request:
     kepub: bool = True
     smart_cover_crop: bool = False
     cover_fill: bool = False
-    labels: tuple[int, ...] = ()
+    labels: tuple[int, ...] = ()  # for every book; None of them: those of a file beside a book, named like it plus .json
+    cover: str | None = None  # an image for every book; None: those of a folder Covers beside the books
 
 
 def resolve(request: Request) -> Request:
@@ -176,6 +178,51 @@ def thumbnail(w: int, h: int, tw: int, th: int) -> tuple[int, int] | None:
     return (nearer(th * aspect, lambda x: x / th), th) if tw / th >= aspect else (tw, nearer(tw / aspect, lambda x: tw / x))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def labels_beside(spark: SparkSession, path: str) -> DataFrame:
+    """book_id, positions and issue of the label files ({"spreads": [12, 40]}) beside the books at a path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    empty = spark.createDataFrame([], "book_id string, positions array<int>, issue string")
+    if not exists(spark, path) or not path.endswith("/") and not os.path.isdir(path) and not exists(spark, f"{path}.json"):
+        return empty
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for at, content in zip(b["path"], b["content"], strict=True):
+                positions, issue = None, None
+                try:
+                    positions = json.loads(bytes(content).decode())["spreads"]
+                    if not isinstance(positions, list) or any(type(p) is not int or p < 0 for p in positions):
+                        raise ValueError("a position is no whole number from 0 up")
+                except (ValueError, KeyError, TypeError) as e:
+                    positions, issue = None, f"spread_labels_read_failed: {e}"
+                rows.append((at.removesuffix(".json"), positions, issue))
+            yield pd.DataFrame(rows, columns=["book_id", "positions", "issue"])
+
+    return files.load(path if exists(spark, path) and not exists(spark, f"{path}.json") else f"{path}.json").select("path", "content").mapInPandas(run, empty.schema)
+
+
+def own_covers(spark: SparkSession, path: str, book_ids: DataFrame, request: Request) -> DataFrame | None:
+    """book_id and own (the image) of books with a cover of their own; lists are of one folder."""
+    if request.cover:
+        image = spark.read.format("binaryFile").load(request.cover).select(F.col("content").alias("own"))
+        return book_ids.crossJoin(F.broadcast(image))  # one image
+    folder = f"{path if os.path.isdir(path) or not path.lower().endswith(('.cbz', '.zip')) else os.path.dirname(path)}/Covers"
+    if not exists(spark, folder):
+        return None
+    placed = lambda df, name: df.withColumn("name", text.stem(F.col(name))).withColumn("ord", F.row_number().over(Window.orderBy(natural.natural_key(name))).cast("long"))
+    images = spark.read.format("binaryFile").load(folder).where(text.is_page_image(F.col("path")))
+    images = placed(images.select("path", "content"), "path")
+    listed = placed(book_ids.where(~F.contains("book_id", F.lit(f" ({books.NAME}"))), "book_id")
+    met = B.covers(listed.select("name", "ord"), images.select("name", "ord"))
+    return listed.select("book_id", "name").join(met, F.col("name") == F.col("book")).join(images.select(F.col("name").alias("cover"), F.col("content").alias("own")).dropDuplicates(["cover"]), "cover").select("book_id", "own")
+
+
 def paired(labels: tuple[int, ...]) -> tuple[list[int], list[int]]:
     """Labels that begin a pair, and those that are the second page of the pair before."""
     firsts, seconds = [], []
@@ -189,31 +236,48 @@ def position_after(position: int, firsts: list[int], total: int) -> int:
     return position - sum(p < position for p in firsts if p + 1 < total)
 
 
-def join_spreads(pages: DataFrame, labels: tuple[int, ...], right_to_left: bool) -> tuple[DataFrame, DataFrame]:
+def pairs_of(labels: DataFrame) -> DataFrame:
+    """book_id, firsts and seconds of each book's labels (book_id, positions)."""
+
+    def run(batches):
+        for b in batches:
+            found = [paired(tuple(p)) for p in b["positions"]]
+            yield pd.DataFrame({"book_id": b["book_id"], "firsts": [f for f, _ in found], "seconds": [x for _, x in found]})
+
+    return labels.where("positions IS NOT NULL").mapInPandas(run, "book_id string, firsts array<int>, seconds array<int>")
+
+
+def join_spreads(pages: DataFrame, labels: tuple[int, ...] | DataFrame, right_to_left: bool) -> tuple[DataFrame, DataFrame]:
     """Joins each labelled page (position in its book) with the next one; labels that could not be used: book_id, position, reason.
 
-    Labels are a short list that holds for each book by itself. A page meets its partner through a shuffle by book and pair.
+    labels: those of every book, or what `pairs_of` gives for some. A page meets its partner through a shuffle by book and pair.
     """
     book = Window.partitionBy("book_id")
     placed = pages.withColumn("_p", F.row_number().over(book.orderBy("page_ord")) - 1).withColumn("_n", F.count(F.lit(1)).over(book))
-    firsts, seconds = paired(labels)
-    reason = F.when(F.col("position") + 1 >= F.col("n"), "no_page_after").when(F.col("position").isin(seconds), "part_of_previous_pair")
     of_book = pages.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
-    skipped = of_book.select("book_id", "n", F.explode(F.array(*[F.lit(p) for p in sorted({*labels})]).cast("array<int>")).alias("position")).select("book_id", "position", reason.alias("reason")).where("reason IS NOT NULL")
-    usable = lambda p: p.isin(firsts) & (p + 1 < F.col("_n"))
+    if isinstance(labels, tuple):
+        told = [F.array(*map(F.lit, x)).cast("array<int>") for x in paired(labels)]
+        placed, of_book = (df.withColumn("_firsts", told[0]).withColumn("_seconds", told[1]) for df in (placed, of_book))
+    else:
+        named = labels.select("book_id", F.col("firsts").alias("_firsts"), F.col("seconds").alias("_seconds"))
+        placed, of_book = placed.join(named, "book_id", "left"), of_book.join(named, "book_id")
+    reason = F.when(F.col("position") + 1 >= F.col("n"), "no_page_after").when(F.array_contains("_seconds", F.col("position")), "part_of_previous_pair")
+    skipped = of_book.withColumn("position", F.explode(F.array_union("_firsts", "_seconds"))).select("book_id", "position", reason.alias("reason")).where("reason IS NOT NULL")
+    usable = lambda p: F.coalesce(F.array_contains("_firsts", p), F.lit(False)) & (p + 1 < F.col("_n"))
     pair = placed.withColumn("_pair", F.when(usable(F.col("_p") - 1), F.col("_p") - 1).otherwise(F.col("_p")))
+    own = ["_p", "_n", "_firsts", "_seconds", "_pair"]
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("page_ord")
-        first = group.iloc[:1].drop(columns=["_p", "_n", "_pair"]).copy()
+        first = group.iloc[:1].drop(columns=own).copy()
         try:
             a, b = (source.decode(bytes(c)).pixels for c in group["content"])
             first["content"] = [out.png(R.join_pair(a, b, right_to_left))]
         except source.ImageError:  # the pages stay apart, and the page operator tells what is wrong with them
-            return group.drop(columns=["_p", "_n", "_pair"])
+            return group.drop(columns=own)
         return first
 
-    single = pair.where(~usable(F.col("_pair"))).drop("_p", "_n", "_pair")
+    single = pair.where(~usable(F.col("_pair"))).drop(*own)
     twos = pair.where(usable(F.col("_pair"))).groupBy("book_id", "_pair").applyInPandas(run, pages.schema)
     return single.unionByName(twos), skipped
 
@@ -228,23 +292,23 @@ class Result:
 INFO_ROW, COVER_ROW = -2, -1
 
 
-def cover_rows(found: DataFrame, request: Request) -> DataFrame:
-    """A row as of a page for the cover made of each book's first page, or for why there is none."""
+def cover_rows(fronts: DataFrame, request: Request) -> DataFrame:
+    """A row as of a page for the cover made of each book's image (book_id, content, and whether it is a book's own), or for why there is none."""
     names = [f.split()[0] for f in P.OUTPUT.split(", ")]
 
     def run(batches):
         for b in batches:
             rows = []
-            for book, content in zip(b["book_id"], b["content"], strict=True):
+            for book, content, own in zip(b["book_id"], b["content"], b["is_own"], strict=True):
                 try:
                     made, cut = cover(bytes(content), request)
-                    if request.options.output == "epub" or cut:
+                    if request.options.output == "epub" or cut or own:
                         rows.append((book, "", COVER_ROW, 0, "cover", "jpg", None, None, False, False, made, None))
                 except source.ImageError as e:
-                    rows.append((book, "", COVER_ROW, 0, "cover", None, None, None, False, False, None, f"cover_build_failed: {e}"))
+                    rows.append((book, "", COVER_ROW, 0, "cover", None, None, None, False, False, None, f"{'cover_read_failed' if own else 'cover_build_failed'}: {e}"))
             yield pd.DataFrame(rows, columns=names).astype({"piece_ord": "Int64", "width": "Int64", "height": "Int64"})
 
-    return found.where("is_first").select("book_id", "content").mapInPandas(run, P.OUTPUT)
+    return fronts.select("book_id", "content", "is_own").mapInPandas(run, P.OUTPUT)
 
 
 def spread_pages(pages: DataFrame) -> DataFrame:
@@ -262,25 +326,36 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
     scanned = scan(spark, path)
     found = page_rows(scanned)
     totals = found.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
-    firsts, skipped = paired(request.labels)[0], None
+    skipped = None
     if request.labels:
+        totals = totals.withColumn("firsts", F.array(*map(F.lit, paired(request.labels)[0])).cast("array<int>"))
         found, skipped = join_spreads(found, request.labels, o.right_to_left)
+    else:
+        beside = labels_beside(spark, path)
+        pairs = pairs_of(beside)
+        totals = totals.join(pairs.select("book_id", "firsts"), "book_id", "left")
+        if not beside.isEmpty():
+            found, skipped = join_spreads(found, pairs, o.right_to_left)
     first = F.col("page_ord") == F.min("page_ord").over(Window.partitionBy("book_id"))
     pages = P.webtoon_pages(found, *o.target) if o.webtoon else spread_pages(found.select("book_id", "chapter_path", "page_ord", "is_first", "content"))
     done = P.page_outputs(pages, o)
     as_page = lambda df, info, content, error: df.select("book_id", F.coalesce(info, F.lit("")).alias("chapter_path"), F.lit(INFO_ROW).cast("long").alias("page_ord"), F.lit(0).alias("piece_ord"), F.lit("info").alias("role"), F.lit("xml").alias("ext"), F.lit(None).cast("int").alias("width"), F.col("n").cast("int").alias("height"), F.lit(False).alias("black_background"), F.lit(False).alias("source_truncated"), content.alias("content"), error.alias("error"))
-    about = as_page(totals.join(metadata(scanned), "book_id", "left"), F.col("info"), F.col("raw"), F.col("issue"))
+    about = as_page(totals.join(metadata(scanned), "book_id", "left"), F.to_json(F.struct("info", "firsts")), F.col("raw"), F.col("issue"))
     parts = done.unionByName(about)
     if o.output != "pdf" and not o.webtoon:
-        parts = parts.unionByName(cover_rows(found.withColumn("is_first", first), request))
+        fronts = found.withColumn("is_first", first).where("is_first").select("book_id", "content")
+        own = own_covers(spark, path, totals.select("book_id"), request)
+        fronts = fronts.withColumn("is_own", F.lit(False)) if own is None else fronts.join(own, "book_id", "left").select("book_id", F.coalesce("own", "content").alias("content"), F.col("own").isNotNull().alias("is_own"))
+        parts = parts.unionByName(cover_rows(fronts, request))
 
     now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         told = group[group["role"] == "info"]
-        info = book_info(json.loads(told["chapter_path"].iloc[0]) if len(told) and told["chapter_path"].iloc[0] else None, request, stem(key[0]))
+        about = json.loads(told["chapter_path"].iloc[0]) if len(told) else {}
+        info = book_info(json.loads(about["info"]) if about.get("info") else None, request, stem(key[0]))
         total = int(told["height"].iloc[0]) if len(told) else 0
-        info.bookmarks = [(position_after(p, firsts, total), name) for p, name in info.bookmarks]
+        info.bookmarks = [(position_after(p, about.get("firsts") or [], total), name) for p, name in info.bookmarks]
         if len(told) and request.keep_comic_info and o.output == "cbz" and told["content"].iloc[0] is not None:
             info.comic_info = bytes(told["content"].iloc[0])
         info.modified = now
@@ -301,6 +376,8 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
     issues = issues.unionByName(issue(parts, F.col("error"), F.when(F.col("page_ord") >= 0, F.col("page_ord").cast("string"))))
     issues = issues.unionByName(done.where("source_truncated").select("book_id", F.lit("page_truncated").alias("code"), none.alias("diagnostic"), F.col("page_ord").cast("string").alias("path")))
     issues = issues.unionByName(warnings(spark, scanned, request))
+    if not request.labels:
+        issues = issues.unionByName(issue(beside, F.col("issue"), none))
     if skipped is not None:
         issues = issues.unionByName(skipped.select("book_id", F.lit("spread_labels_skipped").alias("code"), F.concat(F.lit("position "), "position", F.lit(": "), "reason").alias("diagnostic"), none.alias("path")))
     return Result(made, issues)

@@ -151,3 +151,29 @@ def test_stamps_are_utc_in_any_session(spark):
         assert spark.range(1).select(text.utc_stamp(F.lit(86_400))).first()[0] == "1970-01-02T00:00:00Z"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_covers_and_labels_beside_books(spark, tmp_path):
+    """Covers by name, labels by a file like the book plus .json; a list that can't be read is an issue and the book goes on."""
+    for book in ("one", "two"):
+        with zipfile.ZipFile(tmp_path / f"{book}.cbz", "w") as z:
+            for i in range(4):
+                z.writestr(f"p{i}.png", images.png(np.full((90, 60), 10 * i, np.uint8)))
+    (tmp_path / "Covers").mkdir()
+    (tmp_path / "Covers" / "TWO.png").write_bytes(images.png(np.full((30, 20), 222, np.uint8)))
+    (tmp_path / "one.cbz.json").write_text('{"spreads": [0, 3]}')
+    (tmp_path / "two.cbz.json").write_text('{"spreads": [-1]}')
+    request = api.Request(options=PageOptions(profile="KoC", format="epub", cropping="disabled", splitter="rotate"))
+    result = api.convert(spark, str(tmp_path), request)
+    found = sorted((os.path.basename(r.book_id or ""), r.code) for r in result.issues.where("code LIKE 'spread%' OR code LIKE 'cover%'").collect())
+    assert found == [("one.cbz", "spread_labels_skipped"), ("two.cbz", "spread_labels_read_failed")]
+    made = {os.path.basename(r.book_id): r for r in result.books.collect()}
+    assert made["two.cbz"].error is None and made["two.cbz"].pages == 4 and made["one.cbz"].pages == 3
+    from folioloom.sources import images as source
+
+    with zipfile.ZipFile(io.BytesIO(made["two.cbz"].content)) as z:
+        assert source.dimensions(z.read("OEBPS/Images/cover.jpg")) == (20, 30)
+    one = api.convert(spark, str(tmp_path), api.Request(options=request.options, cover=str(tmp_path / "Covers" / "TWO.png")))
+    for r in one.books.collect():
+        with zipfile.ZipFile(io.BytesIO(r.content)) as z:
+            assert source.dimensions(z.read("OEBPS/Images/cover.jpg")) == (20, 30)
