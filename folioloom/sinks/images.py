@@ -10,6 +10,9 @@ import numpy as np
 # Quantisation tables and Huffman tables of the JPEG standard, zigzag order.
 LUMA = [16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99]
 CHROMA = [17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99] + [99] * 32
+# Brightness and chroma of red, green and blue in parts of 65,536, and what is added to chroma.
+YCC = [(19_595, 38_470, 7_471), (-11_059, -21_709, 32_768), (32_768, -27_439, -5_329)]
+OFFSET = (128 << 16) + 32_767
 ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
 
 
@@ -18,11 +21,15 @@ def _chunk(name: bytes, data: bytes) -> bytes:
 
 
 def _png(w: int, h: int, depth: int, kind: int, rows: np.ndarray, step: int, palette: bytes = b"") -> bytes:
-    """Rows with the filter whose differences are smallest, for whole-byte pixels."""
+    """Rows with the one of the five filters whose differences are smallest, for whole-byte pixels."""
     if step:
         left = np.pad(rows, ((0, 0), (step, 0)))[:, : rows.shape[1]]
         up = np.pad(rows, ((1, 0), (0, 0)))[: len(rows)]
-        forms = np.stack((rows, rows - left, rows - up))
+        corner = np.pad(left, ((1, 0), (0, 0)))[: len(rows)]
+        x, y, z = (v.astype(np.int16) for v in (left, up, corner))
+        off = np.abs(np.stack((y - z, x - z, x + y - 2 * z)))  # from the guess x + y - z to x, y and z
+        nearest = np.where((off[0] <= off[1]) & (off[0] <= off[2]), left, np.where(off[1] <= off[2], up, corner))
+        forms = np.stack((rows, rows - left, rows - up, rows - ((x + y) >> 1).astype(np.uint8), rows - nearest))
         cost = np.abs(forms.astype(np.int8).astype(np.int32)).sum(2)
         best = np.argmin(cost, axis=0)
         rows = forms[best, np.arange(len(rows))]
@@ -157,9 +164,9 @@ def jpeg(a: np.ndarray, quality: int) -> bytes:
         planes, sampling = [a.astype(np.float64)], [1]
     else:
         r, g, b = (a[..., i].astype(np.float64) for i in range(3))
-        luma = np.round(0.299 * r + 0.587 * g + 0.114 * b)
-        cb, cr = np.round(-0.168735892 * r - 0.331264108 * g + 0.5 * b + 128), np.round(0.5 * r - 0.418687589 * g - 0.081312411 * b + 128)
-        planes, sampling = [luma, *(_halved(np.clip(c, 0, 255)) for c in (cb, cr))], [2, 1, 1]
+        fixed = np.tensordot(a.astype(np.int64), np.array(YCC).T, 1) + (32_768, OFFSET, OFFSET) >> 16
+        luma, cb, cr = np.moveaxis(fixed.astype(np.float64), -1, 0)
+        planes, sampling = [luma, *(_halved(c) for c in (cb, cr))], [2, 1, 1]
     unit = 8 * sampling[0]
     mh, mw = -(-h // unit), -(-w // unit)
     tables = _quantisers(quality)
