@@ -282,3 +282,18 @@ def test_recoded_jpegs_are_smaller_and_the_same(spark):
         made = recode(plain)
         assert len(made) < len(plain) and np.array_equal(source.decode(made).pixels, source.decode(plain).pixels)
         assert recode(made) == made and recode(steps) == steps and recode(b"\xff\xd8\xff") == b"\xff\xd8\xff"
+
+
+@pytest.mark.parametrize("shape", [(61, 83), (64, 48, 3), (45, 33, 3)])
+def test_jpeg_pixels_equal_the_jvms(spark, shape):
+    """The JVM decodes with the same transform in whole numbers, and with the same smooth upsampling of chroma."""
+    rng = np.random.default_rng(11)
+    a = (rng.integers(0, 256, shape) // 2 + np.linspace(0, 120, shape[1]).reshape((1, -1) + (1,) * (len(shape) - 2))).astype(np.uint8)
+    data = _by_the_jvm(spark, a, False)
+    jvm = spark._jvm
+    raster = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data))).getRaster()
+    bands = 1 if a.ndim == 2 else 3
+    flat = np.array(list(raster.getPixels(0, 0, a.shape[1], a.shape[0], spark.sparkContext._gateway.new_array(jvm.int, a.size))), int)
+    want = flat.reshape(a.shape[0], a.shape[1], bands)
+    got = source.decode(data).pixels.reshape(want.shape)
+    assert np.array_equal(got, want)
