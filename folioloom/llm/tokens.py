@@ -8,8 +8,10 @@ import struct
 import unicodedata
 from functools import lru_cache
 
-#: The word pattern of the lower-casing word tokenizer, as its file states it.
+# The word pattern, and all that a tokenizer file must state for words to be encoded one by one.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Entries of a worker's word cache; it is emptied beyond that.
 CACHE_WORDS = 400_000
 
@@ -44,7 +46,7 @@ class _Words(dict):
 class Encoder:
     """encode(text) gives the ids of the tokenizers library without special tokens.
 
-    A tokenizer made of NFC, lower-casing and WORD_PATTERN encodes each word on its own, so words are looked up in a
+    A tokenizer with just this NORMALIZER and these WORDS encodes each word on its own, so words are looked up in a
     cache; texts with other than plain characters, or that may hold a special token, go through the library whole.
     """
 
@@ -54,10 +56,9 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         told = json.loads(self.whole.to_str())
         self.fast = None
-        pre, norm = told.get("pre_tokenizer") or {}, told.get("normalizer") or {}
-        parts = pre.get("pretokenizers") or [{}, {}]
-        by_word = parts[0].get("pattern", {}).get("Regex") == WORD_PATTERN and parts[0].get("invert") and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        if by_word and len(parts) == 2 and parts[1]["type"] == "ByteLevel" and not parts[1]["add_prefix_space"]:
+        model = told["model"]
+        by_word = told.get("normalizer") == NORMALIZER and told.get("pre_tokenizer") == WORDS and model["type"] == "BPE" and not model["dropout"]
+        if by_word and not any(told.get(k) for k in ("truncation", "padding")) and not any(t["normalized"] for t in told["added_tokens"]):
             letters, numbers, others = _plain()
             self.fast = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[{others}]+").findall
             self.odd = re.compile(f"[^\t\n\x0b\x0c\r \x85\xa0{letters}{numbers}{others}]|" + "|".join(re.escape(t["content"]) for t in told["added_tokens"])).search

@@ -53,6 +53,19 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_leaves_other_tokenizers_to_the_library(tmp_path):
+    """A file that differs in any rule is encoded by the library as a whole."""
+    import json
+
+    told = json.loads(tokens.Encoder(TOKENIZER).whole.to_str())
+    told["normalizer"]["normalizers"][1]["content"] = "-"
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    own = tokens.Encoder(str(tmp_path / "t.json"))
+    assert own.fast is None
+    text = "two  words\nhere"
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1, max_size=12))
 def test_plan_places_every_rank_once_without_overflow(counts):
