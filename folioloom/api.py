@@ -284,8 +284,14 @@ def join_spreads(pages: DataFrame, labels: tuple[int, ...] | DataFrame, right_to
 
 @dataclass
 class Result:
+    """books and issues are made of the same finished pages, which are kept in memory or on disk until `release`; lost ones are made again."""
+
     books: DataFrame
     issues: DataFrame
+    parts: DataFrame
+
+    def release(self) -> None:
+        self.parts.unpersist()
 
 
 #: Rows of a book that are no pages: metadata comes first, then the cover.
@@ -348,6 +354,7 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
         fronts = fronts.withColumn("is_own", F.lit(False)) if own is None else fronts.join(own, "book_id", "left").select("book_id", F.coalesce("own", "content").alias("content"), F.col("own").isNotNull().alias("is_own"))
         parts = parts.unionByName(cover_rows(fronts, request))
 
+    parts = parts.persist()
     now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -374,13 +381,13 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
     none = F.lit(None).cast("string")
     issues = issue(scanned, F.col("issue"), F.col("rel_path"))
     issues = issues.unionByName(issue(parts, F.col("error"), F.when(F.col("page_ord") >= 0, F.col("page_ord").cast("string"))))
-    issues = issues.unionByName(done.where("source_truncated").select("book_id", F.lit("page_truncated").alias("code"), none.alias("diagnostic"), F.col("page_ord").cast("string").alias("path")))
+    issues = issues.unionByName(parts.where("source_truncated").select("book_id", F.lit("page_truncated").alias("code"), none.alias("diagnostic"), F.col("page_ord").cast("string").alias("path")))
     issues = issues.unionByName(warnings(spark, scanned, request))
     if not request.labels:
         issues = issues.unionByName(issue(beside, F.col("issue"), none))
     if skipped is not None:
         issues = issues.unionByName(skipped.select("book_id", F.lit("spread_labels_skipped").alias("code"), F.concat(F.lit("position "), "position", F.lit(": "), "reason").alias("diagnostic"), none.alias("path")))
-    return Result(made, issues)
+    return Result(made, issues, parts)
 
 
 def measured(pages: DataFrame, request: Request) -> DataFrame:
