@@ -318,9 +318,9 @@ def cover_rows(fronts: DataFrame, request: Request) -> DataFrame:
 
 
 def spread_pages(pages: DataFrame) -> DataFrame:
-    """Pages dealt over all tasks, so one volume keeps more than one core busy."""
+    """Pages dealt over all tasks, so one volume keeps all cores busy; a few tasks a core even out what a hash deals unevenly."""
     conf = pages.sparkSession.conf
-    n = max(int(conf.get("spark.sql.shuffle.partitions")), pages.sparkSession.sparkContext.defaultParallelism)
+    n = max(int(conf.get("spark.sql.shuffle.partitions")), 4 * pages.sparkSession.sparkContext.defaultParallelism)
     return pages.repartition(n, "book_id", "page_ord")
 
 
@@ -342,14 +342,13 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
         totals = totals.join(pairs.select("book_id", "firsts"), "book_id", "left")
         if not beside.isEmpty():
             found, skipped = join_spreads(found, pairs, o.right_to_left)
-    first = F.col("page_ord") == F.min("page_ord").over(Window.partitionBy("book_id"))
     pages = P.webtoon_pages(found, *o.target) if o.webtoon else spread_pages(found.select("book_id", "chapter_path", "page_ord", "is_first", "content"))
     done = P.page_outputs(pages, o)
     as_page = lambda df, info, content, error: df.select("book_id", F.coalesce(info, F.lit("")).alias("chapter_path"), F.lit(INFO_ROW).cast("long").alias("page_ord"), F.lit(0).alias("piece_ord"), F.lit("info").alias("role"), F.lit("xml").alias("ext"), F.lit(None).cast("int").alias("width"), F.col("n").cast("int").alias("height"), F.lit(False).alias("black_background"), F.lit(False).alias("source_truncated"), content.alias("content"), error.alias("error"))
     about = as_page(totals.join(metadata(scanned), "book_id", "left"), F.to_json(F.struct("info", "firsts")), F.col("raw"), F.col("issue"))
     parts = done.unionByName(about)
     if o.output != "pdf" and not o.webtoon:
-        fronts = found.withColumn("is_first", first).where("is_first").select("book_id", "content")
+        fronts = found.where("is_first").select("book_id", "content")  # a joined pair stands for its first page
         own = own_covers(spark, path, totals.select("book_id"), request)
         fronts = fronts.withColumn("is_own", F.lit(False)) if own is None else fronts.join(own, "book_id", "left").select("book_id", F.coalesce("own", "content").alias("content"), F.col("own").isNotNull().alias("is_own"))
         parts = parts.unionByName(cover_rows(fronts, request))
