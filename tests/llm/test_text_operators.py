@@ -473,3 +473,31 @@ def test_bm25_cuts_a_partition_into_shards(spark, monkeypatch):
         assert all(len({r["doc_id"] for r in got if r["query"] == q}) == 3 for q in range(3))
         found.append(got)
     assert found[0] == found[1] == found[2]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Only a local master may do without spark.checkpoint.dir."""
+    from types import SimpleNamespace
+
+    from folioloom.llm import common
+
+    def session(master, told=""):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: told or d), sparkContext=SimpleNamespace(master=master))
+
+    assert common.shared_dir(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert common.shared_dir(session("local[8]")).startswith("file:") and common.shared_dir(session("local"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session(master))
+
+
+def test_scratch_keeps_what_is_named(spark):
+    from folioloom.llm.common import Scratch
+
+    scratch = Scratch(spark, "keeping")
+    one, two = (scratch.store(spark.range(n), name) for n, name in ((3, "one"), (4, "two")))
+    scratch.keep("two")
+    assert two.count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FAILED_READ_FILE"):
+        spark.read.parquet(scratch.sub("one")).count()
+    assert one.columns == ["id"]
