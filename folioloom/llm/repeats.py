@@ -10,10 +10,10 @@ Only strings that may repeat are brought together:
 2.  The strings of the runs of starts left are dealt by their q-gram (runs that a text holds twice, as one does that
     repeats a phrase over and over, repeat already; one of them goes on for the others, and equal strings are one).
     `bucket_order` puts the places of those in a task in order: they lie in buckets by an identifier of their first
-    FIRST bytes, and each holds the pointer of its bucket. A bucket is refined by sorting its members on the bucket
-    pointers at the offset to which they agree (at most so far that the later buckets end at `length`), and is then
-    known as deep as both together. Pointers are updated at once, so buckets refined later, in the same pass and in
-    the next, split by what earlier ones have found, until all agree to `length` bytes or stand alone.
+    FIRST bytes, and each holds the pointer of its bucket. Buckets are refined by sorting their members on the bucket
+    pointers at a later offset: that to which they agree, or less, so that the later buckets end at `length` and no
+    two places that agree so far are parted. The pointers are updated, and the next pass refines by what this one has
+    found, until all agree to `length` bytes or stand alone.
 3.  Neighbours in the order are compared byte by byte, so nothing is removed that does not repeat.
 
 Equal texts are refined once. A q-gram that is frequent within one task, or has over LARGE occurrences, is not
@@ -45,8 +45,8 @@ from .common import Scratch, release_memory
 LARGE, FREQUENT = 5_000, 512
 #: q-grams that a task holds before it passes them on.
 HELD = 1 << 20
-#: Bytes of the first buckets, and parts of a pass, each of which sees what those before it found.
-FIRST, PARTS = 64, 2
+#: Bytes of the first buckets.
+FIRST = 64
 #: Bytes of strings that a task refines at a time.
 CHUNK = 1 << 20
 _SLICE = 1 << 19
@@ -256,7 +256,7 @@ def bucket_order(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     order = order[np.argsort(ids[order])]
     ids = ids[order]
     n = len(data)
-    pointer, depth = np.full(n, -1), np.full(n, q)
+    pointer, depth = np.full(n, -1), q
 
     def point(places: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Points the members at (sorted) places to the last of their bucket; new: where a bucket begins. Returns the bucket sizes."""
@@ -265,33 +265,23 @@ def bucket_order(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
         pointer[order[places]] = np.repeat(places[heads + sizes - 1], sizes)
         return np.repeat(sizes, sizes)
 
-    places = np.arange(len(order))
+    open_ = np.arange(len(order))  # places of buckets that are still refined
     if len(order):
-        places = places[point(places, np.concatenate(([True], ids[1:] != ids[:-1]))) > 1]
+        open_ = open_[point(open_, np.concatenate(([True], ids[1:] != ids[:-1]))) > 1]
     del ids
-    open_ = places if q < length else places[:0]
-    while len(open_):  # places of buckets that are still refined
-        left = []
-        cuts = np.flatnonzero(np.diff(pointer[order[open_]], prepend=-1))
-        step = -(-len(cuts) // PARTS)
-        for a in range(0, len(cuts), step):
-            places = open_[cuts[a] : cuts[a + step] if a + step < len(cuts) else None]
-            member = order[places]
-            offset = np.minimum(depth[member], length - q)
-            target = member + offset
-            inside = target + q <= ends[member]
-            target[~inside] = 0
-            # Too near to the end: such a place is no start, and stays by itself.
-            own, key = pointer[member], np.where(inside, pointer[target], n + member)
-            reached = np.where(inside, np.minimum(offset + depth[target], length), length)
-            both = own * (2 * n + 1) + key
-            by = np.argsort(both)
-            both, member = both[by], member[by]
-            order[places] = member
-            depth[member] = reached[by]
-            size = point(places, np.concatenate(([True], both[1:] != both[:-1])))
-            left.append(places[(size > 1) & (depth[member] < length)])
-        open_ = np.concatenate(left)
+    while len(open_) and depth < length:
+        member = order[open_]
+        offset = min(depth, length - depth)
+        target = member + offset
+        inside = target + depth <= ends[member]
+        target[~inside] = 0
+        # Too near to the end: such a place is no start, nor a later offset of one, and stays by itself.
+        both = pointer[member] * (2 * n + 1) + np.where(inside, pointer[target], n + member)
+        by = np.argsort(both)
+        both = both[by]
+        order[open_] = member[by]
+        open_ = open_[point(open_, np.concatenate(([True], both[1:] != both[:-1]))) > 1]
+        depth += offset
     return order
 
 
@@ -450,7 +440,7 @@ def _cover(spark: SparkSession, rows: DataFrame, scratch: Scratch, length: int,
     # Copies of a text lie together, but a join may split them: a member counts once.
     found = strings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "key", "first").mapInArrow(_once(_refine(length, q)), "key binary, a long, b long, bucket long, other long")
     found = scratch.store(found, "found")
-    scratch.drop("alive")
+    scratch.keep("found", "copies")
     spans = found.where("bucket IS NULL").select("key", "a", "b")
     if not found.where("bucket IS NOT NULL").isEmpty():
         large = found.where("bucket IS NOT NULL").distinct()

@@ -501,3 +501,22 @@ def test_scratch_keeps_what_is_named(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FAILED_READ_FILE"):
         spark.read.parquet(scratch.sub("one")).count()
     assert one.columns == ["id"]
+
+
+def test_repeated_starts_against_counts():
+    """Strings that agree up to random places and go on differently, cut anywhere: exactly the starts that repeat."""
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcd", np.uint8)
+    for _ in range(6):
+        strings = []
+        for _ in range(25):
+            base = rng.choice(letters, 420)
+            for _ in range(8):
+                other = base.copy()
+                at = int(rng.integers(150, 420))
+                other[at:] = rng.choice(letters, 420 - at)
+                first = int(rng.integers(0, 120))
+                strings.append(other[first : first + int(rng.integers(200, 300))].tobytes())
+        owner, start, again = repeats.repeated_starts(strings, 200)
+        seen = Counter(s[i : i + 200] for s in strings for i in range(len(s) - 199))
+        assert again.tolist() == [seen[strings[o][i : i + 200]] > 1 for o, i in zip(owner.tolist(), start.tolist(), strict=True)]
