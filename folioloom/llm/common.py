@@ -34,11 +34,22 @@ class Scratch:
         df.write.mode("errorifexists").option("compression", "zstd").parquet(self.sub(name))
         return self.spark.read.schema(df.schema).parquet(self.sub(name))
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.sub(name))
+    def _delete(self, path) -> None:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        for name in names:
+            self._delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.sub(name)))
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but those that the result still reads."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in where.listStatus(folder) if where.exists(folder) else ():
+            if found.getPath().getName() not in names:
+                self._delete(found.getPath())
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

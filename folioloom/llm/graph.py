@@ -25,6 +25,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         lower = lower.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label"))
         lower = scratch.store(lower, f"{name}-{turn}")
         if lower.where("old <> label").isEmpty():
+            scratch.drop(f"{name}-edges", f"{name}-{turn - 1}")
             return lower.select("node", "label")
         labels = lower.select("node", "label")
         scratch.drop(f"{name}-{turn - 1}")

@@ -298,13 +298,13 @@ def _grouped(spark: SparkSession, scratch: Scratch, docs: DataFrame, k: int, per
     of = members.where("blocks > 1").select("cluster", "class").join(groups.withColumnRenamed("node", "class"), "class", "left").select("cluster", "class", F.coalesce("label", "class").alias("group"))
     left = scratch.store(of.groupBy("cluster").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("cluster"), "left")
     if left.isEmpty():
-        scratch.drop("sets")
+        scratch.drop("sets", "links", "left", "long")
         return rows, classes, groups
     open_ = full.join(of.join(left, "cluster").select("class", "group"), "class")
     pairs = F.transform(every, lambda other: F.xxhash64(F.col("cluster"), F.least(block, other), F.greatest(block, other)))
     more = confirmed(open_.select(F.explode(pairs).alias("task"), "class", "group", "short", "set"))
     whole = components(links.unionByName(more), scratch, "whole")
-    scratch.drop("sets")
+    scratch.drop("sets", "links", "left", "long")
     return rows, classes, whole
 
 
@@ -344,4 +344,6 @@ def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int =
     wordless = rows.where("n_shingles = 0")
     stay = stay.unionByName(wordless.where("doc_id IS NULL").select(F.col("row").alias("_key")))
     stay = stay.unionByName(wordless.where("doc_id IS NOT NULL").groupBy("doc_id", "text_key").agg(F.min("row").alias("_key")).select("_key"))
-    return held.join(scratch.store(stay, "stay"), "_key").select("_row.*")
+    stay = scratch.store(stay, "stay")
+    scratch.keep("input", "stay")
+    return held.join(stay, "_key").select("_row.*")

@@ -229,6 +229,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, query_mod: int = 50, k: int
     rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.col("score").desc(), "vec_id"))
     best = single.withColumn("rank", rank("query_point")).where(F.col("rank") <= k + 1)
     best = scratch.store(best.groupBy("query_point").agg(F.collect_list(F.struct("vec_id", "score")).alias("found")), "best")
+    scratch.keep("points", "best")
     # Vectors of over a thousandth of the rows, a thousand of them at most, are joined by broadcast; no other key is hot.
     hot = F.col("n") * 1000 > counts["rows"]
     known = points.where("asked > 0").select("point", "vector", hot.alias("hot")).join(best, F.col("point") == F.col("query_point")).select("vector", "hot", "found")

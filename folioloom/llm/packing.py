@@ -204,6 +204,7 @@ def pack_mixed(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: i
     windowed = windowed.repartition("window").sortWithinPartitions("window")
     names = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     placed = scratch.store(windowed.mapInArrow(_pack_windows(capacity), f"{names}, window long, number long, offset long"), "placed")
+    scratch.keep("placed")
     sizes = placed.groupBy("window").agg((F.max("number") + 1).alias("n"))  # a row for each window
     before = F.sum("n").over(Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1))
     first = sizes.select("window", F.coalesce(before, F.lit(0)).alias("first"))

@@ -116,6 +116,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, id_col: str =
     linked = scratch.store(dealt.unionByName(ours.where("hot IS NULL").join(ends.where("NOT often"), "group").select("copy", "group", own("ends"))), "linked")
     # Linked documents beyond a quota, and all others, fill the rest.
     keep = scratch.store(ranked(linked, ["shard"], ["group", "copy"], ["copy"], parts, "place").where(F.col("place") < F.element_at(_literal(quota), F.col("shard") + 1)).select("copy", "shard"), "keep")
+    scratch.keep("base", "keep")
     sizes = _sizes(keep, shards)
     ends, at = [], 0
     for q, n in zip(quota, sizes, strict=True):
