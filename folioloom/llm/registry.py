@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, html_text, language, mixing, near_dups, neighbours, packing, repeats, sharding, token_store
+from . import bm25, html_text, language, mixing, near_dups, neighbours, packing, repair, repeats, sharding, token_store
 from .common import table
 
 
@@ -58,8 +58,12 @@ def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(spark, docs, docs.where("doc_id % 20 = 0"), k=10).withColumn("score", F.round("score", 6))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(spark, table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_source_mixing, op4_best_fit_packing, op5_repeated_strings, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_source_mixing, op4_best_fit_packing, op5_repeated_strings, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search, op12_conversation_repair)}
 
 
 #: Words of whole texts, A-Z in lower case.
@@ -99,6 +103,31 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM placed WHERE rank <= 10"""
 
 
+#: The cheapest edits forwards, row by row, with the least of equally cheap audits.
+CONVERSATION_REPAIR_SQL = r"""
+WITH RECURSIVE source AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(k, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 20 AS kind FROM source),
+damaged AS (SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS o, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) AS said FROM damaged),
+faults AS (SELECT *, substr(role, 1, 1) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, said > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM placed),
+rows_ AS (SELECT *, lag(i) OVER (PARTITION BY c ORDER BY o) AS before FROM faults),
+n AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT again AND NOT blank) AS truncated,
+  count(*) FILTER (WHERE o > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY c),
+inserts AS (SELECT * FROM (VALUES (0, '', 0, 0, []::VARCHAR[]), (0, 'I', 2, 2, ['user:']), (0, 'II', 4, 3, ['user:', 'assistant:']), (1, '', 0, 1, []), (1, 'I', 2, 2, ['user:']), (1, 'II', 4, 3, ['user:', 'assistant:']),
+  (2, '', 0, 2, []), (2, 'I', 2, 3, ['assistant:']), (2, 'II', 4, 2, ['assistant:', 'user:']), (3, '', 0, 3, []), (3, 'I', 2, 2, ['user:']), (3, 'II', 4, 3, ['user:', 'assistant:'])) AS t(q, ops, cost, q2, lines)),
+steps AS (
+  SELECT c, o, q, 'D' AS op, 3 AS cost, q AS q2, []::VARCHAR[] AS lines FROM rows_ CROSS JOIN range(4) AS s(q)
+  UNION ALL SELECT c, o, q, 'R', 2 + cut::INT, CASE q WHEN 2 THEN 3 ELSE 2 END, [CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] FROM rows_ CROSS JOIN range(4) AS s(q) WHERE NOT blank AND NOT again
+  UNION ALL SELECT c, o, q, 'K', cut::INT, q2, [role || ':' || text] FROM rows_ JOIN (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) AS s(q, i, q2) USING (i) WHERE NOT blank AND NOT again),
+dp(c, o, q, best) AS (
+  SELECT DISTINCT c, 0::BIGINT, 0::BIGINT, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} FROM damaged
+  UNION ALL SELECT d.c, d.o + 1, s.q2::BIGINT, min({'cost': (d.best.cost + i.cost + s.cost)::BIGINT, 'audit': d.best.audit || i.ops || s.op, 'lines': list_concat(list_concat(d.best.lines, i.lines), s.lines)})
+  FROM dp d JOIN inserts i ON i.q = d.q JOIN steps s ON s.c = d.c AND s.o = d.o + 1 AND s.q = i.q2 GROUP BY d.c, d.o, s.q2),
+ends AS (SELECT n.c, min({'cost': d.best.cost + i.cost, 'audit': d.best.audit || i.ops, 'lines': list_concat(d.best.lines, i.lines)}) AS best FROM n JOIN dp d ON d.c = n.c AND d.o = n.n JOIN inserts i ON i.q = d.q WHERE i.q2 IN (0, 3) GROUP BY n.c)
+SELECT s.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM source) s LEFT JOIN n ON n.c = s.c LEFT JOIN ends ON ends.c = s.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL says the same over whole tables; the other queries are tested against brute force."""
-    return {"op2_near_duplicates": NEAR_DUPLICATES_SQL, "op5_repeated_strings": REPEATED_STRINGS_SQL, "op10_bm25_search": BM25_SQL}
+    return {"op2_near_duplicates": NEAR_DUPLICATES_SQL, "op5_repeated_strings": REPEATED_STRINGS_SQL, "op10_bm25_search": BM25_SQL, "op12_conversation_repair": CONVERSATION_REPAIR_SQL}
