@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, html_text, language, mixing, near_dups, neighbours, packing, repair, repeats, sharding, token_store
+from . import bm25, divergence, html_text, language, mixing, near_dups, neighbours, packing, repair, repeats, sharding, token_store
 from .common import table
 
 
@@ -58,12 +58,16 @@ def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(spark, docs, docs.where("doc_id % 20 = 0"), k=10).withColumn("score", F.round("score", 6))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(spark, table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_source_mixing, op4_best_fit_packing, op5_repeated_strings, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_source_mixing, op4_best_fit_packing, op5_repeated_strings, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search, op11_source_divergence, op12_conversation_repair)}
 
 
 #: Words of whole texts, A-Z in lower case.
@@ -103,6 +107,21 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM placed WHERE rank <= 10"""
 
 
+SOURCE_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+t AS (SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) + 2 * count(*) AS whole FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, coalesce(x.n, 0)::HUGEINT AS n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM t GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+gw AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS (SELECT c.lang, c.source, c.term, c.n, 1 + 1000000000::HUGEINT * (c.n + 2) // (gw.n + 2 * v.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 2) // v.whole AS q FROM c JOIN gw ON gw.lang = c.lang AND gw.source = c.source JOIN v ON v.lang = c.lang JOIN kept k ON k.lang = c.lang AND k.term = c.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM placed WHERE part = 'pair' OR rank <= 10"""
+
 #: The cheapest edits forwards, row by row, with the least of equally cheap audits.
 CONVERSATION_REPAIR_SQL = r"""
 WITH RECURSIVE source AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
@@ -130,4 +149,4 @@ FROM (SELECT DISTINCT c, conv_id FROM source) s LEFT JOIN n ON n.c = s.c LEFT JO
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL says the same over whole tables; the other queries are tested against brute force."""
-    return {"op2_near_duplicates": NEAR_DUPLICATES_SQL, "op5_repeated_strings": REPEATED_STRINGS_SQL, "op10_bm25_search": BM25_SQL, "op12_conversation_repair": CONVERSATION_REPAIR_SQL}
+    return {"op2_near_duplicates": NEAR_DUPLICATES_SQL, "op5_repeated_strings": REPEATED_STRINGS_SQL, "op10_bm25_search": BM25_SQL, "op11_source_divergence": SOURCE_DIVERGENCE_SQL, "op12_conversation_repair": CONVERSATION_REPAIR_SQL}
