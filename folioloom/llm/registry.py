@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, divergence, html_text, language, mixing, near_dups, neighbours, packing, repair, repeats, sharding, token_store
+from . import bm25, divergence, html_text, language, mixing, near_dups, neighbours, packing, personal, repair, repeats, sharding, token_store
 from .common import table
 
 
@@ -66,8 +66,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(spark, table(spark, sf_dir, "conversations"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_source_mixing, op4_best_fit_packing, op5_repeated_strings, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search, op11_source_divergence, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_source_mixing, op4_best_fit_packing, op5_repeated_strings, op6_token_store, op7_html_text, op8_language_id, op9_sharding, op10_bm25_search, op11_source_divergence, op12_conversation_repair, op13_personal_data)}
 
 
 #: Words of whole texts, A-Z in lower case.
