@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +24,12 @@ from folioloom.operators import pages as P
 from folioloom.operators import raster as R
 from folioloom.sinks import books
 from folioloom.sinks import images as out
-from folioloom.sources import entries
+from folioloom.sources import archives, entries
 from folioloom.sources import images as source
 
+# What a widespread converter puts into names of pages and of books that it writes.
+CONVERTED, CONVERTED_BOOK = "-kcc", "_kcc"
+
 # Codes that an issue may have, by stage.
 ISSUES = {
     "configuration": ["invalid_arguments", "unknown_profile", "nested_toc_unsupported_format", "invalid_resolution"],
@@ -87,22 +91,36 @@ def list_profiles(spark: SparkSession) -> DataFrame:
     return profiles.dataframe(spark).orderBy("decl_ord")
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of an archive, a folder of archives or a folder of pages, on any file system that Spark reads."""
-    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cbz,zip,CBZ,ZIP}").load(path)
-    if not archives.select("path").isEmpty():
-        return entries.zip_entries(spark, path)
-    rows = entries.folder_entries(spark, path)
-    number = F.row_number().over(Window.partitionBy("book_id").orderBy("key")) - 1
-    return rows.select("book_id", "rel_path", number.cast("long").alias("ord"), "length", "content", "issue")
+def scan(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+    """Entries (`archives.ENTRIES`) of an archive of any name, a folder of pages, or a folder of archives and any pages beside them.
+
+    Paths that Python workers can read are read by ranges. On file systems that only Spark knows, archives are read whole
+    (2 GiB at most) and by their endings. content: False leaves pages out and keeps their sizes.
+    """
+    if archives.readable(path):
+        return archives.books(spark, path, content)
+    zipped = entries.zip_entries(spark, path)
+    loose = entries.folder_entries(spark, path)
+    # numbered by name alone, so that no contents pass one task
+    number = (F.row_number().over(Window.partitionBy("book_id").orderBy("key")) - 1).cast("long")
+    placed = loose.select("book_id", "rel_path", number.alias("ord"))
+    loose = loose.drop("key").join(placed, ["book_id", "rel_path"]).where(~F.startswith("rel_path", F.lit(f"{archives.COVERS}/")))
+    rows = zipped.unionByName(loose.select(zipped.columns))
+
+    @F.pandas_udf("width int, height int")
+    def size(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None if c is None else source.dimensions(bytes(c))) or (None, None) for c in content], columns=["width", "height"]).astype("Int32")
+
+    firsts = rows.where(F.col("content").isNotNull() & (F.col("rel_path") != entries.INFO)).groupBy("book_id").agg(F.min("ord").alias("_first"))
+    rows = rows.join(firsts, "book_id", "left").withColumn("_size", size("content"))
+    return rows.select("book_id", "rel_path", "ord", "length", F.coalesce(F.col("ord") == F.col("_first"), F.lit(False)).alias("is_first"), "_size.*", F.when(F.lit(content) | (F.col("rel_path") == entries.INFO), F.col("content")).alias("content"), "issue")
 
 
 def page_rows(scanned: DataFrame) -> DataFrame:
-    """Pages of scanned entries: book_id, chapter_path, page_ord, is_first, source_path, content."""
-    kept = scanned.where(F.col("rel_path").isNotNull() & F.col("content").isNotNull() & (F.col("rel_path") != entries.INFO))
+    """Pages of scanned entries: book_id, chapter_path, page_ord, is_first, source_path, width, height, content."""
+    kept = scanned.where(F.col("rel_path").isNotNull() & F.col("issue").isNull() & (F.col("rel_path") != entries.INFO))
     directory = F.when(F.contains("rel_path", F.lit("/")), F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)).otherwise("")
-    first = F.min("ord").over(Window.partitionBy("book_id"))
-    return kept.select("book_id", directory.alias("chapter_path"), F.col("ord").alias("page_ord"), (F.col("ord") == first).alias("is_first"), F.col("rel_path").alias("source_path"), "content")
+    return kept.select("book_id", directory.alias("chapter_path"), F.col("ord").alias("page_ord"), "is_first", F.col("rel_path").alias("source_path"), "width", "height", "content")
 
 
 def metadata(scanned: DataFrame) -> DataFrame:
@@ -115,7 +133,7 @@ def metadata(scanned: DataFrame) -> DataFrame:
                 try:
                     found.append((json.dumps(entries.comic_info(entries.text_of(bytes(data)))), None))
                 except ValueError as e:
-                    found.append((None, f"metadata_parse_failed: {e}"))
+                    found.append((None, f"comic_info_unreadable: {e}"))
             yield pd.DataFrame({"book_id": b["book_id"], "info": [f for f, _ in found], "issue": [i for _, i in found], "raw": b["content"]})
 
     return scanned.where((F.col("rel_path") == entries.INFO) & F.col("content").isNotNull()).select("book_id", "content").mapInPandas(run, "book_id string, info string, issue string, raw binary")
@@ -208,19 +226,23 @@ def labels_beside(spark: SparkSession, path: str) -> DataFrame:
 
 
 def own_covers(spark: SparkSession, path: str, book_ids: DataFrame, request: Request) -> DataFrame | None:
-    """book_id and own (the image) of books with a cover of their own; lists are of one folder."""
+    """book_id and own (the image) of books with a cover of their own. Names of one folder are ranked by themselves; images meet their books afterwards."""
     if request.cover:
-        image = spark.read.format("binaryFile").load(request.cover).select(F.col("content").alias("own"))
-        return book_ids.crossJoin(F.broadcast(image))  # one image
+        image = spark.read.format("binaryFile").load(request.cover)
+        size = [r["length"] for r in image.select("length").limit(2).collect()]
+        if len(size) != 1 or size[0] > source.MAX_BYTES:
+            raise ConversionError("cover_read_failed", f"a cover is one image of {source.MAX_BYTES} bytes at most")
+        return book_ids.crossJoin(F.broadcast(image.select(F.col("content").alias("own"))))  # one image of a checked size
     folder = f"{path if os.path.isdir(path) or not path.lower().endswith(('.cbz', '.zip')) else os.path.dirname(path)}/Covers"
     if not exists(spark, folder):
         return None
-    placed = lambda df, name: df.withColumn("name", text.stem(F.col(name))).withColumn("ord", F.row_number().over(Window.orderBy(natural.natural_key(name))).cast("long"))
+    placed = lambda df, name: df.select(name, text.stem(F.col(name)).alias("name"), F.row_number().over(Window.orderBy(natural.natural_key(name))).cast("long").alias("ord"))
     images = spark.read.format("binaryFile").load(folder).where(text.is_page_image(F.col("path")))
-    images = placed(images.select("path", "content"), "path")
-    listed = placed(book_ids.where(~F.contains("book_id", F.lit(f" ({books.NAME}"))), "book_id")
+    contents = images.select("path", F.col("content").alias("own"))
+    images = placed(images.select("path"), "path")
+    listed = placed(book_ids.where(~F.contains("book_id", F.lit(f" ({books.NAME}")) & ~F.contains(F.element_at(F.split("book_id", "/"), -1), F.lit(CONVERTED_BOOK))), "book_id")
     met = B.covers(listed.select("name", "ord"), images.select("name", "ord"))
-    return listed.select("book_id", "name").join(met, F.col("name") == F.col("book")).join(images.select(F.col("name").alias("cover"), F.col("content").alias("own")).dropDuplicates(["cover"]), "cover").select("book_id", "own")
+    return listed.select("book_id", "name").join(met, F.col("name") == F.col("book")).join(images.groupBy(F.col("name").alias("cover")).agg(F.min("path").alias("path")), "cover").join(contents, "path").select("book_id", "own")
 
 
 def paired(labels: tuple[int, ...]) -> tuple[list[int], list[int]]:
@@ -253,32 +275,35 @@ def join_spreads(pages: DataFrame, labels: tuple[int, ...] | DataFrame, right_to
     labels: those of every book, or what `pairs_of` gives for some. A page meets its partner through a shuffle by book and pair.
     """
     book = Window.partitionBy("book_id")
-    placed = pages.withColumn("_p", F.row_number().over(book.orderBy("page_ord")) - 1).withColumn("_n", F.count(F.lit(1)).over(book))
-    of_book = pages.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    names = pages.select("book_id", "page_ord")  # positions are found without contents
+    placed = names.withColumn("_p", F.row_number().over(book.orderBy("page_ord")) - 1).withColumn("_n", F.count(F.lit(1)).over(book))
+    of_book = names.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
     if isinstance(labels, tuple):
         told = [F.array(*map(F.lit, x)).cast("array<int>") for x in paired(labels)]
         placed, of_book = (df.withColumn("_firsts", told[0]).withColumn("_seconds", told[1]) for df in (placed, of_book))
     else:
         named = labels.select("book_id", F.col("firsts").alias("_firsts"), F.col("seconds").alias("_seconds"))
-        placed, of_book = placed.join(named, "book_id", "left"), of_book.join(named, "book_id")
+        placed, of_book = placed.join(named, "book_id"), of_book.join(named, "book_id")
     reason = F.when(F.col("position") + 1 >= F.col("n"), "no_page_after").when(F.array_contains("_seconds", F.col("position")), "part_of_previous_pair")
     skipped = of_book.withColumn("position", F.explode(F.array_union("_firsts", "_seconds"))).select("book_id", "position", reason.alias("reason")).where("reason IS NOT NULL")
     usable = lambda p: F.coalesce(F.array_contains("_firsts", p), F.lit(False)) & (p + 1 < F.col("_n"))
-    pair = placed.withColumn("_pair", F.when(usable(F.col("_p") - 1), F.col("_p") - 1).otherwise(F.col("_p")))
-    own = ["_p", "_n", "_firsts", "_seconds", "_pair"]
+    pair = F.when(usable(F.col("_p") - 1), F.col("_p") - 1).when(usable(F.col("_p")), F.col("_p"))
+    twins = placed.withColumn("_pair", pair).where("_pair IS NOT NULL").select("book_id", "page_ord", "_pair")  # two rows for a label that is used
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page_ord")
-        first = group.iloc[:1].drop(columns=own).copy()
+        group = group.sort_values("page_ord").drop(columns="_pair")
+        first = group.iloc[:1].copy()
         try:
             a, b = (source.decode(bytes(c)).pixels for c in group["content"])
-            first["content"] = [out.png(R.join_pair(a, b, right_to_left))]
+            whole = R.join_pair(a, b, right_to_left)
         except source.ImageError:  # the pages stay apart, and the page operator tells what is wrong with them
-            return group.drop(columns=own)
+            return group
+        first["content"], first["width"], first["height"] = [out.png(whole)], *([n] for n in R.size(whole))
+        first["is_first"] = bool(group["is_first"].any())
         return first
 
-    single = pair.where(~usable(F.col("_pair"))).drop(*own)
-    twos = pair.where(usable(F.col("_pair"))).groupBy("book_id", "_pair").applyInPandas(run, pages.schema)
+    single = pages.join(twins, ["book_id", "page_ord"], "left_anti")
+    twos = pages.join(twins, ["book_id", "page_ord"]).select(*pages.columns, "_pair").groupBy("book_id", "_pair").applyInPandas(run, pages.schema)
     return single.unionByName(twos), skipped
 
 
@@ -289,9 +314,11 @@ class Result:
     books: DataFrame
     issues: DataFrame
     parts: DataFrame
+    scanned: DataFrame
 
     def release(self) -> None:
         self.parts.unpersist()
+        self.scanned.unpersist()
 
 
 #: Rows of a book that are no pages: metadata comes first, then the cover.
@@ -328,8 +355,8 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
     """Finished books as rows, with what went wrong."""
     request = resolve(request)
     o = request.options
-    entries.bounded_batches(spark)
-    scanned = scan(spark, path)
+    # each member is inflated once; what books, covers and issues need is read from here, and made again if an executor is lost
+    scanned = scan(spark, path).persist(StorageLevel.DISK_ONLY)
     found = page_rows(scanned)
     totals = found.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
     skipped = None
@@ -342,7 +369,9 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
         totals = totals.join(pairs.select("book_id", "firsts"), "book_id", "left")
         if not beside.isEmpty():
             found, skipped = join_spreads(found, pairs, o.right_to_left)
-    pages = P.webtoon_pages(found, *o.target) if o.webtoon else spread_pages(found.select("book_id", "chapter_path", "page_ord", "is_first", "content"))
+    pages = P.webtoon_pages(found, *o.target) if o.webtoon else found.select("book_id", "chapter_path", "page_ord", "is_first", "content")
+    if not o.webtoon and not archives.readable(path):  # what is read by ranges is dealt over all tasks as it is read
+        pages = spread_pages(pages)
     done = P.page_outputs(pages, o)
     as_page = lambda df, info, content, error: df.select("book_id", F.coalesce(info, F.lit("")).alias("chapter_path"), F.lit(INFO_ROW).cast("long").alias("page_ord"), F.lit(0).alias("piece_ord"), F.lit("info").alias("role"), F.lit("xml").alias("ext"), F.lit(None).cast("int").alias("width"), F.col("n").cast("int").alias("height"), F.lit(False).alias("black_background"), F.lit(False).alias("source_truncated"), content.alias("content"), error.alias("error"))
     about = as_page(totals.join(metadata(scanned), "book_id", "left"), F.to_json(F.struct("info", "firsts")), F.col("raw"), F.col("issue"))
@@ -386,20 +415,14 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
         issues = issues.unionByName(issue(beside, F.col("issue"), none))
     if skipped is not None:
         issues = issues.unionByName(skipped.select("book_id", F.lit("spread_labels_skipped").alias("code"), F.concat(F.lit("position "), "position", F.lit(": "), "reason").alias("diagnostic"), none.alias("path")))
-    return Result(made, issues, parts)
+    return Result(made, issues, parts, scanned)
 
 
 def measured(pages: DataFrame, request: Request) -> DataFrame:
-    """Of each book: pages, those smaller than the screen, and those whose size is known; headers are read, nothing is decoded."""
+    """Of each book: pages, those smaller than the screen, and those whose size is known from the header."""
     tw, th = request.options.target
-
-    @F.pandas_udf("width int, height int")  # a session is active here
-    def size(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([source.dimensions(bytes(c)) or (None, None) for c in content], columns=["width", "height"]).astype("Int32")
-
-    sized = pages.select("book_id", "chapter_path", size("content").alias("s"))
-    small = F.count_if((F.col("s.width") < tw) & (F.col("s.height") < th))
-    return sized.groupBy("book_id").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("chapter_path").alias("chapters"), small.alias("smaller"), F.count("s.width").alias("measured"))
+    small = F.count_if((F.col("width") < tw) & (F.col("height") < th))
+    return pages.groupBy("book_id").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("chapter_path").alias("chapters"), small.alias("smaller"), F.count("width").alias("measured"))
 
 
 def warns_of_small(request: Request) -> bool:
@@ -408,13 +431,14 @@ def warns_of_small(request: Request) -> bool:
 
 
 def warnings(spark: SparkSession, scanned: DataFrame, request: Request) -> DataFrame:
-    """Issues of whole books: no pages, made by this library already, many pages smaller than the screen."""
-    found = page_rows(scanned)
-    every = scanned.select("book_id").distinct()
+    """Issues of whole books: no pages, converted already (by this library, or by one that marks its pages so), many pages smaller than the screen."""
+    found = page_rows(scanned).drop("content")
+    every = scanned.where(F.col("issue").isNull() | ~F.startswith("issue", F.lit("skipped_non_images:"))).select("book_id").distinct()
     columns = lambda df, code, told: df.select("book_id", F.lit(code).alias("code"), told.cast("string").alias("diagnostic"), F.lit(None).cast("string").alias("path"))
     out_ = columns(every.join(found.select("book_id").distinct(), "book_id", "left_anti"), "no_page_images", F.lit(None))
     own = F.contains(F.lower(F.element_at(F.split("book_id", "/"), -1)), F.lit(f"({books.NAME}"))
-    out_ = out_.unionByName(columns(every.where(own), "source_already_converted", F.lit(None)))
+    marked = found.where(F.contains(text.stem(F.element_at(F.split("source_path", "/"), -1)), F.lit(CONVERTED))).select("book_id")
+    out_ = out_.unionByName(columns(every.where(own).union(marked).distinct(), "source_already_converted", F.lit(None)))
     if warns_of_small(request):
         small = measured(found, request).where("smaller * 4 > measured")
         out_ = out_.unionByName(columns(small, "images_smaller_than_device", F.concat_ws(" of ", "smaller", "measured")))
@@ -442,7 +466,7 @@ def output_name(request: Request) -> Column:
 def dry_run(spark: SparkSession, path: str, request: Request) -> DataFrame:
     """Of each book: pages, chapters, pages smaller than the screen and the name planned. Reads headers, decodes nothing."""
     request = resolve(request)
-    rows = measured(page_rows(scan(spark, path)), request).withColumn("output", output_name(request))
+    rows = measured(page_rows(scan(spark, path, content=False)), request).withColumn("output", output_name(request))
     return rows.withColumn("warn_small", (F.col("smaller") * 4 > F.col("measured")) & F.lit(warns_of_small(request)))
 
 

@@ -156,20 +156,24 @@ OUTPUT = "book_id string, chapter_path string, page_ord long, piece_ord int, rol
 
 
 def page_outputs(pages: DataFrame, options: PageOptions) -> DataFrame:
-    """Rows of OUTPUT for pages (book_id, chapter_path, page_ord, is_first, content); a page that fails is a row with its error.
+    """Rows of OUTPUT for pages (book_id, chapter_path, page_ord, is_first, content); a page that fails is a row with its error. A column `error` tells of pages that failed before.
 
     Narrow: pages stay where they are. Arrow batches should be small, since a page is megabytes
     (spark.sql.execution.arrow.maxRecordsPerBatch of about 8).
     """
     names = [f.split()[0] for f in OUTPUT.split(", ")]
+    failed = "error" in pages.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 at = (row.book_id, row.chapter_path, row.page_ord)
-                data = bytes(row.content)
                 rows = []
                 try:
+                    if failed and row.error is not None:
+                        yield pd.DataFrame([(*at, *[None] * 8, row.error)], columns=names).astype({"piece_ord": "Int64", "width": "Int64", "height": "Int64"})
+                        continue
+                    data = bytes(row.content)
                     if options.no_processing:
                         size = source.dimensions(data)
                         kind = source.sniff(data)
@@ -184,15 +188,22 @@ def page_outputs(pages: DataFrame, options: PageOptions) -> DataFrame:
                     rows.append((*at, None, None, None, None, None, None, None, None, f"page_processing_failed: {e}"))
                 yield pd.DataFrame(rows, columns=names).astype({"piece_ord": "Int64", "width": "Int64", "height": "Int64"})
 
-    return pages.select("book_id", "chapter_path", "page_ord", "is_first", "content").mapInPandas(run, OUTPUT)
+    return pages.select("book_id", "chapter_path", "page_ord", "is_first", "content", *["error"] * failed).mapInPandas(run, OUTPUT)
 
 
 def webtoon_pages(pages: DataFrame, tw: int, th: int) -> DataFrame:
-    """Chapters of strips as pages: book_id, chapter_path, page_ord, is_first, content. One task holds one chapter, which is bounded by a strip's limits."""
+    """Chapters of strips as pages: book_id, chapter_path, page_ord, is_first, content, error. One task holds one chapter, which is bounded by a strip's limits.
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        strips = [source.decode(bytes(c)).pixels for c in group.sort_values("page_ord")["content"]]
-        cut = [out.png(R.to_rgb(p)) for p in R.split_strip(R.merge_strip(strips), tw, th)]
-        return pd.DataFrame({"book_id": key[0], "chapter_path": key[1], "page_ord": range(len(cut)), "is_first": False, "content": cut})
+    A chapter that can't be read or cut is one row with its error, and the others go on.
+    """
 
-    return pages.groupBy("book_id", "chapter_path").applyInPandas(run, "book_id string, chapter_path string, page_ord long, is_first boolean, content binary")
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        cut, error = [], None
+        try:
+            strips = [source.decode(bytes(c)).pixels for c in group.sort_values("page_ord")["content"]]
+            cut = [out.png(R.to_rgb(p)) for p in R.split_strip(R.merge_strip(strips), tw, th)]
+        except ValueError as e:
+            error = f"webtoon_split_failed: {key[1] or 'the book'}: {e}"
+        return pd.DataFrame({"book_id": key[0], "chapter_path": key[1], "page_ord": range(len(cut) + (error is not None)), "is_first": False, "content": [*cut, *[None] * (error is not None)], "error": error})
+
+    return pages.groupBy("book_id", "chapter_path").applyInPandas(run, "book_id string, chapter_path string, page_ord long, is_first boolean, content binary, error string")

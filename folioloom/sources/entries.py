@@ -23,8 +23,6 @@ from folioloom.functions import natural, text
 from .images import MAX_BYTES
 
 INFO = "ComicInfo.xml"
-#: Bytes of a batch for a Python worker.
-BATCH_BYTES = 64 << 20
 SCHEMA = "book_id string, rel_path string, ord long, length long, content binary, issue string"
 
 
@@ -101,14 +99,8 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return out.astype({"ord": "Int64", "length": "Int64"})
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Archives and pages are megabytes each: batches for Python workers end at BATCH_BYTES, whatever their rows. Holds for the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def zip_entries(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
     """Entries of the archives (.cbz, .zip) at or below a path; archives are dealt over partitions. every: all members, in natural order."""
-    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cbz,zip,CBZ,ZIP}").load(path)
     return files.select("path", "content").mapInPandas(_expand(every), SCHEMA)
 
