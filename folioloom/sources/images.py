@@ -1,4 +1,4 @@
-"""Image headers and decoding by content: PNG (all forms), BMP, GIF and sequential JPEG in NumPy; WebP by header.
+"""Image headers and decoding by content: PNG (all forms), BMP, GIF, JPEG and lossless WebP in NumPy; lossy WebP by header.
 
 A PNG or GIF that ends early keeps what was decoded and is marked; the rest has the format's first pixel. Files
 of any JPEG form can be read by Spark's own image source (`jpeg_rasters`), which decodes in the JVM.
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg
+from . import jpeg, webp
 
 # Fixed values.
 MAX_BYTES, MAX_PIXELS = 268_435_456, 1_431_655_764
@@ -286,9 +286,13 @@ def _jpeg(data: bytes) -> Decoded:
     return Decoded(a, False, a.ndim == 2)
 
 
+def _webp(data: bytes) -> Decoded:
+    return Decoded(webp.decode(data), False, False)
+
+
 def decode(data: bytes) -> Decoded:
     kind = sniff(data)
-    reader = {"png": _png, "bmp": _bmp, "gif": _gif, "jpg": _jpeg}.get(kind or "")
+    reader = {"png": _png, "bmp": _bmp, "gif": _gif, "jpg": _jpeg, "webp": _webp}.get(kind or "")
     if reader is None:
         raise ImageError(f"unsupported image: {kind or 'unknown'}")
     try:
