@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioloom import api
 from folioloom.operators.pages import PageOptions
+from folioloom.sinks import shelf
 
 PROTOCOL = 1
 # Options by their names, and the fields that they set.
@@ -41,7 +42,7 @@ def _names(option: str) -> list[str]:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="folioloom", description=__doc__.split("\n", 1)[0])
     p.add_argument("input", nargs="?")
-    p.add_argument("-o", "--output", help="folder for the books; by default the folder of the input")
+    p.add_argument("-o", "--output", help="folder for the books, or a file for the only one; by default the folder of the input")
     p.add_argument("--spreads", help='a file of labelled pages: {"spreads": [12, 40]}')
     for name in ("--list-profiles", "--json-events", "--protocol-version", "--nokepub"):
         p.add_argument(name, action="store_true")
@@ -119,17 +120,33 @@ def run(spark: SparkSession, args: argparse.Namespace, out: Output) -> int:
         request = api.resolve(request_of(args))
         if not api.exists(spark, args.input):
             raise api.ConversionError("input_not_found", f"there is no {args.input}")
+        folder, name = api.destination(args.input, args.output)
+        out.event("stage", stage="inspect", state="started")
+        plan = _rows(api.dry_run(spark, args.input, request, args.output or folder))
+        if name is not None and len(plan) > 1:
+            raise api.ConversionError("output_plan_failed", f"{len(plan)} books can't be one file {name}")
+        for row in plan:
+            if row["code"]:
+                out.warn(row["code"], f"{row['output']} is written instead", book=row["book_id"])
         if args.dry_run:
-            for row in _rows(api.dry_run(spark, args.input, request)):
-                out.event("result", dry_run=True, written=False, format=request.options.output, profile=request.options.profile, **row)
+            for row in plan:
+                told = {k: v for k, v in row.items() if k not in ("code", "output")}
+                out.event("result", dry_run=True, written=False, format=request.options.output, profile=request.options.profile, output_path=row["output"], **told)
                 if not out.as_json:
                     print(f"{row['book_id']} -> {row['output']}: {row['pages']} pages in {row['chapters']} chapters")
             return 0
-        folder = args.output or (args.input if os.path.isdir(args.input) else os.path.dirname(os.path.abspath(args.input)))
-        out.event("stage", stage="process", state="started")
-        result = api.convert(spark, args.input, request)
-        failed = False
-        for row in _rows(api.written(result, folder, request)):
+        try:
+            stage = shelf.open_stage(folder)  # before page work
+        except shelf.PlanError as e:
+            raise api.ConversionError(e.code, str(e)) from e
+        try:
+            out.event("stage", stage="process", state="started")
+            result = api.convert(spark, args.input, request)
+            failed = False
+            done = _rows(api.written(result, folder, request, name, stage))
+        finally:
+            shelf.close_stage(stage)
+        for row in done:
             if row["error"]:
                 failed = bool(out.fail(row["error"].split(":")[0], f"{row['book_id']}: {row['error']}"))
             else:

@@ -22,7 +22,7 @@ from folioloom.functions import natural, text
 from folioloom.operators import books as B
 from folioloom.operators import pages as P
 from folioloom.operators import raster as R
-from folioloom.sinks import books
+from folioloom.sinks import books, shelf
 from folioloom.sinks import images as out
 from folioloom.sources import archives, entries
 from folioloom.sources import images as source
@@ -463,36 +463,46 @@ def output_name(request: Request) -> Column:
     return F.concat(F.regexp_replace(text.cut_bytes(base, room), r"[. ]+$", ""), F.lit(extension(request)))
 
 
-def dry_run(spark: SparkSession, path: str, request: Request) -> DataFrame:
-    """Of each book: pages, chapters, pages smaller than the screen and the name planned. Reads headers, decodes nothing."""
+def destination(path: str, output: str | None) -> tuple[str, str | None]:
+    """The folder for the books and, where one file was asked for, its name; by default the folder of the input. Raises before anything is written."""
+    if output is None:
+        output = path if os.path.isdir(path) else os.path.dirname(archives.named(path).removeprefix("file:"))
+    try:
+        return shelf.check(output)
+    except shelf.PlanError as e:
+        raise ConversionError(e.code, str(e)) from e
+
+
+def planned(book_ids: DataFrame, folder: str, request: Request, name: str | None = None) -> DataFrame:
+    """book_id, name, turn, output and code: where each book goes, and whether its name is taken (output_exists), by the input itself (output_collision)."""
+    names = book_ids.select("book_id", output_name(request).alias("name") if name is None else F.lit(name).alias("name"))
+    rows = shelf.planned(names, shelf.taken(book_ids.sparkSession, folder))
+    own = F.concat(F.lit(archives.named(folder) + "/"), "name") == F.col("book_id")
+    return rows.select("book_id", "name", "turn", F.concat(F.lit(folder.rstrip("/") + "/"), "output").alias("output"), F.when(own, "output_collision").when(F.col("occupied"), "output_exists").alias("code"))
+
+
+def dry_run(spark: SparkSession, path: str, request: Request, output: str | None = None) -> DataFrame:
+    """Of each book: pages, chapters, pages smaller than the screen and the name planned (with `output`: the path, and a code if its own name is taken). Reads headers, decodes and writes nothing."""
     request = resolve(request)
-    rows = measured(page_rows(scan(spark, path, content=False)), request).withColumn("output", output_name(request))
-    return rows.withColumn("warn_small", (F.col("smaller") * 4 > F.col("measured")) & F.lit(warns_of_small(request)))
+    place = None if output is None else destination(path, output)
+    rows = measured(page_rows(scan(spark, path, content=False)), request).withColumn("warn_small", (F.col("smaller") * 4 > F.col("measured")) & F.lit(warns_of_small(request)))
+    if place is None:
+        return rows.withColumn("output", output_name(request))
+    return rows.join(planned(rows.select("book_id"), place[0], request, place[1]).select("book_id", "output", "code"), "book_id")
 
 
-def written(result: Result, folder: str, request: Request) -> DataFrame:
-    """Writes the books from their tasks to a folder that all executors share; book_id, path, bytes, pages, error of each.
+def written(result: Result, folder: str, request: Request, name: str | None = None, stage: str | None = None) -> DataFrame:
+    """Publishes the books from their tasks, through a stage in the folder; book_id, path, bytes, pages, error of each.
 
-    Nothing is overwritten. Books of one name are told apart by their order, so a task that runs again finds its file.
+    Nothing is overwritten. Books of one name are told apart by their order, so a job that runs again finds its files.
+    name: that of the only book; stage: one opened before page work.
     """
     same = Window.partitionBy(F.lower("name")).orderBy("book_id")
-    names = result.books.select("book_id").withColumn("name", output_name(request)).withColumn("turn", (F.row_number().over(same) - 1).cast("int"))
-    os.makedirs(folder, exist_ok=True)
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                path, error = None, r.error
-                if error is None:
-                    try:
-                        path = books.publish(os.path.join(folder, r.name), bytes(r.content), int(r.turn))
-                    except OSError as e:
-                        error = f"output_write_failed: {e}"
-                rows.append((r.book_id, path, r.bytes, r.pages, error))
-            yield pd.DataFrame(rows, columns=["book_id", "path", "bytes", "pages", "error"])
-
-    return result.books.join(names, "book_id").mapInPandas(run, "book_id string, path string, bytes long, pages int, error string")
+    names = result.books.select("book_id").withColumn("name", output_name(request) if name is None else F.lit(name)).withColumn("turn", (F.row_number().over(same) - 1).cast("int"))
+    try:
+        return shelf.write(result.books.join(names, "book_id"), folder, stage)
+    except shelf.PlanError as e:
+        raise ConversionError(e.code, str(e)) from e
 
 
 def publish(result: Result, folder: str, request: Request) -> list[dict]:

@@ -313,30 +313,3 @@ def alternate(path: str, n: int) -> str:
     """The n-th name for a file whose name is taken: ` (folioloom)`, ` (folioloom 2)`, and so on; `.kepub.epub` stays whole."""
     stem, ext = (path[: -len(".kepub.epub")], ".kepub.epub") if path.endswith(".kepub.epub") else os.path.splitext(path)
     return path if n == 0 else f"{stem} ({NAME}{'' if n == 1 else f' {n}'}){ext}"
-
-
-def publish(path: str, data: bytes, turn: int = 0) -> str:
-    """Writes a file whole or not at all, and never over another; names are tried from the one of this turn on.
-
-    A file of this turn's name that holds just these bytes is this book, written by an earlier attempt.
-    """
-    temp = os.path.join(os.path.dirname(path) or ".", f".{uuid.uuid4().hex}")
-    with open(temp, "wb") as f:
-        f.write(data)
-        f.flush()
-        os.fsync(f.fileno())
-    try:
-        n = turn
-        while True:
-            final = alternate(path, n)
-            try:
-                os.link(temp, final)  # fails if the name is taken
-                return final
-            except FileExistsError:
-                if n == turn and os.path.isfile(final) and os.path.getsize(final) == len(data):
-                    with open(final, "rb") as f:
-                        if f.read() == data:
-                            return final
-                n += 1
-    finally:
-        os.unlink(temp)

@@ -1,7 +1,6 @@
 """Scans, natural order, metadata and books as files."""
 
 import io
-import os
 import random
 import xml.etree.ElementTree as ET
 import zipfile
@@ -131,13 +130,6 @@ def test_pdf(book):
         assert data[int(line[:10]) :].split(b" ", 1)[1].startswith(b"0 obj")
 
 
-def test_publish_never_overwrites(tmp_path):
-    path = str(tmp_path / "b.kepub.epub")
-    made = [books.publish(path, bytes([i])) for i in range(3)]
-    assert [os.path.basename(p) for p in made] == ["b.kepub.epub", "b (folioloom).kepub.epub", "b (folioloom 2).kepub.epub"]
-    assert [open(p, "rb").read() for p in made] == [b"\0", b"\1", b"\2"] and len(os.listdir(tmp_path)) == 3
-
-
 def test_closest_profile():
     assert profiles.closest("kv") == "KV" and profiles.closest("K12") == "K1" and profiles.closest("something else") is None
 
