@@ -73,11 +73,15 @@ def cutoff_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("image").agg(F.min(F.when(F.col("up") > F.col("cut"), F.col("v"))).alias("low"), F.max(F.when(F.col("down") > F.col("cut"), F.col("v"))).alias("high"))
 
 
-@query("SELECT g, v::BIGINT AS v, trunc(255 * pow(v / 255.0::DOUBLE, g::DOUBLE))::BIGINT AS mapped FROM (VALUES ('0.5'), ('1.8'), ('2.2')) AS t(g) CROSS JOIN (SELECT unnest(range(256)) AS v)")
+_EXPONENTS = ("0.5", "1.8", "2.2")
+
+
+@query(f"SELECT vec_id % 16 AS image, g, v, count(*) AS n, trunc(255 * pow(v / 255.0::DOUBLE, g::DOUBLE))::BIGINT AS mapped FROM (SELECT vec_id, v, ['0.5', '1.8', '2.2'][vec_id % 3 + 1] AS g FROM {PIX_SQL}) GROUP BY ALL")
 def gamma_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gamma tables from the decimal text of the exponent."""
-    rows = spark.range(256).select(F.col("id").alias("v"), F.explode(F.array(*map(F.lit, ("0.5", "1.8", "2.2")))).alias("g"))
-    return rows.select("g", "v", F.floor(255 * F.pow(F.col("v") / 255.0, F.col("g").cast("double"))).cast("long").alias("mapped"))
+    """Levels of 16 images by gamma tables, of which the exponent is a decimal text; every row of pixels has one of three."""
+    g = F.element_at(F.array(*map(F.lit, _EXPONENTS)), (F.col("vec_id") % 3 + 1).cast("int"))
+    counted = pixels(spark, sf_dir).groupBy((F.col("vec_id") % 16).alias("image"), g.alias("g"), "v").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("mapped", F.floor(255 * F.pow(F.col("v") / 255.0, F.col("g").cast("double"))).cast("long"))
 
 
 @query(f"SELECT vec_id, count(*) FILTER (v <= 240 - 64 * 1.0) AS foreground, count(*) AS total FROM {PIX_SQL} GROUP BY vec_id")

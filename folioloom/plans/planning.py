@@ -63,22 +63,29 @@ def page_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select("p_brand", "p_partkey", "code", long(F.col("piece"), "piece"), "role", "resize", long(pw, "piece_w"), long(ph, "piece_h"), long(out["width"], "out_w"), long(out["height"], "out_h"), long(number, "out_page"))
 
 
+#: What each part asks for: a device by its place in the list, a format, and at times a width or a height of its own.
+_OWN = ("CASE p_size % 6 WHEN 1 THEN 900 + p_size WHEN 2 THEN 0 WHEN 5 THEN 700 END", "CASE p_size % 6 WHEN 3 THEN 1000 + p_size WHEN 5 THEN 800 END")
+
+
 @query(f"""
-WITH f AS (SELECT *, {FAMILY_SQL} AS family FROM {profiles.sql_values()}),
-asked AS (SELECT * FROM (VALUES ('auto', NULL, NULL), ('epub', NULL, NULL), ('cbz', NULL, NULL), ('pdf', 900, NULL), ('epub', 0, NULL), ('cbz', NULL, 1000)) AS a(fmt, ow, oh)),
-r AS (SELECT f.*, ow, oh, CASE WHEN fmt <> 'auto' THEN fmt WHEN family = 'Kindle' THEN 'cbz' WHEN family = 'Remarkable' THEN 'pdf' ELSE 'epub' END AS format, fmt, coalesce(ow, 0) <> 0 OR coalesce(oh, 0) <> 0 AS custom FROM f CROSS JOIN asked)
-SELECT code, family, fmt AS asked, format, custom, coalesce(ow, -1)::BIGINT AS own_w, coalesce(oh, -1)::BIGINT AS own_h,
+WITH d AS (SELECT *, count(*) OVER () AS n, {FAMILY_SQL} AS family FROM {profiles.sql_values()}),
+f AS (SELECT p_partkey, d.*, ['auto', 'epub', 'cbz', 'pdf'][p_partkey // 48 % 4 + 1] AS fmt, {_OWN[0]} AS ow, {_OWN[1]} AS oh FROM part JOIN d ON decl_ord = p_partkey % n),
+r AS (SELECT *, CASE WHEN fmt <> 'auto' THEN fmt WHEN family = 'Kindle' THEN 'cbz' WHEN family = 'Remarkable' THEN 'pdf' ELSE 'epub' END AS format, coalesce(ow, 0) <> 0 OR coalesce(oh, 0) <> 0 AS custom FROM f)
+SELECT p_partkey, code, family, fmt AS asked, format, custom, coalesce(ow, -1)::BIGINT AS own_w, coalesce(oh, -1)::BIGINT AS own_h,
   CASE WHEN ow IS NULL AND oh IS NULL AND starts_with(code, 'KS') AND format = 'epub' THEN least(width, 1920) ELSE coalesce(ow, width) END::BIGINT AS width,
   CASE WHEN ow IS NULL AND oh IS NULL AND code = 'KDX' AND format = 'cbz' THEN 1200 ELSE coalesce(oh, height) END::BIGINT AS height,
   CASE WHEN custom THEN 16 ELSE gray_levels END::BIGINT AS levels, CASE WHEN NOT custom AND (starts_with(code, 'KS') OR code = 'KCS') THEN 90 ELSE 85 END::BIGINT AS quality FROM r""")
 def device_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Screen, gray levels and quality of every device under several formats and overrides."""
-    asked = spark.createDataFrame([("auto", None, None), ("epub", None, None), ("cbz", None, None), ("pdf", 900, None), ("epub", 0, None), ("cbz", None, 1000)], "asked string, ow int, oh int")
+    """Screen, gray levels and quality of the device, format and overrides that each part asks for."""
+    known = profiles.dataframe(spark)
+    asked = F.element_at(F.array(*map(F.lit, ("auto", "epub", "cbz", "pdf"))), F.expr("cast(p_partkey div 48 % 4 + 1 AS int)"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(profiles.PROFILES)).alias("_place"), asked.alias("asked"), F.expr(_OWN[0]).cast("int").alias("ow"), F.expr(_OWN[1]).cast("int").alias("oh"))
     code, ow, oh = F.col("code"), F.col("ow"), F.col("oh")
-    rows = profiles.dataframe(spark).join(F.broadcast(asked)).withColumn("format", F.when(F.col("asked") == "auto", G.automatic_format(code, F.lit(False))).otherwise(F.col("asked")))
+    rows = parts.join(F.broadcast(known), F.col("_place") == F.col("decl_ord"))  # a row for each device of a fixed list
+    rows = rows.withColumn("format", F.when(F.col("asked") == "auto", G.automatic_format(code, F.lit(False))).otherwise(F.col("asked")))
     custom = G.is_custom(ow, oh)
     size = G.target_size(code, F.col("width"), F.col("height"), F.col("format"), ow, oh)
-    return rows.select("code", G.family(code).alias("family"), "asked", "format", custom.alias("custom"), *[F.coalesce(c, F.lit(-1)).cast("long").alias(n) for c, n in ((ow, "own_w"), (oh, "own_h"))], size["width"].cast("long").alias("width"), size["height"].cast("long").alias("height"), G.gray_levels(F.col("gray_levels"), custom).cast("long").alias("levels"), G.jpeg_quality(code, custom).cast("long").alias("quality"))
+    return rows.select("p_partkey", "code", G.family(code).alias("family"), "asked", "format", custom.alias("custom"), *[F.coalesce(c, F.lit(-1)).cast("long").alias(n) for c, n in ((ow, "own_w"), (oh, "own_h"))], size["width"].cast("long").alias("width"), size["height"].cast("long").alias("height"), G.gray_levels(F.col("gray_levels"), custom).cast("long").alias("levels"), G.jpeg_quality(code, custom).cast("long").alias("quality"))
 
 
 CODES = "concat('K', substring(p_brand, 7), CASE WHEN p_size % 3 = 0 THEN 'S' WHEN p_size % 3 = 1 THEN 'oc' ELSE '' END)"
