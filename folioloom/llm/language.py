@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 N = 4
@@ -126,15 +126,21 @@ def held_out(id_col: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def train(spark: SparkSession, docs: DataFrame, per_language: int = 1000, share: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filter:
-    """Learns from documents that are not held out and have a label. `per_language` bounds the sample, and so what the driver gathers."""
+    """Learns from documents that are not held out and have a label: of each language the `per_language` rows of the least hashes of identifier and text, at most. That bounds what the driver gathers.
+
+    Equal rows have one hash and are interchangeable, so the sample doesn't depend on how rows are dealt.
+    """
     known = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts_of = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts_of:
         return Filter([], np.zeros((1, 1), np.uint64), np.zeros(0))
+    # a share of twice the size first, so that few rows are ranked; of large groups of equal rows the ranks keep each task's first
     chosen = F.lit(False)
     for lang, n in counts_of.items():
-        chosen = chosen | (F.col(lang_col) == lang) & (F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1) <= int(min(1.0, per_language / n) * (2**63 - 1024)))
-    sample = known.where(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, gram long, n long")
+        chosen = chosen | (F.col("lang") == lang) & (F.shiftrightunsigned("_hash", 1) <= int(min(1.0, 2 * per_language / n) * (2**63 - 1024)))
+    rows = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_hash")).where(chosen)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "text"))
+    sample = rows.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     counts: dict[str, Counter] = {lang: Counter() for lang in counts_of}
     totals = dict.fromkeys(counts_of, 0)
     for r in sample.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1 OR gram IS NULL").toArrow().to_batches():
