@@ -32,6 +32,8 @@ from .common import ranked
 
 #: Rows of a block, at least; blocks of a plan, at most (besides one for each source).
 LEAST_ROWS, MOST_BLOCKS = 64, 1 << 20
+#: Sources that a plan can have: beyond, an error is raised, since the driver plans from a row for each.
+MOST_SOURCES = 1 << 20
 
 Source = str | None
 
@@ -84,7 +86,9 @@ def size_weights(counts: dict[Source, int], alpha: float) -> dict[Source, float]
 
 def _planned(spark: SparkSession, docs: DataFrame, weights: dict[Source, float] | None, alpha: float, block_rows: int | None, source_col: str, id_col: str) -> tuple[DataFrame, int] | None:
     """_row (all columns), _source, _id, _block, _slot, _at (place in the block), _first (rows before the block); and the number of rows."""
-    counts = {r[0]: r[1] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each source
+    counts = {r[0]: r[1] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(counts) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: name them by something coarser")
     if not counts:
         return None
     total = sum(counts.values())

@@ -520,3 +520,11 @@ def test_repeated_starts_against_counts():
         owner, start, again = repeats.repeated_starts(strings, 200)
         seen = Counter(s[i : i + 200] for s in strings for i in range(len(s) - 199))
         assert again.tolist() == [seen[strings[o][i : i + 200]] > 1 for o, i in zip(owner.tolist(), start.tolist(), strict=True)]
+
+
+def test_too_many_sources_are_an_error(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    with pytest.raises(ValueError, match="more than 3 sources"):
+        mixing.schedule(spark, docs)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", docs.select("source").distinct().count())
+    assert mixing.schedule(spark, docs).count() == docs.count()

@@ -66,6 +66,8 @@ def test_nearest_with_few_and_no_candidates(spark):
 
 
 @pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>a</p></article><article class='comment'><p>reader says</p></article>", "a"),
+    ("<article id='post-related-work'><p>text</p><article class='user comments'><p>no</p><p>no</p></article><p>more</p></article><article class=sponsored>buy</article>", "text\nmore"),
     ("<html><head><title>t</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><ul><li>Home</li></ul></nav><div class='ad'>Buy</div><article><h1>Head &amp; line</h1><p>One\n two<br>three<p>Four &lt;5&gt; &eacute;<!-- no --><aside>side</aside></article><section class='comments'><p>nice</p></section><footer>&copy; me</footer>", "Head & line\nOne two three\nFour <5> é"),
     ("<article><p>Text<div class=\"cookie-notice\">We use</div><p>More <form>x<input></form></article><p>cut <a hre", "Text\nMore"),
     ("plain text", "plain text"), ("", ""), (None, ""), ("<p>a<!-- open", "a"), ("<article><p>Fish &am", "Fish &am"),
@@ -170,6 +172,21 @@ def test_languages(spark):
     assert language.languages(spark, both.limit(0)).count() == 0
 
 
+def test_sample_is_bounded_whatever_the_identifiers(spark, monkeypatch):
+    """Null identifiers and groups of equal rows, both more than the bound; clashing column names."""
+    rows = [(None, f"un texte numéro {i} de la langue", "fr", "x", 0.5) for i in range(900)] + [(7, "the same text", "en", "x", 0.5)] * 900 + [(i, f"ein text {i}", "de", "x", 0.5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    seen = {}
+    monkeypatch.setattr(language, "build", lambda counts, totals, share: seen.update(totals) or language.Filter(sorted(totals), np.zeros((1, 1), np.uint64), np.zeros(len(totals))))
+    for parts in (1, 7):
+        seen.clear()
+        language.train(spark, docs.repartition(parts), per_language=50)
+        assert (seen["fr"], seen["en"]) == (50, 50) and 20 <= seen["de"] <= 40
+    monkeypatch.undo()
+    got = language.languages(spark, docs)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == len(rows)
+
+
 @pytest.mark.parametrize("n", [5, 130])
 def test_filters_against_whole_sets(n):
     """Shares of n-grams and choices as by the sets themselves, for more languages than a mask has bits too."""
