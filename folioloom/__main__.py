@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioloom import api
 from folioloom.operators.pages import PageOptions
 from folioloom.sinks import shelf
+from folioloom.streaming import progress
 
 PROTOCOL = 1
 # Options by their names, and the fields that they set.
@@ -139,12 +140,21 @@ def run(spark: SparkSession, args: argparse.Namespace, out: Output) -> int:
             stage = shelf.open_stage(folder)  # before page work
         except shelf.PlanError as e:
             raise api.ConversionError(e.code, str(e)) from e
+        query = None
         try:
             out.event("stage", stage="process", state="started")
-            result = api.convert(spark, args.input, request)
+            marks = f"{stage}/marks" if out.as_json else None
+            if marks:
+                shelf.make_folder(marks)
+                query = progress.follow(spark, marks, lambda e: out.event(e["type"].split("_")[0], book=e["book_id"], state=(e["type"].split("_") + [None])[1], chapter=e["chapter"], page=e["page"], code=e["code"], completed=e["done"], total=e["places"]), f"{stage}/followed")
+            result = api.convert(spark, args.input, request, marks)
             failed = False
-            done = _rows(api.written(result, folder, request, name, stage))
+            done = _rows(api.written(result, folder, request, name, stage, keep=True))
+            if query:
+                query.processAllAvailable()
         finally:
+            if query:
+                query.stop()
             shelf.close_stage(stage)
         for row in done:
             if row["error"]:

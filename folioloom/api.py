@@ -351,8 +351,8 @@ def spread_pages(pages: DataFrame) -> DataFrame:
     return pages.repartition(n, "book_id", "page_ord")
 
 
-def convert(spark: SparkSession, path: str, request: Request) -> Result:
-    """Finished books as rows, with what went wrong."""
+def convert(spark: SparkSession, path: str, request: Request, marks: str | None = None) -> Result:
+    """Finished books as rows, with what went wrong. `marks`: a folder for what `streaming.progress` follows."""
     request = resolve(request)
     o = request.options
     # each member is inflated once; what books, covers and issues need is read from here, and made again if an executor is lost
@@ -372,7 +372,11 @@ def convert(spark: SparkSession, path: str, request: Request) -> Result:
     pages = P.webtoon_pages(found, *o.target) if o.webtoon else found.select("book_id", "chapter_path", "page_ord", "is_first", "content")
     if not o.webtoon and not archives.readable(path):  # what is read by ranges is dealt over all tasks as it is read
         pages = spread_pages(pages)
-    done = P.page_outputs(pages, o)
+    if marks is not None:  # places follow from names and numbers alone
+        names, book = pages.select("book_id", "chapter_path", "page_ord"), Window.partitionBy("book_id")
+        first = F.row_number().over(book.orderBy(*["chapter_path"] * o.webtoon, "page_ord")) - 1
+        pages = pages.join(names.select("book_id", "chapter_path", "page_ord", first.cast("long").alias("place"), F.count(F.lit(1)).over(book).alias("places")), ["book_id", "chapter_path", "page_ord"])
+    done = P.page_outputs(pages, o, marks)
     as_page = lambda df, info, content, error: df.select("book_id", F.coalesce(info, F.lit("")).alias("chapter_path"), F.lit(INFO_ROW).cast("long").alias("page_ord"), F.lit(0).alias("piece_ord"), F.lit("info").alias("role"), F.lit("xml").alias("ext"), F.lit(None).cast("int").alias("width"), F.col("n").cast("int").alias("height"), F.lit(False).alias("black_background"), F.lit(False).alias("source_truncated"), content.alias("content"), error.alias("error"))
     about = as_page(totals.join(metadata(scanned), "book_id", "left"), F.to_json(F.struct("info", "firsts")), F.col("raw"), F.col("issue"))
     parts = done.unionByName(about)
@@ -491,16 +495,16 @@ def dry_run(spark: SparkSession, path: str, request: Request, output: str | None
     return rows.join(planned(rows.select("book_id"), place[0], request, place[1]).select("book_id", "output", "code"), "book_id")
 
 
-def written(result: Result, folder: str, request: Request, name: str | None = None, stage: str | None = None) -> DataFrame:
+def written(result: Result, folder: str, request: Request, name: str | None = None, stage: str | None = None, keep: bool = False) -> DataFrame:
     """Publishes the books from their tasks, through a stage in the folder; book_id, path, bytes, pages, error of each.
 
     Nothing is overwritten. Books of one name are told apart by their order, so a job that runs again finds its files.
-    name: that of the only book; stage: one opened before page work.
+    name: that of the only book; stage: one opened before page work, which the caller closes if it is to be kept.
     """
     same = Window.partitionBy(F.lower("name")).orderBy("book_id")
     names = result.books.select("book_id").withColumn("name", output_name(request) if name is None else F.lit(name)).withColumn("turn", (F.row_number().over(same) - 1).cast("int"))
     try:
-        return shelf.write(result.books.join(names, "book_id"), folder, stage)
+        return shelf.write(result.books.join(names, "book_id"), folder, stage, keep)
     except shelf.PlanError as e:
         raise ConversionError(e.code, str(e)) from e
 

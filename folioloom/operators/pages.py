@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from folioloom.profiles import PALETTES, PROFILES
 from folioloom.sinks import images as out
 from folioloom.sources import images as source
+from folioloom.streaming.progress import Marks
 
 from . import raster as R
 
@@ -152,27 +153,34 @@ def process(pixels: np.ndarray, single: bool, first: bool, o: PageOptions) -> li
     return [done[-1], *done[:-1]] if decision == "both" and o.rotate_first else done
 
 
+class Failed(ValueError):
+    """A page that failed before it came here."""
+
+
 OUTPUT = "book_id string, chapter_path string, page_ord long, piece_ord int, role string, ext string, width int, height int, black_background boolean, source_truncated boolean, content binary, error string"
 
 
-def page_outputs(pages: DataFrame, options: PageOptions) -> DataFrame:
+def page_outputs(pages: DataFrame, options: PageOptions, marks: str | None = None) -> DataFrame:
     """Rows of OUTPUT for pages (book_id, chapter_path, page_ord, is_first, content); a page that fails is a row with its error. A column `error` tells of pages that failed before.
 
+    `marks`: a folder to which tasks write what they have finished (columns place and places say where pages stand).
+
     Narrow: pages stay where they are. Arrow batches should be small, since a page is megabytes
     (spark.sql.execution.arrow.maxRecordsPerBatch of about 8).
     """
     names = [f.split()[0] for f in OUTPUT.split(", ")]
     failed = "error" in pages.columns
+    places = ["place", "places"] * (marks is not None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told = Marks(marks) if marks else None
         for batch in batches:
             for row in batch.itertuples(index=False):
                 at = (row.book_id, row.chapter_path, row.page_ord)
                 rows = []
                 try:
                     if failed and row.error is not None:
-                        yield pd.DataFrame([(*at, *[None] * 8, row.error)], columns=names).astype({"piece_ord": "Int64", "width": "Int64", "height": "Int64"})
-                        continue
+                        raise Failed(row.error)
                     data = bytes(row.content)
                     if options.no_processing:
                         size = source.dimensions(data)
@@ -184,11 +192,16 @@ def page_outputs(pages: DataFrame, options: PageOptions) -> DataFrame:
                         page = source.decode(data)
                         for i, (role, dark, a, ext, body) in enumerate(process(page.pixels, page.single, bool(row.is_first), options)):
                             rows.append((*at, i, role, ext, *R.size(a), fill_is_black(options, dark), page.truncated, body, None))
-                except source.ImageError as e:
-                    rows.append((*at, None, None, None, None, None, None, None, None, f"page_processing_failed: {e}"))
+                except (source.ImageError, Failed) as e:
+                    error = str(e) if isinstance(e, Failed) else f"page_processing_failed: {e}"
+                    rows.append((*at, None, None, None, None, None, None, None, None, error))
+                if told:
+                    told.add(row.book_id, int(row.place), int(row.places), row.chapter_path, len(rows), rows[0][-1])
                 yield pd.DataFrame(rows, columns=names).astype({"piece_ord": "Int64", "width": "Int64", "height": "Int64"})
+        if told:
+            told.flush()
 
-    return pages.select("book_id", "chapter_path", "page_ord", "is_first", "content", *["error"] * failed).mapInPandas(run, OUTPUT)
+    return pages.select("book_id", "chapter_path", "page_ord", "is_first", "content", *["error"] * failed, *places).mapInPandas(run, OUTPUT)
 
 
 def webtoon_pages(pages: DataFrame, tw: int, th: int) -> DataFrame:

@@ -224,8 +224,13 @@ class Writer(DataSourceArrowWriter):
         close_stage(self.stage)
 
 
-def write(made: DataFrame, folder: str, stage: str | None = None) -> DataFrame:
-    """Stages and publishes books (rows as of `Shelf`); rows of WRITTEN, one for each book. `stage`: one that was opened before; it is closed here."""
+def make_folder(path: str) -> None:
+    system, inner = located(path)
+    system.create_dir(inner, recursive=True)
+
+
+def write(made: DataFrame, folder: str, stage: str | None = None, keep: bool = False) -> DataFrame:
+    """Stages and publishes books (rows as of `Shelf`); rows of WRITTEN, one for each book. `stage`: one that was opened before; it is closed here unless it is to be kept."""
     spark = made.sparkSession
     spark.dataSource.register(Shelf)
     stage = stage or open_stage(folder)
@@ -235,5 +240,6 @@ def write(made: DataFrame, folder: str, stage: str | None = None) -> DataFrame:
         with system.open_input_stream(f"{inner}/report.json") as f:
             told = [json.loads(line) for line in f.read().decode().splitlines()]
     finally:
-        close_stage(stage)
+        if not keep:
+            close_stage(stage)
     return spark.createDataFrame([(r["book_id"], r["path"], r["bytes"], r["pages"], r["error"]) for r in told], WRITTEN)
