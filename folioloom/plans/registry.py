@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import books, pixels, planes, planning, rasters, relations, texts  # noqa: F401  (they register their queries)
+from . import archives, books, pixels, planes, planning, rasters, relations, texts  # noqa: F401  (they register their queries)
 from .base import FOUND
 
 
