@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom import profiles
-from folioloom.functions import natural, text
+from folioloom.functions import geometry, natural, text
 from folioloom.operators import books as B
 from folioloom.operators import pages as P
 from folioloom.operators import raster as R
@@ -163,6 +163,15 @@ def book_info(info: dict | None, request: Request, fallback: str) -> books.BookI
     return books.BookInfo(title=title, authors=authors, language=request.language, summary=get("summary"), series=get("series"), position=position, right_to_left=o.right_to_left, spread_shift=request.spread_shift, one_page=request.one_page, invert=request.invert_direction, kindle=o.device.family == "Kindle", nested=request.nested_toc, bookmarks=[tuple(m) for m in info.get("bookmarks", ())], size=None if o.custom else o.target)
 
 
+def front(w: int, h: int, right_to_left: bool) -> tuple[int, int]:
+    """The first column and the number of columns of a wrap-around cover's front."""
+    for over, rtl, ltr in geometry.FRONT:
+        if w / h > over:
+            left, right = (rtl if right_to_left else ltr)(float(w))
+            return R.half_even(left), max(1, R.half_even(right) - R.half_even(left))
+    return 0, w
+
+
 def cover(data: bytes, request: Request) -> tuple[bytes, bool]:
     """A cover's JPEG, and whether its front was cut out of a wider image."""
     o = request.options
@@ -171,11 +180,8 @@ def cover(data: bytes, request: Request) -> tuple[bytes, bool]:
     w, h = R.size(a)
     cut = request.smart_cover_crop and w > h
     if cut:
-        r = w / h
-        bands = [(2.0, (1 / 6, 1 / 2 - 0.02), (1 / 2 + 0.02, 5 / 6)), (1.83, (0.19, 0.575), (0.425, 0.81)), (1.7, (0.2, 0.583), (0.417, 0.8)), (1.34, (0.0, 1 / 2 - 0.03), (1 / 2 + 0.03, 1.0)), (1.0, (0.36, 1.0), (0.0, 0.64))]
-        left, right = next((rtl if o.right_to_left else ltr) for over, rtl, ltr in bands if r > over)
-        x0, x1 = R.half_even(w * left), R.half_even(w * right)
-        a = a[:, x0 : x0 + max(1, x1 - x0)]
+        x0, width = front(w, h, o.right_to_left)
+        a = a[:, x0 : x0 + width]
     if request.cover_fill:
         a = R.fit(a, o.target, "lanczos")
     elif size := thumbnail(*R.size(a), *o.target):

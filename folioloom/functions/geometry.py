@@ -157,26 +157,25 @@ def crop_policy(left: Column, top: Column, right: Column, bottom: Column, w: Col
     return F.when(area >= d(minimum), box)
 
 
+# Of covers wider than so many times their height, the columns that show the front, right to left and left to right.
+# They hold for columns as for numbers.
+FRONT = (
+    (2.0, lambda w: (w / 6.0, w / 2.0 - w * 0.02), lambda w: (w / 2.0 + w * 0.02, w * (5.0 / 6.0))),
+    (1.83, lambda w: (w * 0.19, w * 0.575), lambda w: (w * 0.425, w * 0.81)),
+    (1.7, lambda w: (w * 0.2, w * 0.583), lambda w: (w * 0.417, w * 0.8)),
+    (1.34, lambda w: (w * 0.0, w / 2.0 - w * 0.03), lambda w: (w / 2.0 + w * 0.03, w * 1.0)),
+    (1.0, lambda w: (w * 0.36, w * 1.0), lambda w: (w * 0.0, w * 0.64)),
+)
+
+
 def front_cover(w: Column, h: Column, right_to_left: Column) -> Column:
     """struct(left, width): the columns of a wrap-around cover that show its front."""
     wd, r = d(w), d(w) / d(h)
-    two = lambda rtl, ltr: F.when(right_to_left, rtl).otherwise(ltr)
-    left = (
-        F.when(r > 2.0, two(wd / 6.0, wd / 2.0 + wd * 0.02))
-        .when(r > 1.83, two(wd * 0.19, wd * 0.425))
-        .when(r > 1.7, two(wd * 0.2, wd * 0.417))
-        .when(r > 1.34, two(F.lit(0.0), wd / 2.0 + wd * 0.03))
-        .when(r > 1.0, two(wd * 0.36, F.lit(0.0)))
-        .otherwise(F.lit(0.0))
-    )
-    right = (
-        F.when(r > 2.0, two(wd / 2.0 - wd * 0.02, F.lit(5.0 / 6.0) * wd))
-        .when(r > 1.83, two(wd * 0.575, F.lit(0.81) * wd))
-        .when(r > 1.7, two(wd * 0.583, F.lit(0.8) * wd))
-        .when(r > 1.34, two(wd / 2.0 - wd * 0.03, wd))
-        .when(r > 1.0, two(wd, F.lit(0.64) * wd))
-        .otherwise(wd)
-    )
+    left, right = F.lit(0.0), wd
+    for over, rtl, ltr in reversed(FRONT):
+        (a, b), (x, y) = rtl(wd), ltr(wd)
+        left = F.when(r > over, F.when(right_to_left, a).otherwise(x)).otherwise(left)
+        right = F.when(r > over, F.when(right_to_left, b).otherwise(y)).otherwise(right)
     a, b = half_even(left), half_even(right)
     return F.struct(a.cast("int").alias("left"), F.greatest(b - a, F.lit(1)).cast("int").alias("width"))
 

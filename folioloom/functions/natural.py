@@ -90,12 +90,3 @@ def path_key(path: str) -> bytes:
 @F.pandas_udf(BinaryType())
 def natural_key(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: None if p is None else path_key(p))
-
-
-def ascii_key(name):
-    """The key of ASCII names without extensions as a column expression: numbers padded, so it stays in the JVM."""
-    parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    number = lambda p: F.concat(F.lit("\x01"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0"))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(F.concat(p, F.lit("\x01")))), "")
-
-

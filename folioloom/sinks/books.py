@@ -58,7 +58,7 @@ class BookInfo:
 
 # What tells a Kindle that a book is a comic of whole pages, and the style of a page.
 KINDLE = {"book-type": "comic", "zero-gutter": "true", "zero-margin": "true", "ke-border-color": "#FFFFFF", "ke-border-width": "0", "orientation-lock": "none", "region-mag": "true"}
-STYLE = "@page { margin: 0; } body { display: block; margin: 0; padding: 0; } div { line-height: 0; }"
+STYLE = "html, body { margin: 0; padding: 0; height: 100%; } img { display: inline-block; vertical-align: top; }"
 
 
 def escape(text: str) -> str:
@@ -275,15 +275,20 @@ def pdf(pages: list[Page], info: BookInfo) -> bytes:
 
 
 def _jpeg_components(data: bytes) -> int | None:
-    """Number of components of an 8-bit Huffman-coded JPEG, else null."""
+    """Number of components of an 8-bit Huffman-coded JPEG, else null: markers are read up to the first scan, and bytes that only fill are passed over."""
     at = 2
-    while at + 10 < len(data) and data[at] == 0xFF:
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF:
         mark = data[at + 1]
-        if mark in (0xC0, 0xC1, 0xC2):
-            return data[at + 9] if data[at + 4] == 8 else None
-        if 0xC3 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+        if mark == 0xFF:
+            at += 1
+        elif mark == 0x01 or 0xD0 <= mark <= 0xD7:
+            at += 2
+        elif mark in (0xC0, 0xC1, 0xC2):
+            return data[at + 9] if at + 9 < len(data) and data[at + 4] == 8 else None
+        elif mark in (0xD8, 0xD9, 0xDA) or 0xC3 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
             return None
-        at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+        else:
+            at += 2 + struct.unpack_from(">H", data, at + 2)[0]
     return None
 
 

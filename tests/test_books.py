@@ -1,6 +1,7 @@
 """Scans, natural order, metadata and books as files."""
 
 import io
+import os
 import random
 import xml.etree.ElementTree as ET
 import zipfile
@@ -172,3 +173,17 @@ def test_packages_of_kindle_and_inverted_books():
     assert 'content="width=10, height=20"' in xhtml and "<style" in xhtml
     small = books.archive([("a", b"x" * 10_000)], deflate=True)
     assert len(small) < 1000 and zipfile.ZipFile(io.BytesIO(small)).read("a") == b"x" * 10_000
+
+
+def test_components_of_jpeg_files():
+    """Fill bytes and markers without a length are passed over; what does not begin as a JPEG or has begun its scan has none."""
+    for channels, shape in ((1, (20, 30)), (3, (20, 30, 3))):
+        data = images.jpeg(np.zeros(shape, np.uint8), 80)
+        assert books._jpeg_components(data) == channels
+        assert books._jpeg_components(data[:2] + b"\xff\xff\xff\x01\xff\xd0\xff\xff" + data[3:]) == channels
+        assert books._jpeg_components(b"\x00\x00" + data[2:]) is None
+        scan = data.index(b"\xff\xda")
+        frame = next(i for i in range(len(data)) if data[i] == 0xFF and data[i + 1] in (0xC0, 0xC2))
+        length = int.from_bytes(data[frame + 2 : frame + 4], "big") + 2
+        assert books._jpeg_components(data[:frame] + data[frame + length : scan] + data[scan:] + data[frame : frame + length]) is None
+        assert all(books._jpeg_components(data[:n]) in (None, channels) for n in range(0, 700, 7))

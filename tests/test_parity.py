@@ -33,6 +33,7 @@ def test_sizes_and_decisions(sizes):
         assert r.decided == R.decide(r.w, r.h, r.tw, r.th, r.mode)
         assert (r.thumb and tuple(r.thumb)) == api.thumbnail(r.w, r.h, r.tw, r.th)
         assert r.page == R.virtual_page_height(r.w, r.tw, r.th)
+        assert tuple(r.front) == api.front(r.w, r.h, r.rtl)
 
 
 def test_crop_policy(spark):
