@@ -508,7 +508,8 @@ def written(result: Result, folder: str, request: Request, name: str | None = No
     name: that of the only book; stage: one opened before page work, which the caller closes if it is to be kept.
     """
     same = Window.partitionBy(F.lower("name")).orderBy("book_id")
-    names = result.books.select("book_id").withColumn("name", output_name(request) if name is None else F.lit(name)).withColumn("turn", (F.row_number().over(same) - 1).cast("int"))
+    every = result.parts.select("book_id").distinct()  # parts are kept; books would be made twice
+    names = every.withColumn("name", output_name(request) if name is None else F.lit(name)).withColumn("turn", (F.row_number().over(same) - 1).cast("int"))
     try:
         return shelf.write(result.books.join(names, "book_id"), folder, stage, keep)
     except shelf.PlanError as e:
