@@ -10,8 +10,9 @@ then takes the slot planned for its rank among the pieces of its length.
 themselves, in one task, and sequences are numbered window by window, so that any prefix of the sequences has the
 mixture to within the documents of a window. Each window may leave its last sequence part full.
 
-Null or empty texts are the end id alone. Repeated rows are packed each for itself; a null id is kept. An empty table
-gives no rows. Other columns are ignored.
+Null or empty texts are the end id alone. Very long texts are encoded whole and cut into pieces. Repeated rows are packed
+each for itself; a null id is kept. Pieces of one length are alike for the plan: which of them takes which slot follows
+from the ranks alone. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

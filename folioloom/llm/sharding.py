@@ -9,7 +9,7 @@ larger than a shard fills shards one after another.
 
 Rounds work on the counts, a row for each group with at most `shards` of them; ranks come from bucket counts, and
 nothing is gathered by group, so one group may hold any part of the rows. Null texts have size 1 and form one group like any other text; null identifiers
-and repeated rows are placed like other rows. An empty table gives no rows. Other columns are ignored.
+and repeated rows are placed like other rows. Very long texts count by their bytes like others. Of equal gains, a hash of group and shard decides. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

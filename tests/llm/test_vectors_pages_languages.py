@@ -306,6 +306,20 @@ def test_pipeline_runs_as_one(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_on_odd_tables(spark, tmp_path, some):
+    """Nulls in every column, repeated rows, columns named like those of operators; and the same without any row."""
+    import corpus_pipeline as pipeline
+
+    texts = [" ".join(f"wort{i * j % 97}" for j in range(1, 40)) for i in range(1, 9)]
+    rows = [(i if i % 3 else None, t, "de" if i % 2 else None, None if i % 4 == 0 else "s", len(t)) for i, t in enumerate(texts)] + [(50, texts[0], "de", "s", 1)] * 2 + [(51, None, None, None, None), (52, "", "de", "s", 0)]
+    odd = [(*r, "x", 1, 2.0, True) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, component_id int, score double, kept boolean"
+    spark.createDataFrame(odd if some else [], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    found = pipeline.run(spark, str(tmp_path)).collect()
+    assert len(found) == (len({t for t in texts}) if some else 0) and sum(r["doc_id"] is None for r in found) <= 3
+
+
 def test_packed_sequences_follow_the_mixture(spark, monkeypatch):
     """Every prefix of the sequences has each source's share to within a window, whatever order the rows come in."""
     import corpus_pipeline as pipeline
