@@ -1,6 +1,9 @@
 """A corpus from documents: language, near duplicates, repeated strings, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever
+further columns there are and however they are named. A null or empty text has no language and goes in the first stage; null identifiers,
+languages and sources are kept (a null source is one source), and a null identifier comes first where identifiers break
+ties. Of repeated rows near-duplicate removal keeps one. Texts are read whole, however long. An empty table gives an empty result.
 """
 
 from __future__ import annotations
