@@ -176,6 +176,33 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("key", natural.natural_key("name")).withColumn("place", place).drop("key")
 
 
+_PATH = """CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Vol. ' || c_custkey % 13 || '/' END AS folder,
+  CASE c_custkey % 4 WHEN 0 THEN 'p' || c_custkey // 7 WHEN 1 THEN 'P0' || c_custkey // 7 WHEN 2 THEN translate((c_custkey // 7)::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') ELSE 'p' || c_custkey // 7 || '²' END AS page,
+  CASE c_custkey % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.tar.gz' ELSE '.JPG' END AS ending"""
+
+
+def _piece(x: str) -> str:
+    """Key of a piece whose numbers have under 20 digits."""
+    plain = f"translate(lower({x}), '٠١٢٣٤٥٦٧٨٩', '0123456789')"
+    numbers = f"list_aggregate(list_transform(regexp_extract_all({plain}, '²|[0-9]+|[^0-9²]+'), lambda p: CASE WHEN p = '²' THEN chr(1) || chr(1) || lpad('2', 20, '0') WHEN regexp_matches(p, '^[0-9]') THEN chr(1) || chr(1) || lpad(CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END, 20, '0') ELSE p END), 'string_agg', '')"
+    return f"coalesce({numbers}, '') || CASE WHEN regexp_matches({plain}, '[^0-9²]$') THEN chr(1) ELSE '' END"
+
+
+@query(f"""
+WITH n AS (SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, {_PATH} FROM customer),
+k AS (SELECT *, {_piece("folder")} AS f, {_piece("page")} AS s, {_piece("regexp_extract(ending, '^([.][a-zA-Z]+)', 1)")} AS a, {_piece("regexp_extract(ending, '^[.][a-zA-Z]+(.*)$', 1)")} AS b FROM n)
+SELECT c_custkey, c_nationkey, folder || page || ending AS path, row_number() OVER (PARTITION BY c_nationkey ORDER BY folder <> '', f, s, a, b, c_custkey) AS place FROM k""")
+def natural_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in natural order within nations: files before folders, digits of another script, superscripts, one and two extensions."""
+    n, page = F.col("c_custkey"), F.expr("cast(c_custkey div 7 AS string)")
+    folder = F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("Vol. "), (n % 13).cast("string"), F.lit("/")))
+    name = F.when(n % 4 == 0, F.concat(F.lit("p"), page)).when(n % 4 == 1, F.concat(F.lit("P0"), page)).when(n % 4 == 2, F.translate(page, "0123456789", "٠١٢٣٤٥٦٧٨٩")).otherwise(F.concat(F.lit("p"), page, F.lit("²")))
+    ending = F.when(n % 3 == 0, ".png").when(n % 3 == 1, ".tar.gz").otherwise(".JPG")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"), F.concat(folder, name, ending).alias("path"))
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("key", "c_custkey")).cast("long")
+    return rows.withColumn("key", natural.natural_key("path")).withColumn("place", place).drop("key")
+
+
 @query("SELECT s_name AS book, replace(upper(s_name), 'SUPPLIER', 'supplier') AS cover, 'name' AS how FROM supplier WHERE s_suppkey % 5 = 0")
 def covers_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covers that bear a book's name, whatever the case."""
