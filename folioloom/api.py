@@ -321,6 +321,8 @@ class Result:
     issues: DataFrame
     parts: DataFrame
     scanned: DataFrame
+    request: Request  # resolved
+    modified: str
 
     def release(self) -> None:
         self.parts.unpersist()
@@ -350,6 +352,29 @@ def cover_rows(fronts: DataFrame, request: Request) -> DataFrame:
     return fronts.select("book_id", "content", "is_own").mapInPandas(run, P.OUTPUT)
 
 
+def inside(chapter: str) -> str:
+    """A path in a chapter."""
+    return f"{chapter}/p" if chapter else "p"
+
+
+def reading_order(webtoon: bool) -> list[Column]:
+    """Order of a book's pages. Those of a webtoon are numbered in each chapter, and its chapters are in natural order."""
+    path = F.when(F.col("chapter_path") == "", "p").otherwise(F.concat("chapter_path", F.lit("/p")))
+    return [*([natural.natural_key(path)] if webtoon else []), F.col("page_ord"), F.col("chapter_path")]
+
+
+def described(book_id: str, told, cover: bytes | None, request: Request, modified: str) -> books.BookInfo:
+    """What a book's info row and its cover say of it; `told` is that row, or null."""
+    about = {} if told is None else json.loads(told["chapter_path"])
+    info = book_info(json.loads(about["info"]) if about.get("info") else None, request, stem(book_id))
+    total = 0 if told is None else int(told["height"])
+    info.bookmarks = [(position_after(p, about.get("firsts") or [], total), name) for p, name in info.bookmarks]
+    if told is not None and request.keep_comic_info and request.options.output == "cbz" and told["content"] is not None:
+        info.comic_info = bytes(told["content"])
+    info.modified, info.cover = modified, cover
+    return info
+
+
 def spread_pages(pages: DataFrame) -> DataFrame:
     """Pages dealt over all tasks, so one volume keeps all cores busy; a few tasks a core even out what a hash deals unevenly."""
     conf = pages.sparkSession.conf
@@ -380,7 +405,7 @@ def convert(spark: SparkSession, path: str, request: Request, marks: str | None
         pages = spread_pages(pages)
     if marks is not None:  # places follow from names and numbers alone
         names, book = pages.select("book_id", "chapter_path", "page_ord"), Window.partitionBy("book_id")
-        first = F.row_number().over(book.orderBy(*["chapter_path"] * o.webtoon, "page_ord")) - 1
+        first = F.row_number().over(book.orderBy(*reading_order(o.webtoon))) - 1
         pages = pages.join(names.select("book_id", "chapter_path", "page_ord", first.cast("long").alias("place"), F.count(F.lit(1)).over(book).alias("places")), ["book_id", "chapter_path", "page_ord"])
     done = P.page_outputs(pages, o, marks)
     as_page = lambda df, info, content, error: df.select("book_id", F.coalesce(info, F.lit("")).alias("chapter_path"), F.lit(INFO_ROW).cast("long").alias("page_ord"), F.lit(0).alias("piece_ord"), F.lit("info").alias("role"), F.lit("xml").alias("ext"), F.lit(None).cast("int").alias("width"), F.col("n").cast("int").alias("height"), F.lit(False).alias("black_background"), F.lit(False).alias("source_truncated"), content.alias("content"), error.alias("error"))
@@ -397,16 +422,11 @@ def convert(spark: SparkSession, path: str, request: Request, marks: str | None
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         told = group[group["role"] == "info"]
-        about = json.loads(told["chapter_path"].iloc[0]) if len(told) else {}
-        info = book_info(json.loads(about["info"]) if about.get("info") else None, request, stem(key[0]))
-        total = int(told["height"].iloc[0]) if len(told) else 0
-        info.bookmarks = [(position_after(p, about.get("firsts") or [], total), name) for p, name in info.bookmarks]
-        if len(told) and request.keep_comic_info and o.output == "cbz" and told["content"].iloc[0] is not None:
-            info.comic_info = bytes(told["content"].iloc[0])
-        info.modified = now
         front = group[(group["role"] == "cover") & group["error"].isna()]
-        info.cover = bytes(front["content"].iloc[0]) if len(front) else None
-        rows = group[group["error"].isna() & (group["page_ord"] >= 0)].sort_values(["page_ord", "piece_ord"])
+        info = described(key[0], None if told.empty else told.iloc[0], bytes(front["content"].iloc[0]) if len(front) else None, request, now)
+        rows = group[group["error"].isna() & (group["page_ord"] >= 0)]
+        chapter = [natural.path_key(inside(c)) if o.webtoon else b"" for c in rows["chapter_path"]]
+        rows = rows.assign(chapter=chapter).sort_values(["chapter", "page_ord", "piece_ord", "chapter_path"])
         made = [books.Page(r.chapter_path, r.ext, bytes(r.content), r.role, bool(r.black_background), r.piece_ord > 0) for r in rows.itertuples()]
         try:
             data, error = books.BUILDERS[o.output](made, info), None
@@ -425,7 +445,7 @@ def convert(spark: SparkSession, path: str, request: Request, marks: str | None
         issues = issues.unionByName(issue(beside, F.col("issue"), none))
     if skipped is not None:
         issues = issues.unionByName(skipped.select("book_id", F.lit("spread_labels_skipped").alias("code"), F.concat(F.lit("position "), "position", F.lit(": "), "reason").alias("diagnostic"), none.alias("path")))
-    return Result(made, issues, parts, scanned)
+    return Result(made, issues, parts, scanned, request, now)
 
 
 def measured(pages: DataFrame, request: Request) -> DataFrame:
@@ -504,14 +524,20 @@ def dry_run(spark: SparkSession, path: str, request: Request, output: str | None
 def written(result: Result, folder: str, request: Request, name: str | None = None, stage: str | None = None, keep: bool = False) -> DataFrame:
     """Publishes the books from their tasks, through a stage in the folder; book_id, path, bytes, pages, error of each.
 
+    A book is written page by page (`shelf.staged`), so it may be larger than memory.
     Nothing is overwritten. Books of one name are told apart by their order, so a job that runs again finds its files.
     name: that of the only book; stage: one opened before page work, which the caller closes if it is to be kept.
     """
     same = Window.partitionBy(F.lower("name")).orderBy("book_id")
-    every = result.parts.select("book_id").distinct()  # parts are kept; books would be made twice
+    every = result.parts.select("book_id").distinct()
     names = every.withColumn("name", output_name(request) if name is None else F.lit(name)).withColumn("turn", (F.row_number().over(same) - 1).cast("int"))
+    of_result, modified = result.request, result.modified
+    describe = lambda book_id, told, cover: described(book_id, told, cover, of_result, modified)
+    first = F.least("page_ord", F.lit(0))  # the info row, the cover, pages
     try:
-        return shelf.write(result.books.join(names, "book_id"), folder, stage, keep)
+        stage = stage or shelf.open_stage(folder)
+        made = shelf.staged(result.parts, of_result.options.output, stage, describe, [first, *reading_order(of_result.options.webtoon)[:-1], F.col("piece_ord"), F.col("chapter_path")])
+        return shelf.write(made.join(names, "book_id"), folder, stage, keep)
     except shelf.PlanError as e:
         raise ConversionError(e.code, str(e)) from e
 

@@ -11,11 +11,11 @@ import json
 import os
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -151,6 +151,15 @@ def _take(system, staged: str, final: str) -> bool:
     return True
 
 
+def secure(system, path: str) -> None:
+    """A local file is on disk before it gets its name."""
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        with open(path, "rb+") as f:
+            os.fsync(f.fileno())
+
+
 def publish(system, folder: str, staged: str, name: str, turn: int) -> str:
     """The path that a staged file got: the first free name from that of its turn on. A file of that very name with the same bytes is this book, from an earlier attempt."""
     n = turn
@@ -172,7 +181,7 @@ class Staged(WriterCommitMessage):
 
 
 class Shelf(DataSource):
-    """Options: folder, stage. Rows: book_id, name, turn, bytes, pages, content, error."""
+    """Options: folder, stage. Rows: book_id, name, turn, bytes, pages, content (or `staged`: a file of the stage), error."""
 
     @classmethod
     def name(cls) -> str:
@@ -193,14 +202,14 @@ class Writer(DataSourceArrowWriter):
             for i in range(batch.num_rows):
                 get = lambda c, i=i: batch.column(c)[i].as_py()  # noqa: E731, B023
                 staged, error = None, get("error")
-                if error is None:
+                if error is None and "staged" in batch.schema.names:
+                    staged = f"{inner}/{get('staged')}"
+                elif error is None:
                     staged = f"{inner}/{uuid.uuid4().hex}"
                     try:
                         with system.open_output_stream(staged) as f:
                             f.write(batch.column("content")[i].as_buffer())
-                        if os.path.exists(staged):  # a local file: on disk before it gets its name
-                            with open(staged, "rb+") as f:
-                                os.fsync(f.fileno())
+                        secure(system, staged)
                     except (pa.ArrowException, OSError) as e:
                         staged, error = None, f"output_write_failed: {e}"
                 rows.append((get("book_id"), get("name"), get("turn"), staged, get("bytes"), get("pages"), error))
@@ -224,6 +233,96 @@ class Writer(DataSourceArrowWriter):
         close_stage(self.stage)
 
 
+STAGED = "book_id string, staged string, bytes long, pages int, error string"
+
+
+class _Book:
+    """A book that is being written to the stage while its rows pass by: what tells of it, its cover, then its pages."""
+
+    def __init__(self, system, inner: str, book_id: str, kind: type, describe: Callable):
+        self.system, self.inner, self.book_id, self.kind, self.describe = system, inner, book_id, kind, describe
+        self.told, self.cover, self.pages, self.size, self.error = None, None, 0, 0, None
+        self.file, self.staged, self.writer = None, None, None
+
+    def _guarded(self, step: Callable) -> None:
+        if self.error is None:
+            try:
+                step()
+            except ValueError as e:
+                self.error = f"book_build_failed: {e}"
+            except (pa.ArrowException, OSError) as e:
+                self.error = f"output_write_failed: {e}"
+
+    def _begin(self) -> None:
+        if self.writer is None:
+            self.staged = uuid.uuid4().hex
+            self.file = self.system.open_output_stream(f"{self.inner}/{self.staged}")
+            self.writer = self.kind(self.file, self.describe(self.book_id, self.told, self.cover))
+
+    def _add(self, row: dict) -> None:
+        self._begin()
+        self.writer.add(books.Page(row["chapter_path"], row["ext"], row["content"], row["role"], bool(row["black_background"]), row["piece_ord"] > 0))
+
+    def row(self, row: dict) -> None:
+        if row["role"] == "info":
+            self.told = self.told or row
+        elif row["error"] is not None:
+            pass  # a row of the issues
+        elif row["role"] == "cover":
+            self.cover = self.cover or row["content"]
+        elif row["page_ord"] >= 0:
+            self.pages += 1
+            self._guarded(lambda: self._add(row))
+
+    def _end(self) -> None:
+        self._begin()
+        self.size = self.writer.finish()
+        self.file.close()
+        secure(self.system, f"{self.inner}/{self.staged}")
+
+    def finish(self) -> tuple:
+        self._guarded(self._end)
+        self.close()
+        return self.book_id, self.staged if self.error is None else None, self.size if self.error is None else 0, self.pages, self.error
+
+    def close(self) -> None:
+        if self.file is not None and not self.file.closed:
+            self.file.close()
+
+
+def staged(parts: DataFrame, fmt: str, stage: str, describe: Callable, order: list[Column]) -> DataFrame:
+    """Books written to a stage page by page; rows of STAGED, one for each book.
+
+    parts: rows as of pages (`pages.OUTPUT`), with `info` and `cover` rows first in `order`. describe: (book_id, the info row or
+    null, the cover's bytes or null) -> BookInfo. The only shuffle is by book; a task sorts its books, with spills, and holds one batch of
+    rows and what a table of contents tells, so a book may be larger than memory, a row or 2 GiB. A task that runs again writes other
+    files; those of lost attempts go with the stage. A book of which no page is left has an error. Null or empty bytes of a page are what its format makes of them.
+    """
+    names = ["book_id", "chapter_path", "page_ord", "piece_ord", "role", "ext", "height", "black_background", "content", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = located(stage)
+        done = lambda told: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(told, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["book_id", "staged", "bytes", "pages", "error"])
+        book = None
+        try:
+            for batch in batches:
+                columns = [batch.column(n) for n in names]
+                for i in range(batch.num_rows):
+                    row = {n: c[i].as_py() for n, c in zip(names, columns, strict=True)}
+                    if book is not None and book.book_id != row["book_id"]:
+                        yield done(book.finish())
+                        book = None
+                    book = book or _Book(system, inner, row["book_id"], books.WRITERS[fmt], describe)
+                    book.row(row)
+            if book is not None:
+                yield done(book.finish())
+        finally:
+            if book is not None:
+                book.close()
+
+    return parts.repartition("book_id").sortWithinPartitions("book_id", *order).select(*names).mapInArrow(run, STAGED)
+
+
 def make_folder(path: str) -> None:
     system, inner = located(path)
     system.create_dir(inner, recursive=True)
@@ -235,7 +334,7 @@ def write(made: DataFrame, folder: str, stage: str | None = None, keep: bool = F
     spark.dataSource.register(Shelf)
     stage = stage or open_stage(folder)
     try:
-        made.select("book_id", "name", F.col("turn").cast("int").alias("turn"), F.col("bytes").cast("long").alias("bytes"), F.col("pages").cast("int").alias("pages"), "content", "error").write.format(NAME).mode("append").option("folder", folder).option("stage", stage).save()
+        made.select("book_id", "name", F.col("turn").cast("int").alias("turn"), F.col("bytes").cast("long").alias("bytes"), F.col("pages").cast("int").alias("pages"), "staged" if "staged" in made.columns else "content", "error").write.format(NAME).mode("append").option("folder", folder).option("stage", stage).save()
         system, inner = located(stage)
         with system.open_input_stream(f"{inner}/report.json") as f:
             told = [json.loads(line) for line in f.read().decode().splitlines()]
