@@ -1,14 +1,19 @@
-"""Main text of web pages: marked-up articles, and nearest-URL page differencing where a page marks none.
-
-A page is cut into lines (blocks). Blocks of menus, headers, footers, asides, forms, notices, adverts and reader
-comments go in any case, article elements of readers and advertisers too. That a class or an identifier has a part such as menu, share or
-related is taken as such a mark inside an article as well, which is a choice: running text is seldom named so. Where a page has an article (or else a main) element, its other blocks are the text, shared
-with other pages or not. Where it has none, differencing decides: urls are put in order by host, path and url, a page
-is paired with the page before or after it on its host, whichever path shares the longer prefix with its own (the one
-before, if equal), and the lines of both are aligned by longest common subsequence: what both have in the same order is
-the template, and the rest is the text. Pages of one url share one neighbour, the page of smallest identifier of the
-neighbouring url. The order is that of the whole table, so the partitions don't matter. A page whose host has no other
-url keeps its lines.
+"""Main text of web pages: nearest-URL page differencing, confirmed by what pages mark.
+
+A page is cut into lines (blocks). Urls are put in order by host, path and url, and every page is paired with the page
+before or after it on its host, whichever path shares the longer prefix with its own (the one before, if equal). The
+lines of both are aligned by longest common subsequence: what both have in the same order is the template, and the rest
+is the text. Pages of one url share one neighbour, the page of smallest identifier of the neighbouring url. The order is
+that of the whole table, so the partitions don't matter. A page whose host has no other url keeps its lines.
+
+Markup then confirms each line. Blocks of menus, headers, footers, asides, forms, notices, adverts and reader comments
+are no text though the neighbour lacks them, article elements of readers and advertisers too. That a class or an
+identifier has a part such as menu, share or related is taken as such a mark inside an article as well, which is a
+choice: running text is seldom named so. Where a page has an article (or else a main) element, lines outside it are no
+text either, and inside it a shared line goes unless it is running text: it stands in no paragraph, heading, item, cell
+or the like, or is links from end to end. Running text of an article stays, shared or not, since neighbours quote one
+another. A neighbour that shares half of an article's running text or more (of all its lines, if it has no running text)
+is another version of it and tells nothing about its lines.
 
 Null or empty html gives an empty text. Markup that is cut off at the end is dropped. Null urls are one url of a host of
 their own. Repeated rows give one row each, and equal urls are no neighbours. Very long pages are read in linear time
@@ -40,14 +45,18 @@ RAW = "script|style|textarea|title|noscript|iframe|xmp"
 CHROME = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies share sharing sidebar skip social sponsor sponsored subscribe toolbar".split())
 #: Of those, names by which an article element is no text of the page's own.
 OTHERS = frozenset("ad ads advert advertisement comment comments disqus promo promoted replies sponsor sponsored".split())
+#: Elements of running text.
+RUNNING = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th".split())
 ROLES = frozenset("banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 #: Attributes: a quote opens a value only after "="; one that isn't closed is a character.
 INSIDE = r"(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b{INSIDE}(?:>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({INSIDE})(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-#: Bits of an alignment table; parts that pages of one url are dealt to.
-TABLE, SALTS = 1 << 28, 16
+#: Where a line stands; "loose" ones are no running text.
+REGIONS = ("page", "chrome", "article", "article loose", "main", "main loose")
+#: Bits of an alignment table; pages of one url for each part that they are dealt to.
+TABLE, PART = 1 << 28, 512
 #: White space of blocks.
 SPACE = re.compile(r"\s+")
 
@@ -69,21 +78,36 @@ def _dropped(name: str, attrs: str, inside: bool) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, str]]:
-    """The blocks of a page in order: (text, region), a region being article, main, page or chrome."""
+    """The blocks of a page in order: (text, region), a region being one of REGIONS."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # open elements and the region inside them
     open_names: Counter[str] = Counter()
     region, buffer, at = "page", [], 0
+    depth, running = 0, False  # open elements of running text; whether the block has any
+
+    def add(text: str) -> None:
+        nonlocal running
+        buffer.append(text)
+        running = running or depth > 0 and not open_names["a"] and not text.isspace()
+
+    def leave() -> str:
+        nonlocal depth
+        name = stack.pop()[0]
+        open_names[name] -= 1
+        depth -= name in RUNNING
+        return name
 
     def flush() -> None:
+        nonlocal running
         if buffer:
             if text := SPACE.sub(" ", entities.unescape("".join(buffer))).strip():
-                out.append((text, region))
+                out.append((text, region if running or region in ("page", "chrome") else f"{region} loose"))
             buffer.clear()
+        running = False
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            buffer.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         closing, name, attrs = m[2], (m[3] or "").lower(), m[4] or ""
         if not name:
@@ -94,26 +118,24 @@ def lines(page: str) -> list[tuple[str, str]]:
         new = region
         if closing:
             if open_names[name]:
-                while True:
-                    top = stack.pop()[0]
-                    open_names[top] -= 1
-                    if top == name:
-                        break
+                while leave() != name:
+                    pass
                 new = stack[-1][1] if stack else "page"
         elif name not in VOID and not attrs.endswith("/"):
             if name in ("p", "li") and stack and stack[-1][0] == name or name in BLOCK and stack and stack[-1][0] == "p":
-                open_names[stack.pop()[0]] -= 1
+                leave()
                 new = stack[-1][1] if stack else "page"
             inside = new in ("article", "main")
             if new != "chrome":
                 new = "chrome" if _dropped(name, attrs, inside) else name if name == "article" or name == "main" and new == "page" else new
             stack.append((name, new))
             open_names[name] += 1
+            depth += name in RUNNING
         if name in BLOCK or new != region:
             flush()
         region = new
     if at < len(page) and not re.match(r"<[a-zA-Z/!?]", page[at:]):
-        buffer.append(page[at:])
+        add(page[at:])
     flush()
     return out
 
@@ -173,41 +195,46 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
-def marked_text(blocks: list[tuple[str, str]]) -> str | None:
-    """The text of a page with an article or a main element; None: it has neither, though it has lines of its own."""
-    regions = {r for _, r in blocks}
+def confirmed(texts: list[str], regions: list[str], common: set[int]) -> str:
+    """The text of a page of which the lines in `common` are shared with its neighbour."""
     for kind in ("article", "main"):
-        if kind in regions:
-            return "\n".join(t for t, r in blocks if r == kind)
-    return None if "page" in regions else ""
+        own = [i for i, r in enumerate(regions) if r in (kind, f"{kind} loose")]
+        if own:
+            # Of another version of the article nothing can be told.
+            told = [i for i in own if regions[i] == kind] or own
+            version = 2 * sum(len(texts[i]) for i in told if i in common) >= sum(len(texts[i]) for i in told)
+            return "\n".join(texts[i] for i in own if version or regions[i] == kind or i not in common)
+    return "\n".join(t for i, (t, r) in enumerate(zip(texts, regions, strict=True)) if r == "page" and i not in common)
 
 
 def text_of(blocks: list[tuple[str, str]], neighbour: list[str] | None) -> str:
     """The text of a page next to the lines of its neighbour, if it has one."""
-    if (text := marked_text(blocks)) is not None:
-        return text
     common = shared([line_id(t) for t, _ in blocks], [line_id(t) for t in neighbour]) if neighbour else set()
-    return "\n".join(t for i, (t, r) in enumerate(blocks) if r == "page" and i not in common)
+    return confirmed([t for t, _ in blocks], [r for _, r in blocks], common)
 
 
 def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines' identifiers of all pages."""
+    for batch in batches:
+        for a, z in slices(batch.column("html"), 1 << 22):
+            part = batch.slice(a, z - a)
+            ids = [[line_id(t) for t, _ in lines(page.as_py() or "")] for page in part.column("html")]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host", "path")), pa.array(ids, pa.list_(pa.int64()))], ["page_id", "url", "host", "path", "ids"])
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text where markup decides, else the lines and those of them (own) that may be text; the lines' identifiers of all pages."""
+    """The lines of all pages, and where they stand (places in REGIONS)."""
+    code = {r: i for i, r in enumerate(REGIONS)}
     for batch in batches:
         for a, z in slices(batch.column("html"), 1 << 22):
             part = batch.slice(a, z - a)
-            texts, all_lines, own, ids = [], [], [], []
-            for page in part.column("html"):
-                blocks = lines(page.as_py() or "")
-                text = marked_text(blocks)
-                texts.append(text)
-                all_lines.append(None if text is not None else [t for t, _ in blocks])
-                own.append(None if text is not None else [r == "page" for _, r in blocks])
-                ids.append([line_id(t) for t, _ in blocks])
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host", "path")), pa.array(texts, pa.string()), pa.array(all_lines, pa.list_(pa.string())), pa.array(own, pa.list_(pa.bool_())), pa.array(ids, pa.list_(pa.int64()))], ["page_id", "url", "host", "path", "text", "lines", "own", "ids"])
+            blocks = [lines(page.as_py() or "") for page in part.column("html")]
+            texts, regions = [[t for t, _ in x] for x in blocks], [[code[r] for _, r in x] for x in blocks]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.list_(pa.string())), pa.array(regions, pa.list_(pa.int8()))], ["page_id", "url", "lines", "regions"])
 
 
 def _nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +249,13 @@ def _nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Aligns each page with its neighbour; what is shared is confirmed by where it stands."""
     for batch in batches:
         texts = []
-        for all_lines, own, ids, other in zip(*(batch.column(c) for c in ("lines", "own", "ids", "other")), strict=True):
-            common = shared(ids.as_py(), other.as_py() or [])
-            texts.append("\n".join(t for i, (t, o) in enumerate(zip(all_lines.as_py(), own.as_py(), strict=True)) if o and i not in common))
+        for own, regions, other in zip(*(batch.column(c) for c in ("lines", "regions", "other")), strict=True):
+            own, other = own.as_py(), other.as_py()
+            common = shared([line_id(t) for t in own], other) if other else set()
+            texts.append(confirmed(own, [REGIONS[r] for r in regions.as_py()], common))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -254,17 +283,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kind = dict(pages.dtypes)[id_col]
     url = F.coalesce(F.col(url_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"), F.col(html_col).alias("html"))
-    parsed = scratch.store(rows.mapInArrow(_parse, f"page_id {kind}, url string, host string, path string, text string, lines array<string>, own array<boolean>, ids array<long>"), "parsed")
-    done = parsed.where("text IS NOT NULL").select("page_id", "url", "text")
-    left = parsed.where("text IS NULL")
-    if not left.isEmpty():
-        names = scratch.store(neighbours(parsed, scratch).where("near IS NOT NULL"), "near")
-        first = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", F.hash("ids"), "ids")
-        wanted = names.select(F.col("near").alias("name")).distinct()
-        lines_of = parsed.withColumn("name", F.coalesce("url", F.lit(""))).join(wanted, "name", "left_semi").groupBy("name").agg(F.min(first).alias("x")).select(F.col("name").alias("near"), F.col("x.ids").alias("other"))
-        # A url or a neighbour of many pages is spread by a salt.
-        spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        known = names.join(lines_of, "near").select("name", "other", spread)
-        asked = left.select("page_id", "url", F.coalesce("url", F.lit("")).alias("name"), "lines", "own", "ids", F.pmod(F.xxhash64("page_id", "ids"), F.lit(SALTS)).cast("int").alias("salt"))
-        done = done.unionByName(asked.join(known, ["name", "salt"], "left").mapInArrow(_difference, f"page_id {kind}, url string, text string"))
+    outlines = scratch.store(rows.mapInArrow(_outline, f"page_id {kind}, url string, host string, path string, ids array<long>"), "outlines")
+    name = F.coalesce("url", F.lit("")).alias("name")
+    near = scratch.store(neighbours(outlines, scratch).where("near IS NOT NULL"), "near")
+    first = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", F.hash("ids"), "ids")
+    wanted = near.select(F.col("near").alias("name")).distinct()
+    lines_of = outlines.select("page_id", "ids", name).join(wanted, "name", "left_semi").groupBy("name").agg(F.min(first).alias("x")).select(F.col("name").alias("near"), F.col("x.ids").alias("other"))
+    # A url of many pages is dealt to several parts; there are few of those.
+    many = scratch.store(outlines.select(name).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select("name", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "many")
+    parts = F.coalesce("parts", F.lit(1))
+    known = near.join(lines_of, "near").join(F.broadcast(many), "name", "left").select("name", "other", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    parsed = rows.select("page_id", "url", "html").mapInArrow(_parse, f"page_id {kind}, url string, lines array<string>, regions array<tinyint>")
+    asked = parsed.select("page_id", "url", name, "lines", "regions").join(F.broadcast(many), "name", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "lines"), parts).cast("int")).drop("parts")
+    done = asked.join(known, ["name", "part"], "left").mapInArrow(_difference, f"page_id {kind}, url string, text string")
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -150,6 +150,26 @@ def test_differencing_against_brute_force_for_any_partitions(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_differencing_decides_inside_marked_articles(spark):
+    """What neighbours share goes from articles too, but for running text; versions of one article tell nothing about it."""
+    page = "<nav>Home</nav><article><div>Send this on</div><h1>{0}</h1><p>Quoted by all</p><p>Much longer body of page {0}</p><ul><li><a href='/'>All stories</a></li><li>Item</li></ul><div>Own {0}</div></article>"
+    rows = [(i, f"http://h.org/a/{i}", page.format(i)) for i in range(3)]
+    rows += [(10 + i, f"http://v.org/a?v={i}", f"<article><div>Opening</div><p>One long text in two versions</p><div>Close {i}</div></article>") for i in range(2)]
+    rows += [(20 + i, f"http://w.org/{i}", f"<main><div>One long text, no running</div><div>{i}</div></main>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 5):
+        got = {r.page_id: r.text for r in html_text.extract(df.repartition(parts)).collect()}
+        assert got == {i: f"{i}\nQuoted by all\nMuch longer body of page {i}\nItem\nOwn {i}" for i in range(3)} | {10 + i: f"Opening\nOne long text in two versions\nClose {i}" for i in range(2)} | {20 + i: f"One long text, no running\n{i}" for i in range(2)}
+
+
+def test_differencing_of_a_url_of_many_pages(spark, monkeypatch):
+    """Pages of one url are dealt to parts; each still meets its neighbour, once."""
+    monkeypatch.setattr(html_text, "PART", 3)
+    rows = [(i, "http://h.org/a", f"<div>Site</div><p>{i}</p>") for i in range(20)] + [(99, "http://h.org/b", "<div>Site</div><p>b</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text) for r in html_text.extract(df).collect()) == [*((i, str(i)) for i in range(20)), (99, "b")]
+
+
 @pytest.mark.parametrize("page", ["<a href=\"x " * 30_000, "<div>" * 30_000 + "</span>" * 30_000, "<p a='" * 30_001 + ">text", "<script " * 30_000, "<!-- " * 30_000, "<div>x</p>" * 30_000, "&" * 100_000, "<" * 100_000])
 def test_hostile_pages_take_linear_time(page):
     import time
