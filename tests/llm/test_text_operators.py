@@ -439,6 +439,33 @@ def test_bm25_skips_blocks_and_loses_nothing(monkeypatch, dense, step):
         assert index.read < 0.7 * len(queries) * index.blocks
 
 
+def test_bm25_puts_like_entries_together_and_reads_fewer_blocks():
+    """Entries of three languages in turn: in order of likeness a query's bound rules out the blocks of the others, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    entries = [Counter((1000 * (i % 3) + np.minimum(rng.geometric(0.01, 60), 999)).tolist()) for i in range(1800)]
+    held = lambda **more: bm25.stored([[i] for i in range(len(entries))], [np.array(sorted(e), np.uint64) for e in entries], [np.array([e[t] for t in sorted(e)]) for e in entries], [60] * len(entries), 5, **more)
+    df = Counter(t for e in entries for t in e)
+    queries = [(np.array(sorted(e), np.uint64), np.array([math.log1p((len(entries) - df[t] + 0.5) / (df[t] + 0.5)) for t in sorted(e)])) for e in entries[::20]]
+    found, read = [], []
+    for like in (False, True):
+        index = bm25.Index(held(like=like), 60.0, 1.2, 0.75)
+        best = list(index.search_many(queries, 5))
+        found.append([sorted(zip(index.ids[index.of_ids[e]].tolist(), scores.tolist(), strict=True)) for e, scores in best])
+        read.append(index.read)
+    assert found[0] == found[1]
+    assert read[1] < 0.6 * read[0]
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_bm25_deals_queries_and_shards(spark, docs, monkeypatch, blocks):
+    """The same rows whether one task reads all shards or queries and shards are dealt to blocks and groups."""
+    asked = docs.where("doc_id % 4 = 0")
+    want = sorted(map(tuple, bm25.search(spark, docs, asked, k=5).collect()))
+    monkeypatch.setattr(bm25, "SHARD_GROUP", 1)
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", -(-asked.count() // blocks))
+    assert sorted(map(tuple, bm25.search(spark, docs.repartition(5), asked, k=5).collect())) == want
+
+
 def test_bm25_copies_in_two_shards_tie():
     """Of two indexes with one text among others, the scores are the same to the last bit."""
     rng = np.random.default_rng(8)
