@@ -466,6 +466,34 @@ def test_bm25_deals_queries_and_shards(spark, docs, monkeypatch, blocks):
     assert sorted(map(tuple, bm25.search(spark, docs.repartition(5), asked, k=5).collect())) == want
 
 
+def test_bm25_counts_documents_from_the_indexes(spark, monkeypatch):
+    """Texts are cut into words once, for the indexes: global frequencies come from them, with copies, repeated identifiers and cut lists counted."""
+    import pyarrow as pa
+
+    texts = ["a b b c", "c b B a", "a b b c", None, "", "--", "c d", "e", "c d"]
+    ids = [1, 2, 3, 4, 5, 6, 7, None, 7]
+    monkeypatch.setattr(bm25, "SHARD_WORDS", 5)
+    monkeypatch.setattr(bm25, "HELD_TERMS", 2)
+    built = pa.Table.from_batches(bm25._build(bm25.Scratch(spark, "bm25-test").sub("indexes"), 3)(iter([pa.RecordBatch.from_pydict({"doc_id": ids, "text": texts})])))
+    assert len(built) == 4
+    got = Counter()
+    for r in pa.Table.from_batches(bm25._frequencies(iter(built.select(["uri"]).to_batches()))).to_pylist():
+        got += Counter({r["term"]: r["n"]}) + (Counter({"words": r["words"]}) if r["term"] is None else Counter())
+    code, _ = bm25.hashes(pa.array(["a b c d"]), bm25.PLAIN)
+    assert got == {**dict(zip(code.view(np.int64).tolist(), (3, 3, 5, 2), strict=True)), None: 5, "words": 16}
+
+
+def test_bm25_scores_pairs_over_shared_terms():
+    """An entry that several queries found is looked up once; sums are those of each pair by itself, whatever batch it is in."""
+    rng = np.random.default_rng(4)
+    entries = [Counter(rng.integers(0, 60, 30).tolist()) for _ in range(300)]
+    queries = [(np.array(sorted(e), np.uint64), rng.uniform(0.1, 3, len(e))) for e in entries[::10]]
+    index = _index(entries, 30.0)
+    together = [[x.tolist() for x in found] for found in index.search_many(queries, 5)]
+    assert together == [[x.tolist() for x in next(index.search_many([q], 5))] for q in queries]
+    assert not index.impact.any()
+
+
 def test_bm25_copies_in_two_shards_tie():
     """Of two indexes with one text among others, the scores are the same to the last bit."""
     rng = np.random.default_rng(8)
