@@ -116,25 +116,41 @@ def resampled(pixels: DataFrame, width: int, height: int, to_width: int, to_heig
 def hulls(boxes: DataFrame, dx: int, dy: int, cell: int = 256) -> DataFrame:
     """image and left, right, top, bottom (whole numbers, edges included) of boxes united: boxes at most dx and dy apart become their hull, until no two hulls are near.
 
-    Each round a box grows to the hull of all that are near to it, found by the cells of a grid that both touch; a box that covers
-    many cells meets only what lies in them. Equal boxes are one. Each round's table is written and read again.
+    The outcome doesn't depend on the order, so boxes are united wherever that is cheap. Those with a corner or the middle in one square
+    of dx + 1 by dy + 1 are near to each other: by such squares a page of any number of boxes comes down to what its area has room for,
+    before any box meets another. Then rounds: a box grows to the hull of all that are near to it, found by the cells of a grid that both
+    touch, and goes to the one of them with the least hash; what has gone to one box becomes a hull, so boxes get fewer in each
+    round in which any two are near. Each round's table is written and read again.
+    Boxes with a null meet nothing.
     """
     from folioloom.tables import Scratch
 
     scratch = Scratch(boxes.sparkSession, "hulls")
     side = ["left", "right", "top", "bottom"]
-    now = scratch.store(boxes.select("image", *[F.col(c).cast("long").alias(c) for c in side]).distinct(), "0")
+    hull = lambda at: [(F.min if c in ("left", "top") else F.max)(at(c)).alias(c) for c in side]
+    middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
+    # A box with sides in the wrong order holds none of its corners.
+    odd = F.when((F.col("left") > F.col("right")) | (F.col("top") > F.col("bottom")), F.struct(*side))
+
+    def by_squares(df: DataFrame) -> DataFrame:
+        for x, y in ((F.col("left"), F.col("top")), (F.col("right"), F.col("bottom")), (middle("left", "right"), middle("top", "bottom"))):
+            squares = df.withColumns({"_x": F.floor(x / (dx + 1)), "_y": F.floor(y / (dy + 1)), "_odd": odd})
+            df = squares.groupBy("image", "_x", "_y", "_odd").agg(*hull(F.col), F.sum("n").alias("n")).drop("_x", "_y", "_odd")
+        return df
+
+    first = boxes.select("image", *[F.col(c).cast("long").alias(c) for c in side]).dropna().distinct().withColumn("n", F.lit(1).cast("long"))
+    now = scratch.store(by_squares(first), "0")
     turn = 0
     while True:
         turn += 1
         span = lambda a, b, more: F.sequence(F.floor((F.col(a) - more) / cell), F.floor((F.col(b) + more) / cell))
         cells = lambda df, mx, my: df.withColumn("_x", F.explode(span("left", "right", mx))).withColumn("_y", F.explode(span("top", "bottom", my)))
-        there = cells(now, 0, 0).select("image", "_x", "_y", *[F.col(c).alias(f"_{c}") for c in side])
-        near = (F.col("_left") - dx <= F.col("right")) & (F.col("_right") + dx >= F.col("left")) & (F.col("_top") - dy <= F.col("bottom")) & (F.col("_bottom") + dy >= F.col("top"))
+        there = cells(now, 0, 0).select("image", "_x", "_y", F.struct(F.xxhash64("image", *side).alias("hash"), *side).alias("to"))
+        other = lambda c: F.col(f"to.{c}")
+        near = (other("left") - dx <= F.col("right")) & (other("right") + dx >= F.col("left")) & (other("top") - dy <= F.col("bottom")) & (other("bottom") + dy >= F.col("top"))
         met = cells(now, dx, dy).join(there, ["image", "_x", "_y"]).where(near)
-        grown = met.groupBy("image", *side).agg(*[(F.min if c in ("left", "top") else F.max)(f"_{c}").alias(f"_{c}") for c in side])
-        changed = F.count_if(F.expr(" OR ".join(f"{c} <> _{c}" for c in side)))
-        grown = scratch.store(grown, str(turn))
-        if not grown.agg(changed.alias("n")).first()["n"]:
-            return now
-        now = scratch.store(grown.select("image", *[F.col(f"_{c}").alias(c) for c in side]).distinct(), f"{turn}-distinct")
+        led = met.groupBy("image", *[F.col(c).alias(f"_{c}") for c in side]).agg(F.min("to").alias("_to"), *hull(other))
+        grown = led.groupBy("image", "_to").agg(*hull(F.col), F.count(F.lit(1)).alias("n")).drop("_to")
+        now = scratch.store(by_squares(grown), str(turn))
+        if (now.agg(F.max("n").alias("n")).first()["n"] or 1) == 1:
+            return now.drop("n")

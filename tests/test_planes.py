@@ -85,3 +85,38 @@ def test_hulls(spark):
         want = {tuple(map(int, b)) for b in R.merge_near(boxes, dx, dy)}
         assert {tuple(r)[1:] for r in found if r.image == 1} == want and [tuple(r)[1:] for r in found if r.image == 2] == [tuple(map(int, boxes[0]))]
     assert planes.hulls(df.limit(0), 1, 1).count() == 0
+
+
+def test_hulls_of_crowded_pages(spark, monkeypatch):
+    """Boxes that crowd a page are one each square before they meet, boxes get fewer in each round, and hulls are those of all boxes; nulls meet nothing."""
+    from folioloom import tables
+
+    counts, store = [], tables.Scratch.store
+
+    def counted(self, df, name):
+        out = store(self, df, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(tables.Scratch, "store", counted)
+    rng = np.random.default_rng(6)
+    at = np.stack((rng.integers(-60, 240, 30_000), rng.integers(-60, 90, 30_000)), axis=1)
+    size = rng.integers(0, 30, (30_000, 2))
+    far = np.array([[1000 + 39 * i, 1000 + 39 * i + 27, 7 * i, 7 * i + 3] for i in range(60)])  # a chain, each link just near enough
+    apart = far + [0, 0, 3000, 3000]
+    apart[:, :2] += np.arange(60)[:, None]  # and one with links just too far apart
+    crowd = np.stack((at[:, 0], at[:, 0] + size[:, 0], at[:, 1], at[:, 1] + size[:, 1]), axis=1)
+    crowd = crowd[(crowd[:, 0] < 60) | (crowd[:, 0] > 130)]
+    boxes = np.concatenate((crowd, far, apart))
+    rows = [(7, *map(int, b)) for b in boxes] + [(7, None, 5, 1, 2), (None, 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "image long, left long, right long, top long, bottom long")
+    found = planes.hulls(df, 12, 9).collect()
+    want = {tuple(map(int, b)) for b in R.merge_near(_by_hand(boxes), 12, 9)}
+    assert {tuple(r)[1:] for r in found} == want and len(found) == len(want) and 61 < len(want) < 70
+    # The page has room for 330 / 13 by 180 / 10 squares, whatever the number of boxes; each next table is smaller, but for the last.
+    assert counts[0] < 900 and all(a > b for a, b in zip(counts[:-2], counts[1:-1], strict=True)) and counts[-1] == counts[-2]
+
+
+def _by_hand(boxes):
+    """The hulls of slices of the boxes, each by the function on bytes: the outcome doesn't depend on the order."""
+    return np.concatenate([R.merge_near(x, 12, 9) for x in np.array_split(boxes, 40)])
