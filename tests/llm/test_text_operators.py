@@ -466,6 +466,38 @@ def test_bm25_deals_queries_and_shards(spark, docs, monkeypatch, blocks):
     assert sorted(map(tuple, bm25.search(spark, docs.repartition(5), asked, k=5).collect())) == want
 
 
+def test_bm25_takes_equal_texts_of_all_partitions_as_one_entry(spark, monkeypatch):
+    """A table of copies makes indexes of its different texts only, in few files, with the statistics of all rows and the smallest identifiers."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 25)) for _ in range(30)] + ["--", "", None]
+    rows = [(33 * copy + i, t) for copy in range(12) for i, t in enumerate(texts)] + [(None, texts[0]), (5, texts[6]), (5, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made, store = [], bm25.Scratch.store
+
+    def spied(self, df, name):
+        out = store(self, df, name)
+        if name == "manifest":
+            made.append([r.entries for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(bm25.Scratch, "store", spied)
+    found = [sorted(map(tuple, bm25.search(spark, df.repartition(n), df.where("doc_id < 33"), k=4).collect())) for n in (1, 7)]
+    assert made == [[30], [30]] and found[0] == found[1]
+    best = {(q, rank): doc for q, rank, doc, _ in found[0]}
+    assert all(best[i, rank] == i + 33 * (rank - 1) for i in range(30) if i not in (5, 6) for rank in (1, 2, 3, 4))
+    norm, n = 1.2, 362  # texts of one length; a null identifier takes no part
+    df_of = Counter(w for i, t in rows if t and t != "--" and i is not None for w in set(t.split()))
+    want = sum(math.log1p((n - df_of[w] + 0.5) / (df_of[w] + 0.5)) * c * 2.2 / (c + norm) for w, c in Counter(texts[0].split()).items())
+    assert sum(1 for i, t in rows if t and t != "--" and i is not None) == n
+    assert abs(next(s for q, rank, _, s in found[0] if (q, rank) == (0, 1)) - want) < 1e-6
+
+
+def test_bm25_deals_queries_to_all_cores():
+    """Blocks of queries times groups of shards are as many as cores or a little fewer, or equally many for each core."""
+    assert bm25.dealing(12_821, 18, 6) == (6, 1) and bm25.dealing(2_564, 5, 6) == (2, 2) and bm25.dealing(30, 1, 8) == (1, 1)
+    assert bm25.dealing(0, 0, 4) == (1, 1) and bm25.dealing(154_000, 168, 6) == (24, 1)
+
+
 def test_bm25_counts_documents_from_the_indexes(spark, monkeypatch):
     """Texts are cut into words once, for the indexes: global frequencies come from them, with copies, repeated identifiers and cut lists counted."""
     import pyarrow as pa
